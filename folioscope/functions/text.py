@@ -36,8 +36,7 @@ def squash(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Whitespace-separated words, none for blank text."""
-    flat = squash(col)
-    return F.when(F.length(flat) == 0, F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.filter(F.split(col, r"(?U)\s+"), lambda w: w != "")
 
 
 def word_count(col: Column) -> Column:
@@ -84,14 +83,19 @@ def cjk_bigrams(col: Column) -> Column:
     """CJK runs become overlapping two-character words; one-character runs stay."""
     spaced = F.regexp_replace(col, f"({CJK}+)", " $1 ")
     paired = F.regexp_replace(spaced, f"({CJK})(?=({CJK}))", "$1$2 ")
-    return F.regexp_replace(paired, f"(?<={CJK}{{2}} ){CJK}(?= )", "")
+    cut = F.regexp_replace(paired, f"{CJK}(?= )(?<={CJK}{{2}} {CJK})", "")
+    return F.when(col.rlike(CJK), cut).otherwise(col)
 
 
-def search_tokens(col: Column) -> Column:
-    """Index terms: bigrams, lower case, folded diacritics, letters and digits only."""
+def search_text(col: Column) -> Column:
+    """Index form of a text: bigrams, lower case, folded diacritics, terms with one space around each."""
     plain = F.translate(F.lower(cjk_bigrams(col)), DIACRITICS, PLAIN)
-    flat = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.length(flat) == 0, F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
+
+
+def search_tokens(col: Column) -> Column:
+    """Index terms in order."""
+    return F.filter(F.split(search_text(col), " "), lambda w: w != "")
 
 
 def glob_to_regex(pattern: str) -> str:

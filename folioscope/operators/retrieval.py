@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as tx, vectors as vx
+from ..functions.staging import computed_once
 
 # Ranking constants and closeness bands.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -33,17 +34,13 @@ def query_phrases(spark: SparkSession, query: str) -> list[list[str]]:
     The same column expression that tokenises the corpus tokenises the query.
     """
     bare = F.replace(F.lit(query), F.lit('"'), F.lit(""))
-    row = spark.range(1).select(F.transform(tx.words(tx.cjk_bigrams(bare)), lambda w: tx.search_tokens(w)).alias("p")).first()
+    row = spark.range(1).select(F.transform(tx.words(tx.cjk_bigrams(bare)), tx.search_tokens).alias("p")).first()
     return [list(p) for p in row["p"] if p]
 
 
-def _phrase_count(tokens: Column, phrase: Sequence[str]) -> Column:
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    wanted = F.lit(list(phrase))
-    last = F.size(tokens) - len(phrase) + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(tokens, i, len(phrase)) == wanted))
+def _phrase_count(flat: Column, phrase: Sequence[str]) -> Column:
+    """Positions of the phrase in the index form, overlapping ones too."""
+    return F.regexp_count(flat, F.lit(f" (?={' '.join(phrase)} )"))
 
 
 def _bm25(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column:
@@ -61,10 +58,11 @@ def keyword_scores(chunks: DataFrame, query: str) -> DataFrame:
     keep = [c for c in ("library", "id", "collection", "path") if c in chunks.columns]
     if not phrases:
         return chunks.select(*keep, F.lit(0.0).alias("score")).limit(0)
-    tokens = chunks.select(*keep, tx.search_tokens(F.col("content")).alias("_t"))
+    flat = computed_once(chunks.select(*keep, "content"), _flat=tx.search_text(F.col("content"))).drop("content")
     names = [f"_tf{i}" for i in range(len(phrases))]
-    counted = tokens.select(*keep, F.size("_t").cast("double").alias("_dl"),
-                            *[_phrase_count(F.col("_t"), p).cast("double").alias(n) for p, n in zip(phrases, names)])
+    length = F.length("_flat") - F.length(F.replace("_flat", F.lit(" "))) - 1
+    counted = computed_once(flat, _dl=length.cast("double"), **{
+        n: _phrase_count(F.col("_flat"), p).cast("double") for p, n in zip(phrases, names)}).drop("_flat")
     stats = counted.groupBy("library").agg(
         F.count("*").cast("double").alias("_n"), F.avg("_dl").alias("_avgdl"),
         *[F.count_if(F.col(n) > 0).cast("double").alias(n.replace("tf", "df")) for n in names])

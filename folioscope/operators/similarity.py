@@ -172,7 +172,8 @@ def similar_pairs(cards: DataFrame, threshold: float = LINK, boosts: bool = True
     visit = reached.withColumn("v", (spread % nv).cast("int")) \
         .withColumn("h", F.explode(F.sequence(F.lit(0), nh - 1))).select("at", "h", "v", *row)
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        left, right = block[block["side"] == 0], block[block["side"] == 1]
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": [], "cosine": [], "boost": []})
         cosine = _unit(np.stack(left["embedding"].to_numpy()).astype(np.float64)) @ \
@@ -191,8 +192,8 @@ def similar_pairs(cards: DataFrame, threshold: float = LINK, boosts: bool = True
                              "cosine": cosine[x, y], "boost": boost[x, y]})
 
     kind = dict(cards.dtypes)["id"]
-    pairs = home.groupBy("at", "h", "v").cogroup(visit.groupBy("at", "h", "v")) \
-        .applyInPandas(compare, f"a {kind}, b {kind}, cosine double, boost double")
+    both = home.withColumn("side", F.lit(0)).unionByName(visit.withColumn("side", F.lit(1)))
+    pairs = both.groupBy("at", "h", "v").applyInPandas(compare, f"a {kind}, b {kind}, cosine double, boost double")
     return pairs.select("a", "b", "cosine", F.least(F.lit(1.0), F.col("cosine") + F.col("boost")).alias("score"), "boost")
 
 

@@ -62,20 +62,20 @@ def term_spread(t: Tables) -> DataFrame:
 
 
 TOP = f"""WITH {BM25},
-leg AS (SELECT *, row_number() OVER (PARTITION BY library ORDER BY score DESC, id) AS r FROM bm25 {{where}}),
-fused AS (SELECT library, id, path, collection, CAST(r AS INT) AS bm25_rank, 1.0 / (60 + r) * CASE WHEN collection = 'threads' THEN {{weight}} ELSE 1.0 END AS s FROM leg WHERE r <= 24),
+leg AS (SELECT *, row_number() OVER (PARTITION BY library ORDER BY score DESC, id) AS r FROM bm25 %WHERE%),
+fused AS (SELECT library, id, path, collection, CAST(r AS INT) AS bm25_rank, 1.0 / (60 + r) * CASE WHEN collection = 'threads' THEN %WEIGHT% ELSE 1.0 END AS s FROM leg WHERE r <= 24),
 best AS (SELECT * FROM fused ORDER BY s DESC, library, id LIMIT 8)
-SELECT b.library, b.id, b.path, b.collection, start_line, CAST(end_line AS INT) AS end_line, round(s, 5) AS score, bm25_rank,
+SELECT b.library, b.id, b.path, b.collection, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, round(s, 5) AS score, bm25_rank,
   substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 300) AS snippet FROM best b JOIN chunks c USING (library, id)"""
 
 
-@query("T1 C4 C5 C8 U1 X8", TOP.format(where="", weight="0.6").replace("start_line,", "CAST(start_line AS INT) AS start_line,"))
+@query("T1 C4 C5 C8 U1 X8", TOP.replace("%WHERE%", "").replace("%WEIGHT%", "0.6"))
 def search_without_vectors(t: Tables) -> DataFrame:
     return rt.search(t.chunks, QUESTION, mode="hybrid", k=8).select(
         "library", "id", "path", "collection", "start_line", "end_line", "score", "bm25_rank", "snippet")
 
 
-@query("F2 C5", TOP.format(where="WHERE collection = 'threads' AND path LIKE 'fr/doc-%5%.md'", weight="1.0").replace("start_line,", "CAST(start_line AS INT) AS start_line,"))
+@query("F2 C5", TOP.replace("%WHERE%", "WHERE collection = 'threads' AND path LIKE 'fr/doc-%5%.md'").replace("%WEIGHT%", "1.0"))
 def search_in_collection(t: Tables) -> DataFrame:
     return rt.search(t.chunks, QUESTION, mode="bm25", k=8, collection="threads", path="fr/doc-*5*.md").select(
         "library", "id", "path", "collection", "start_line", "end_line", "score", "bm25_rank", "snippet")
@@ -223,7 +223,7 @@ p AS (SELECT a.id AS a, b.id AS b, {COS} / sqrt(list_inner_product(list_transfor
 s AS (SELECT a, b, least(1.0, cosine + boost) AS score, boost FROM p)"""
 
 
-@query("J10", f"WITH {BOOSTED} SELECT a, b, round(score, 5) AS score, round(boost, 2) AS boost FROM s WHERE score >= 0.40")
+@query("J10", f"WITH {BOOSTED} SELECT a, b, round(score, 5) AS score, CAST(round(boost, 2) AS DOUBLE) AS boost FROM s WHERE score >= 0.40")
 def similar_cards_with_boosts(t: Tables) -> DataFrame:
     return sm.similar_pairs(_tagged(t), threshold=0.40, pivots=16).select("a", "b", F.round("score", 5).alias("score"), F.round("boost", 2).alias("boost"))
 

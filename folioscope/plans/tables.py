@@ -186,7 +186,15 @@ class Tables:
         self.spark, self.root, self._held = spark, root, {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """A base table; long texts in fewer pieces than there are cores are spread first.
+
+        A table with enough input splits, as any large one has, is not shuffled.
+        """
+        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in ("documents", "pages", "conversations") and df._jdf.rdd().getNumPartitions() < cores:
+            df = df.repartition(cores)
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

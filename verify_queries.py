@@ -39,7 +39,7 @@ def main() -> int:
     parser.add_argument("--data", default="/root/testdata")
     args = parser.parse_args()
     root = f"{args.data}/sf{args.sf}"
-    spark = build_session("local[8]", spark__ui__enabled="false", spark__driver__memory="12g", spark__sql__shuffle__partitions="8")
+    spark = build_session("local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="12g", spark__sql__shuffle__partitions="8")
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in BASE:
