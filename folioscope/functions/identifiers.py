@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .staging import let
 from .text import squash, strip
 
 # The closed list of archives that issued ids before April 2007.
@@ -44,13 +45,13 @@ def find_arxiv_id(text: Column, keep_version: bool = False) -> Column:
 
 def normalize_arxiv_id(text: Column) -> Column:
     """Version off; legacy archive lower case, subject class upper case."""
-    found = find_arxiv_id(text)
-    archive = F.substring_index(found, "/", 1)
-    serial = F.substring_index(found, "/", -1)
-    subject = F.when(archive.contains("."), F.concat(F.lower(F.substring_index(archive, ".", 1)), F.lit("."),
-                                                    F.upper(F.substring_index(archive, ".", -1))))
-    legacy = F.concat(F.coalesce(subject, F.lower(archive)), F.lit("/"), serial)
-    return F.when(found.contains("/"), legacy).otherwise(found)
+    def canonical(found: Column) -> Column:
+        archive = F.substring_index(found, "/", 1)
+        subject = F.concat(F.lower(F.substring_index(archive, ".", 1)), F.lit("."), F.upper(F.substring_index(archive, ".", -1)))
+        legacy = F.concat(F.when(archive.contains("."), subject).otherwise(F.lower(archive)), F.lit("/"), F.substring_index(found, "/", -1))
+        return F.when(found.contains("/"), legacy).otherwise(found)
+
+    return let(find_arxiv_id(text), canonical)
 
 
 def find_doi(text: Column) -> Column:
@@ -58,18 +59,19 @@ def find_doi(text: Column) -> Column:
 
 
 def arxiv_from_doi(doi: Column) -> Column:
-    inside = _first(doi, ARXIV_DOI, 1)
-    return F.when(inside.isNotNull(), normalize_arxiv_id(inside)) \
-        .when(F.lower(doi).contains("arxiv"), normalize_arxiv_id(doi))
+    return let(doi, lambda d: F.coalesce(normalize_arxiv_id(_first(d, ARXIV_DOI, 1)),
+                                         F.when(F.lower(d).contains("arxiv"), normalize_arxiv_id(d))))
 
 
 def identity(text: Column) -> Column:
     """struct(arxiv_id, doi, source): arXiv id, else one inside the DOI, else the DOI."""
-    direct = normalize_arxiv_id(text)
-    doi = find_doi(text)
-    embedded = arxiv_from_doi(doi)
-    source = F.when(direct.isNotNull(), "text").when(embedded.isNotNull(), "doi-text").otherwise("")
-    return F.struct(F.coalesce(direct, embedded).alias("arxiv_id"), doi.alias("doi"), source.alias("source"))
+    def named(p: Column) -> Column:
+        embedded = F.when(p["direct"].isNull(), arxiv_from_doi(p["doi"]))
+        return let(F.struct(p["direct"].alias("direct"), p["doi"].alias("doi"), embedded.alias("embedded")), lambda q: F.struct(
+            F.coalesce(q["direct"], q["embedded"]).alias("arxiv_id"), q["doi"].alias("doi"),
+            F.when(q["direct"].isNotNull(), "text").when(q["embedded"].isNotNull(), "doi-text").otherwise("").alias("source")))
+
+    return let(F.struct(normalize_arxiv_id(text).alias("direct"), find_doi(text).alias("doi")), named)
 
 
 def title_words(title: Column) -> Column:

@@ -227,10 +227,10 @@ def retarget_links(docs: DataFrame, moves: Sequence[tuple[str, str]], text: str
     anchor = F.when(F.col("old").contains("#"), F.concat(F.lit("#"), F.substring_index("old", "#", -1))).otherwise("")
     before = md.resolve_relative(md.dirname(F.col("path")), target)
     staged = local.withColumn("_to", _moved(before, moves)).withColumn("moves_to", _moved(F.col("path"), moves)) \
-        .withColumn("_before", before)
+        .withColumn("_after", md.resolve_relative(md.dirname(F.col("moves_to")), target))
     new = F.when(F.col("old").startswith("/"), F.concat(F.lit("/"), F.col("_to"))) \
         .otherwise(_relative_to(F.col("_to"), md.dirname(F.col("moves_to"))))
-    touched = (F.col("_to") != F.col("_before")) | (md.dirname(F.col("moves_to")) != md.dirname(F.col("path")))
+    touched = F.col("_to") != F.col("_after")
     return staged.filter(touched).withColumn("new", F.concat(new, anchor)) \
         .filter(F.col("new") != F.col("old")).select(F.col("path").alias("file"), "moves_to", "old", "new")
 

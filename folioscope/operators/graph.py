@@ -263,7 +263,8 @@ def graph_map(nodes: DataFrame, edges: DataFrame, tags: DataFrame, include_tags:
     pins = tags.filter(F.col("tag") == PIN).select(F.col("node_id").alias("id")).distinct().withColumn("pinned", F.lit(True))
     ranked = ranked.join(pins, "id", "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
     top = ranked.orderBy(F.col("pinned").desc(), F.col("degree").desc(), (F.col("type") == "ghost"), "id").limit(limit)
-    kept = top.unionByName(ranked.filter("pinned")).distinct()
+    # At most `limit` rows and the pins: stored once, then read by nodes and edges.
+    kept = cut_lineage(top.unionByName(ranked.filter("pinned")).distinct())
     inside = kept.select("id")
     kept_lines = lines.join(inside.withColumnRenamed("id", "source_id"), "source_id", "left_semi") \
         .join(inside.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select("source_id", "target_id", "type").distinct()

@@ -49,10 +49,10 @@ def tag_counts(t: Tables) -> DataFrame:
     return gr.tag_counts(t.tag_rows, "B")
 
 
-@query("J3", """SELECT 'outgoing' AS direction, target_id AS other_id, title, e.type FROM edge_rows e LEFT JOIN node_rows n ON n.id = e.target_id WHERE source_id = 'nation/FRANCE' AND e.type IN ('wikilink', 'supported_by', 'has_claim')
-UNION ALL SELECT 'incoming', source_id, title, e.type FROM edge_rows e LEFT JOIN node_rows n ON n.id = e.source_id WHERE target_id = 'nation/FRANCE' AND e.type IN ('wikilink', 'supported_by', 'has_claim')""")
+@query("J3", """SELECT 'outgoing' AS direction, target_id AS other_id, title, e.type FROM edge_rows e LEFT JOIN node_rows n ON n.id = e.target_id WHERE source_id = 'nation/NATION_3' AND e.type IN ('wikilink', 'supported_by', 'has_claim')
+UNION ALL SELECT 'incoming', source_id, title, e.type FROM edge_rows e LEFT JOIN node_rows n ON n.id = e.source_id WHERE target_id = 'nation/NATION_3' AND e.type IN ('wikilink', 'supported_by', 'has_claim')""")
 def node_links(t: Tables) -> DataFrame:
-    return gr.node_links(t.nodes, t.edge_rows, "nation/FRANCE")
+    return gr.node_links(t.nodes, t.edge_rows, "nation/NATION_3")
 
 
 @query("J4 C37", "SELECT id FROM node_rows WHERE title = 'Customer#000000007' ORDER BY id LIMIT 1")

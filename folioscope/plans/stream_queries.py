@@ -1 +1,85 @@
-"""Queries."""
+"""Streaming jobs over the shared tables, each checked against its batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import similarity as sm
+from ..streaming import jobs
+from .registry import query
+from .state_queries import MOVES
+from .tables import Tables
+
+
+class StreamTables(Tables):
+    """The same tables read as streams."""
+
+    def base(self, name: str) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.root}/{name}.parquet").schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.root)
+
+
+def _streams(t: Tables) -> StreamTables:
+    return StreamTables(t.spark, t.root)
+
+
+@query("ST2", "SELECT 'o-' || CAST(o_custkey AS STRING) AS id, min(o_orderkey) AS seq FROM orders GROUP BY 1")
+def first_seen_stream(t: Tables) -> DataFrame:
+    stream = _streams(t).candidate_rows.select("id", F.col("pos").alias("seq"))
+    return jobs.first_seen(stream, jobs.new_root(t.spark, "seen")).read(t.spark).select("id", "seq")
+
+
+@query("ST3 ST10", "SELECT report, id, arg_max(decision, seq) AS decision FROM triage_rows GROUP BY report, id HAVING arg_max(decision, seq) <> 'reset'")
+def decision_stream(t: Tables) -> DataFrame:
+    log = jobs.decisions(_streams(t).triage_rows.select("report", "id", "decision", "seq"), jobs.new_root(t.spark, "decisions"))
+    return log.latest(t.spark, ["report", "id"]).filter(F.col("decision") != "reset")
+
+
+@query("ST4", "SELECT epoch_us(date_trunc('week', make_timestamp(at_us))) AS week_us, kind, tier, count(*) AS spent, count(*) FILTER (NOT ok) AS failed FROM call_rows GROUP BY ALL")
+def weekly_spend_stream(t: Tables) -> DataFrame:
+    log = jobs.weekly_spend(_streams(t).calls, jobs.new_root(t.spark, "weeks"), lateness="60 days")
+    return log.latest(t.spark, ["week_start", "kind", "tier"]).select(F.unix_micros("week_start").alias("week_us"), "kind", "tier", "spent", "failed")
+
+
+@query("ST5", "SELECT CAST(user_id AS STRING) AS session, count(*) AS spawns, CAST(floor(count(*) / 25) AS BIGINT) AS alerts FROM events GROUP BY user_id")
+def spawn_alert_stream(t: Tables) -> DataFrame:
+    stream = _streams(t).ev.select(F.col("user_id").cast("string").alias("session"), F.timestamp_micros("us").alias("at"))
+    _, alerts = jobs.spawn_alerts(stream, jobs.new_root(t.spark, "spawns"))
+    return alerts.read(t.spark).groupBy("session").agg(F.max("spawns").alias("spawns"), F.sum("alerts").alias("alerts"))
+
+
+@query("ST6", f"""WITH {MOVES},
+x AS (SELECT slug, max(at_us) AS resolved FROM moves WHERE src = 'conflict' GROUP BY slug),
+l AS (SELECT m.* FROM moves m JOIN note_rows n USING (slug) LEFT JOIN x USING (slug) WHERE n.status <> 'conflict' AND (resolved IS NULL OR at_us > resolved)),
+p AS (SELECT *, lag(seq) OVER w AS first_seq, lag(host) OVER w AS first_host, lag(at_us) OVER w AS prev_us FROM l WINDOW w AS (PARTITION BY slug ORDER BY seq)),
+c AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY seq) AS r FROM p WHERE first_host <> host AND first_host <> 'reviewer' AND host <> 'reviewer' AND abs(at_us - prev_us) <= 21600000000)
+SELECT slug, first_seq, seq AS second_seq FROM c WHERE r = 1""")
+def host_conflict_stream(t: Tables) -> DataFrame:
+    stream = _streams(t).post_rows.withColumn("at", F.timestamp_micros("at_us"))
+    found = jobs.host_conflicts(stream, t.notes, jobs.new_root(t.spark, "conflicts"), seconds=21600)
+    return found.latest(t.spark, ["slug"]).filter(F.col("first_seq").isNotNull())
+
+
+@query("ST7", "SELECT CAST(conv_id AS STRING) AS session_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS turns FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def session_bound_stream(t: Tables) -> DataFrame:
+    turns = _streams(t).conversations.select(F.lit("h").alias("host"), F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds("turn").alias("at"), "text")
+    log = jobs.session_bounds(turns, jobs.new_root(t.spark, "sessions"))
+    return log.latest(t.spark, ["host", "session_id"]).select("session_id", F.unix_seconds("started").alias("first_turn"), F.unix_seconds("ended").alias("last_turn"), "turns")
+
+
+@query("ST12", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source_type, value, retry_of IS NULL ORDER BY seq) AS r FROM queue_rows) SELECT req_id FROM r WHERE retry_of IS NOT NULL OR r = 1""")
+def enqueue_stream(t: Tables) -> DataFrame:
+    return jobs.enqueue(_streams(t).queue_rows, t.batch_rows, jobs.new_root(t.spark, "queue")).read(t.spark).select("req_id")
+
+
+@query("ST1", "SELECT source AS library, count(DISTINCT doc_id) AS files FROM documents WHERE doc_id % 9 <> 0 AND regexp_replace(text, '\\s+', '', 'g') <> '' GROUP BY source")
+def incremental_index_stream(t: Tables) -> DataFrame:
+    docs = _streams(t).documents.select(F.col("source").alias("library"), F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text"))
+    files, chunks = jobs.incremental_index(docs, jobs.new_root(t.spark, "index"))
+    return jobs.current_chunks(t.spark, files, chunks).groupBy("library").agg(F.count_distinct("path").alias("files"))
+
+
+@query("ST11", "SELECT CAST(doc_id AS STRING) AS name, md5(text) AS hash, false AS cached FROM documents")
+def embedding_cache_stream(t: Tables) -> DataFrame:
+    docs = _streams(t).documents.select(F.col("doc_id").cast("string").alias("name"), F.col("doc_id").alias("seq"), "text")
+    return jobs.cached_embeddings(docs, jobs.new_root(t.spark, "cache"), sm.hashed_embedding(16)).read(t.spark).select("name", "hash", "cached")
