@@ -79,17 +79,21 @@ def lookup_key(col: Column) -> Column:
     return F.replace(fold_case(strip(col)), F.lit("_"), F.lit(" "))
 
 
+def is_ascii(col: Column) -> Column:
+    return F.octet_length(col) == F.length(col)
+
+
 def cjk_bigrams(col: Column) -> Column:
     """CJK runs become overlapping two-character words; one-character runs stay."""
     spaced = F.regexp_replace(col, f"({CJK}+)", " $1 ")
     paired = F.regexp_replace(spaced, f"({CJK})(?=({CJK}))", "$1$2 ")
     cut = F.regexp_replace(paired, f"{CJK}(?= )(?<={CJK}{{2}} {CJK})", "")
-    return F.when(col.rlike(CJK), cut).otherwise(col)
+    return F.when(~is_ascii(col) & col.rlike(CJK), cut).otherwise(col)
 
 
 def search_text(col: Column) -> Column:
     """Index form of a text: bigrams, lower case, folded diacritics, terms with one space around each."""
-    plain = F.translate(F.lower(cjk_bigrams(col)), DIACRITICS, PLAIN)
+    plain = F.when(is_ascii(col), F.lower(col)).otherwise(F.translate(F.lower(cjk_bigrams(col)), DIACRITICS, PLAIN))
     return F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import text as tx, vectors as vx
 from ..functions.staging import computed_once
+from ..session import cut_lineage
 
 # Ranking constants and closeness bands.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -51,8 +52,9 @@ def _bm25(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Colum
 def keyword_scores(chunks: DataFrame, query: str) -> DataFrame:
     """BM25 score of every matching chunk: library, id, collection, path, score.
 
-    One narrow pass counts the query's terms per chunk; the statistics are one
-    small aggregate per library. No postings are shuffled.
+    One narrow pass over the texts counts the query's terms per chunk. Its rows
+    of numbers, a few percent of the text's size, are stored, because both the
+    library statistics and the scores read them; the text is scanned once.
     """
     phrases = query_phrases(chunks.sparkSession, query)
     keep = [c for c in ("library", "id", "collection", "path") if c in chunks.columns]
@@ -63,6 +65,7 @@ def keyword_scores(chunks: DataFrame, query: str) -> DataFrame:
     length = F.length("_flat") - F.length(F.replace("_flat", F.lit(" "))) - 1
     counted = computed_once(flat, _dl=length.cast("double"), **{
         n: _phrase_count(F.col("_flat"), p).cast("double") for p, n in zip(phrases, names)}).drop("_flat")
+    counted = cut_lineage(counted)
     stats = counted.groupBy("library").agg(
         F.count("*").cast("double").alias("_n"), F.avg("_dl").alias("_avgdl"),
         *[F.count_if(F.col(n) > 0).cast("double").alias(n.replace("tf", "df")) for n in names])
@@ -123,7 +126,7 @@ def ranked(df: DataFrame, n: int, order: Sequence[Column], name: str) -> DataFra
 def keyword_leg(chunks: DataFrame, query: str, n: int, collection: str | None = None, path: str | None = None) -> DataFrame:
     """Rank by score; the filters come before the cut, the statistics are the whole library's."""
     scores = scope_filter(keyword_scores(chunks, query), collection, path)
-    return ranked(scores, n, [F.col("score").desc()], "bm25_rank").select("library", "id", "bm25_rank")
+    return ranked(scores, n, [F.col("score").desc()], "bm25_rank").drop("score")
 
 
 def vector_leg(chunks: DataFrame, vectors: DataFrame, query_vector: Sequence[float], n: int,
@@ -200,7 +203,9 @@ def search(chunks: DataFrame, query: str, vectors: DataFrame | None = None, quer
     keyed = keyword_leg(chunks, query, n, collection, path) if mode in ("hybrid", "bm25") else None
     near = None
     if mode in ("hybrid", "vector") and vectors is not None and query_vector is not None:
-        near = vector_leg(chunks, vectors, query_vector, n, collection, path)
+        # The leg is cut before it meets the chunks, so this join has a few rows per library on one side.
+        near = vector_leg(chunks, vectors, query_vector, n, collection, path) \
+            .join(chunks.select("library", "id", "path", "collection"), ["library", "id"])
     if keyed is None and near is None:
         return empty_result(chunks.sparkSession)
     if keyed is None:
@@ -208,9 +213,9 @@ def search(chunks: DataFrame, query: str, vectors: DataFrame | None = None, quer
     elif near is None:
         fused = keyed.withColumn("vector_rank", F.lit(None).cast("int")).withColumn("distance", F.lit(None).cast("double"))
     else:
-        fused = keyed.join(near, ["library", "id"], "full_outer")
-    meta = chunks.select("library", "id", "path", "collection")
-    fused = fused.join(meta, ["library", "id"])
+        known = near.select("library", "id", "vector_rank", "distance", F.col("path").alias("_p"), F.col("collection").alias("_c"))
+        fused = keyed.join(known, ["library", "id"], "full_outer").withColumn("path", F.coalesce("path", "_p")) \
+            .withColumn("collection", F.coalesce("collection", "_c")).drop("_p", "_c")
     weight = F.lit(1.0) if collection else collection_weight(F.col("collection"))
     if focus is not None:
         paths = focus.select("path").distinct().withColumn("_hit", F.lit(True))

@@ -28,8 +28,8 @@ STUBS = ("No explicit definition extracted from literature perspective.",
          "No explicit mathematical representation extracted from literature perspective.",
          "[STUB: Awaiting synthesis]")
 EMBED_CHARS, EMBED_BATCH = 8000, 16
-BLOCK_ROWS = 2048
-PIVOTS = 64
+BLOCK_ROWS, CELL_ROWS = 2048, 256
+PIVOTS = 1024
 
 
 def embedding_text(text: Column, tags: Column, aliases: Column) -> Column:
@@ -143,11 +143,13 @@ def similar_pairs(cards: DataFrame, threshold: float = LINK, boosts: bool = True
         lowered = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.lower(x)))
         title = F.lower(F.regexp_replace(F.col("name"), "[-_]", " "))
         base = base.select("id", "embedding", lowered("tags").alias("tags"), lowered("aliases").alias("aliases"), F.array(title).alias("title"))
-        most = base.select(F.coalesce(F.max(F.size("tags")), F.lit(0))).first()[0]
-        low = threshold - max(ALIAS_BOOST, TAG_BOOST * most)
     else:
         empty = F.array().cast("array<string>")
         base = base.select("id", "embedding", empty.alias("tags"), empty.alias("aliases"), empty.alias("title"))
+    most, rows = base.select(F.coalesce(F.max(F.size("tags")), F.lit(0)), F.count("*")).first()
+    if boosts:
+        low = threshold - max(ALIAS_BOOST, TAG_BOOST * most)
+    pivots = max(1, min(pivots, -(-rows // CELL_ROWS)))
     # A vector of length zero has cosine 0 with everything, so it stays in the search.
     centres = _pivots(base, pivots)
     reach = math.acos(max(-1.0, min(1.0, low))) + 1e-6

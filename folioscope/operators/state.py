@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import markup as md, text as tx, vocab
 from ..functions.ordered import with_previous
+from ..session import cut_lineage
 
 CONFLICT_SECONDS = 300
 CLONE_SKEW = "INTERVAL '5' MINUTE"
@@ -121,26 +122,26 @@ def review_marks(posts: DataFrame) -> DataFrame:
         last.alias("last"))
 
 
-def awaiting_review(notes: DataFrame, posts: DataFrame) -> DataFrame:
+def awaiting_review(notes: DataFrame, posts: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Supported propositions without a reviewer's answer after the last move to supported."""
     held = notes.filter((F.col("kind") == "proposition") & (F.col("status") == "supported")).select("slug")
-    marks = held.join(review_marks(posts), "slug", "left")
-    return marks.filter(F.col("answered").isNull() | (F.col("answered") < F.col("claimed"))).select("slug")
+    judged = held.join(review_marks(posts) if marks is None else marks, "slug", "left")
+    return judged.filter(F.col("answered").isNull() | (F.col("answered") < F.col("claimed"))).select("slug")
 
 
-def weakly_reviewed(notes: DataFrame, posts: DataFrame) -> DataFrame:
+def weakly_reviewed(notes: DataFrame, posts: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Supported propositions whose answers after that move all came from the cheap tier."""
     held = notes.filter((F.col("kind") == "proposition") & (F.col("status") == "supported")).select("slug")
     start = F.coalesce("claimed", F.lit(-1))
-    return held.join(review_marks(posts), "slug").filter(
+    return held.join(review_marks(posts) if marks is None else marks, "slug").filter(
         (F.col("answered") > start) & (F.col("strongly").isNull() | (F.col("strongly") < start))).select("slug")
 
 
-def restating(notes: DataFrame, posts: DataFrame) -> DataFrame:
+def restating(notes: DataFrame, posts: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Propositions in testing whose last post is a reviewer's move there with a restate verdict."""
     held = notes.filter((F.col("kind") == "proposition") & (F.col("status") == "testing")).select("slug")
     last = F.col("last")
-    return held.join(review_marks(posts), "slug").filter(
+    return held.join(review_marks(posts) if marks is None else marks, "slug").filter(
         last["src"].isNotNull() & (last["dst"] == "testing") & is_restate(last["host"], last["text"])).select("slug")
 
 
@@ -404,9 +405,13 @@ PRIORITY = ("inbox", "debt", "rule", "queue", "empty-line", "bets", "reread", "e
 
 def next_actions(notes: DataFrame, posts: DataFrame, now, files: DataFrame | None = None, inbox: DataFrame | None = None,
                  violations: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
-    """Everything worth doing, most owed first: priority, key, slug, line, cost. One union."""
-    lines = line_rollup(notes, posts, now)
-    queue = human_queue(notes, lines)
+    """Everything worth doing, most owed first: priority, key, slug, line, cost. One union.
+
+    The tables several branches read, one row per line or note, are stored once.
+    """
+    lines = cut_lineage(line_rollup(notes, posts, now))
+    queue = cut_lineage(human_queue(notes, lines))
+    marks = cut_lineage(review_marks(posts))
     first = notes.select("slug", first_line_of(F.col("lines")).alias("line"))
     empty = F.lit(None).cast("string")
 
@@ -422,12 +427,12 @@ def next_actions(notes: DataFrame, posts: DataFrame, now, files: DataFrame | Non
     out = out.unionByName(branch(queue.filter(F.col("kind") != "bet"), "queue", "human", label=F.col("kind"), line=F.col("line")))
     out = out.unionByName(branch(empty_lines(notes, lines, queue), "empty-line", "human", slug=F.col("line"), line=F.col("line")))
     out = out.unionByName(branch(bets_waiting(notes).agg(F.min("slug").alias("slug")).filter("slug IS NOT NULL"), "bets", "human"))
-    weak = weakly_reviewed(notes, posts).agg(F.min("slug").alias("slug")).filter("slug IS NOT NULL")
+    weak = weakly_reviewed(notes, posts, marks).agg(F.min("slug").alias("slug")).filter("slug IS NOT NULL")
     out = out.unionByName(branch(weak.join(first, "slug"), "reread", "human", line=F.col("line")))
     if files is not None:
         out = out.unionByName(branch(evidence_outside(notes, posts, files).join(first, "slug"), "evidence", "machine", line=F.col("line")))
-    out = out.unionByName(branch(restating(notes, posts).join(first, "slug"), "restate", "machine", line=F.col("line")))
-    out = out.unionByName(branch(awaiting_review(notes, posts).join(first, "slug"), "review", "machine", line=F.col("line")))
+    out = out.unionByName(branch(restating(notes, posts, marks).join(first, "slug"), "restate", "machine", line=F.col("line")))
+    out = out.unionByName(branch(awaiting_review(notes, posts, marks).join(first, "slug"), "review", "machine", line=F.col("line")))
     live = lines.filter(~F.col("status").isin("closed", "dormant")).join(spoken_lines(notes, queue), "line", "left_anti").select("line")
     out = out.unionByName(branch(oldest_open(notes, posts).join(live, "line", "left_semi"), "work", "machine", line=F.col("line")))
     return out.orderBy("priority", "slug", "key")
