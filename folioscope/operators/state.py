@@ -445,9 +445,14 @@ def unfiled(inbox: DataFrame, scaffold: DataFrame | None = None, text: str = "te
     return lines.join(scaffold.select("line").distinct(), "line", "left_anti") if scaffold is not None else lines
 
 
-def recent_decisions(log: DataFrame, limit: int = 8, text: str = "text") -> DataFrame:
-    """Latest entries of a decision log: its second-level headings, last first."""
-    heads = log.select(F.posexplode(md.lines_of(F.col(text))).alias("seq", "line")).filter(F.col("line").rlike(r"^##\s+\S"))
+def log_lines(log: DataFrame, text: str = "text") -> DataFrame:
+    """A decision log as numbered lines: seq, line."""
+    return log.select(F.posexplode(md.lines_of(F.col(text))).alias("seq", "line"))
+
+
+def recent_decisions(lines: DataFrame, limit: int = 8) -> DataFrame:
+    """Latest entries of a decision log: its second-level headings, last first. `lines`: seq, line."""
+    heads = lines.filter(F.col("line").rlike(r"^##\s+\S"))
     return heads.orderBy(F.col("seq").desc()).limit(limit).select("seq", tx.strip(F.regexp_replace("line", "^##", "")).alias("entry"))
 
 

@@ -37,5 +37,5 @@ def query(ids: str, oracle: str | None = None) -> Callable:
 
 def catalog() -> dict[str, Query]:
     """Every registered query; the families register on import."""
-    from . import corpus_queries, graph_queries, intake_queries, quality_queries, search_queries, state_queries, stream_queries  # noqa: F401
+    from . import corpus_queries, graph_queries, intake_queries, io_queries, quality_queries, search_queries, state_queries, stream_queries  # noqa: F401
     return CATALOG

@@ -130,3 +130,8 @@ def test_excerpt_is_the_tail(spark):
     for s in range(3):
         body = "\n\n".join(f"{r}: {t}" for _, sid, _, r, t in turns if sid == f"s{s}")
         assert got[f"s{s}"] == (body if len(body) <= 100 else "…\n\n" + body[-100:])
+
+
+def test_recent_decisions(spark):
+    log = spark.createDataFrame([("# log\n## one\ntext\n## two\n### no\n## three\n",)], "text string")
+    assert [r["entry"] for r in st.recent_decisions(st.log_lines(log), 2).collect()] == ["three", "two"]
