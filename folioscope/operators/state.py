@@ -632,7 +632,8 @@ def intent_health(debts: Column, notes: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), 1.0 - debts / notes), 3)
 
 
-def sync_ratio(scores: DataFrame) -> DataFrame:
-    """Weighted mean of the available scores in percent, one decimal. `scores`: weight, score."""
-    return scores.agg(F.round(100 * F.sum(F.when(F.col("score").isNotNull(), F.col("weight") * F.col("score")))
-                              / F.nullif(F.sum(F.when(F.col("score").isNotNull(), F.col("weight"))), F.lit(0)), 1).alias("sync_ratio"))
+def sync_ratio(scores: DataFrame, *keys: str) -> DataFrame:
+    """Weighted mean of the available scores in percent, one decimal. `scores`: weight, score and any keys."""
+    known = F.col("score").isNotNull()
+    mean = F.sum(F.when(known, F.col("weight") * F.col("score"))) / F.nullif(F.sum(F.when(known, F.col("weight"))), F.lit(0))
+    return scores.groupBy(*keys).agg(F.round(100 * mean, 1).alias("sync_ratio"))

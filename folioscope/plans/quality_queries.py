@@ -164,14 +164,17 @@ def unexpected_entries(t: Tables) -> DataFrame:
     return qu.unexpected_entries(t.card_rows.select(F.when(k == 0, F.concat(F.lit("junk/"), "path")).when(k == 1, F.lit("raw/stray/x.md")).otherwise(F.col("path")).alias("path")))
 
 
-@query("J31", """SELECT path, NULL AS link, 'not listed' AS issue FROM card_rows WHERE path LIKE 'wiki/topics/%' AND doc_id % 4 <> 0 UNION ALL SELECT 'wiki/topics/gone-' || CAST(doc_id AS STRING) || '.md', 'gone-' || CAST(doc_id AS STRING) || '.md', 'dead link' FROM card_rows WHERE path LIKE 'wiki/topics/%' AND doc_id % 9 = 0""")
+@query("J31", """WITH c AS (SELECT doc_id, 'wiki/topics/' || CAST(doc_id // 100 AS STRING) AS folder FROM card_rows WHERE path LIKE 'wiki/topics/%')
+SELECT folder || '/t-' || CAST(doc_id AS STRING) || '.md' AS path, NULL AS link, 'not listed' AS issue FROM c WHERE doc_id % 4 <> 0 UNION ALL SELECT folder || '/gone-' || CAST(doc_id AS STRING) || '.md', 'gone-' || CAST(doc_id AS STRING) || '.md', 'dead link' FROM c WHERE doc_id % 9 = 0""")
 def listing_issues(t: Tables) -> DataFrame:
-    topics = t.card_rows.filter(F.col("path").startswith("wiki/topics/"))
-    line = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("[g](gone-"), F.col("doc_id").cast("string"), F.lit(".md)")))
-    row = F.concat_ws(" ", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("[x]("), md.basename(F.col("path")), F.lit(")"))), line)
-    # One listing per folder and thousand cards: long listings come as several rows.
-    listings = topics.groupBy(F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("text")).select(F.lit("wiki/topics").alias("folder"), "text")
-    return qu.index_consistency(listings, topics.select("path")).distinct()
+    d = F.col("doc_id").cast("string")
+    topics = t.card_rows.filter(F.col("path").startswith("wiki/topics/")).select(
+        "doc_id", F.concat(F.lit("wiki/topics/"), F.floor(F.col("doc_id") / 100).cast("string")).alias("folder")).withColumn("path", F.concat("folder", F.lit("/t-"), d, F.lit(".md")))
+    row = F.concat_ws(" ", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("[x]("), md.basename(F.col("path")), F.lit(")"))),
+                      F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("[g](gone-"), d, F.lit(".md)"))))
+    # A folder holds at most a hundred cards, so its listing is a bounded text.
+    listings = topics.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("text"))
+    return qu.index_consistency(listings, topics.select("path"))
 
 
 # ------------------------------------------------------------------ sources

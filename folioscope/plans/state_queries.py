@@ -279,9 +279,8 @@ def health_scores(t: Tables) -> DataFrame:
     scored = wide.select(
         st.knowledge_health(F.lit(False), F.col("chunks") - F.col("vectors"), F.col("claims"), F.col("verified")).alias("knowledge"),
         st.retrieval_health(F.lit(True), F.col("chunks"), F.col("vectors")).alias("retrieval"), st.intent_health(F.col("debt"), F.col("notes")).alias("intent"))
-    packed = scored.withColumn("s", F.explode(F.array("knowledge", "retrieval", "intent")))
-    ratio = st.sync_ratio(packed.select(F.lit(1.0).alias("weight"), F.col("s").alias("score")))
-    return scored.select("*", F.lit(1).alias("k")).join(ratio.withColumn("k", F.lit(1)), "k").drop("k")
+    long = scored.select("*", F.lit(1.0).alias("weight"), F.explode(F.array("knowledge", "retrieval", "intent")).alias("score"))
+    return st.sync_ratio(long, "knowledge", "retrieval", "intent")
 
 
 # ------------------------------------------------------------------ calls, spawns, retention
