@@ -53,10 +53,10 @@ def index_totals(t: Tables) -> DataFrame:
 SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), '_', '-'), '\\s+', '-', 'g'), '[^\\p{{L}}\\p{{N}}\\-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query("C9 C10", f"""WITH s AS (SELECT doc_id, {SLUG.format("substr(text, 1, 120)")} AS slug_full FROM documents), c AS (SELECT *, substr(slug_full, 1, 80) AS cut FROM s)
-SELECT doc_id, slug_full, CASE WHEN length(slug_full) > 80 THEN regexp_replace(CASE WHEN length(regexp_extract(cut, '^(.*)-[^-]*$', 1)) >= 40 THEN regexp_extract(cut, '^(.*)-[^-]*$', 1) ELSE cut END, '^-+|-+$', '', 'g') ELSE slug_full END AS slug FROM c""")
+@query("C9 C10", f"""WITH s AS (SELECT doc_id, {SLUG.format("text")} AS slug_full FROM documents), c AS (SELECT *, substr(slug_full, 1, 80) AS cut FROM s)
+SELECT doc_id, md5(slug_full) AS slug_full, CASE WHEN length(slug_full) > 80 THEN regexp_replace(CASE WHEN length(regexp_extract(cut, '^(.*)-[^-]*$', 1)) >= 40 THEN regexp_extract(cut, '^(.*)-[^-]*$', 1) ELSE cut END, '^-+|-+$', '', 'g') ELSE slug_full END AS slug FROM c""")
 def slugs(t: Tables) -> DataFrame:
-    return co.with_slugs(t.documents.select("doc_id", F.substring("text", 1, 120).alias("head")), "head").select("doc_id", "slug", "slug_full")
+    return co.with_slugs(t.documents.select("doc_id", F.col("text").alias("head")), "head").select("doc_id", "slug", F.md5("slug_full").alias("slug_full"))
 
 
 @query("C12 A30", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages")
@@ -92,9 +92,9 @@ def corpus_census(t: Tables) -> DataFrame:
     return co.census(t.card_rows.select("path", F.col("doc_id").alias("mtime")))
 
 
-@query("S19", "SELECT 'wiki/' AS base, string_split(path, '/')[2] AS entry, count(*) AS files, CAST(sum(length(body)) AS BIGINT) AS bytes FROM card_rows WHERE path LIKE 'wiki/%' GROUP BY ALL")
+@query("S19", "SELECT 'all/in/' AS base, string_split(path, '/')[1] AS entry, count(*) AS files, CAST(sum(length(body)) AS BIGINT) AS bytes FROM card_rows GROUP BY ALL")
 def folder_inventory(t: Tables) -> DataFrame:
-    files = t.card_rows.filter(F.col("path").startswith("wiki/")).select("path", F.length("body").cast("bigint").alias("length"))
+    files = t.card_rows.select(F.concat(F.lit("all/in/"), "path").alias("path"), F.length("body").cast("bigint").alias("length"))
     return co.folder_inventory(files).select("base", "entry", "files", "bytes")
 
 
@@ -117,10 +117,10 @@ def collection_summary(t: Tables) -> DataFrame:
     return co.collection_summary(cards).select("collection", "files", "wikilinks", "without_sources", "avg_links")
 
 
-@query("A6", """SELECT doc_id, CAST(1 AS INT) AS links, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) + 3 AS INT) AS words FROM documents WHERE NOT contains(text, '$') AND NOT contains(text, chr(92))""")
+@query("A6", """SELECT doc_id, CAST(1 AS INT) AS links, CAST(len(list_filter(string_split_regex(replace(replace(text, '$', ''), chr(92), ''), '\\s+'), lambda x: x <> '')) + 3 AS INT) AS words FROM documents""")
 def link_density(t: Tables) -> DataFrame:
-    clean = t.documents.filter(~F.contains("text", F.lit("$")) & ~F.contains("text", F.lit("\\")))
-    return co.link_density(clean.select("doc_id", F.concat("text", F.lit(" [[a b]] $x y z$ $$q r$$ end")).alias("text"))).select("doc_id", "links", "words")
+    clean = F.regexp_replace("text", r"[$\\]", "")
+    return co.link_density(t.documents.select("doc_id", F.concat(clean, F.lit(" [[a b]] $x y z$ $$q r$$ end")).alias("text"))).select("doc_id", "links", "words")
 
 
 @query("J30", """WITH names AS (SELECT DISTINCT regexp_extract(path, '([^/]*)\\.md$', 1) AS name FROM card_rows WHERE path LIKE 'wiki/concepts/%' OR path LIKE 'wiki/references/%')

@@ -64,12 +64,12 @@ KEYS = """names AS (SELECT id, 0 AS o, title AS name FROM node_rows UNION ALL SE
 keys AS (SELECT replace(lower(trim(name)), '_', ' ') AS key, arg_min(id, {'p': id || '.md', 'o': o}) AS id FROM names WHERE trim(name) <> '' GROUP BY 1)"""
 
 
-@query("J1 C37", f"""WITH {KEYS}, l AS (SELECT 'order/' || CAST(l_orderkey AS STRING) AS source_id, CASE l_linenumber % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_type || '_' || CAST(p_size AS STRING) ELSE 'ghost ' || p_name END AS link FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45)
+@query("J1 C37", f"""WITH {KEYS}, l AS (SELECT 'order/' || CAST(l_orderkey AS STRING) AS source_id, CASE l_linenumber % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_type || '_' || CAST(p_size AS STRING) ELSE 'ghost ' || p_name END AS link FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT DISTINCT source_id, coalesce(id, link) AS target_id, 'wikilink' AS type FROM l LEFT JOIN keys ON key = replace(lower(trim(link)), '_', ' ')""")
 def resolved_links(t: Tables) -> DataFrame:
     kind = F.col("l_linenumber") % 3
     link = F.when(kind == 0, F.upper("p_name")).when(kind == 1, F.concat_ws("_", "p_type", F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("ghost "), "p_name"))
-    links = t.lineitem.filter("l_quantity > 45").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+    links = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("source_id"), link.alias("link"))
     return gr.resolve_links(links, gr.key_table(t.nodes, t.alias_rows))
 
@@ -151,10 +151,10 @@ def graph_staleness(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ discovery
 
 @query("J9 U2", """WITH s AS (SELECT DISTINCT 'o-' || CAST(user_id AS STRING) AS id FROM events), c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY feed, pos) AS r FROM candidate_rows WHERE id NOT IN (SELECT id FROM s)
-  AND coalesce(arxiv_id, '') NOT IN (SELECT '2401.' || lpad(CAST(p_partkey AS STRING), 5, '0') FROM part WHERE p_partkey % 3 = 0)) SELECT id, pos, source FROM c WHERE r = 1""")
+  AND coalesce(arxiv_id, '') NOT IN (SELECT '2401.' || lpad(CAST(p_partkey AS STRING), 5, '0') FROM part)) SELECT id, pos, source FROM c WHERE r = 1""")
 def unseen_candidates(t: Tables) -> DataFrame:
     seen = t.events.select(F.concat(F.lit("o-"), F.col("user_id").cast("string")).alias("id"))
-    held = t.part.filter("p_partkey % 3 = 0").select(F.concat(F.lit("2401."), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("arxiv_id"))
+    held = t.part.select(F.concat(F.lit("2401."), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("arxiv_id"))
     return rd.unseen(t.candidate_rows, seen, held, order=("feed", "pos")).select("id", "pos", "source")
 
 
@@ -202,16 +202,16 @@ def radar_status(t: Tables) -> DataFrame:
 
 
 def _gap_inputs(t: Tables):
-    own = t.orders.filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("paper_id"))
-    near = F.explode(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.struct(i.alias("pos"), ((F.col("o_orderkey") * 13 + i * 101) % 1500).alias("candidate_id"))))
+    own = t.orders.select(F.col("o_orderkey").alias("paper_id"))
+    near = F.explode(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.struct(i.alias("pos"), ((F.col("o_orderkey") * 13 + i * 101) % 15000).alias("candidate_id"))))
     neighbours = t.orders.select(F.col("o_orderkey").alias("paper_id"), near.alias("n")).select("paper_id", "n.candidate_id", "n.pos", (2015 + F.col("n.candidate_id") % 10).alias("year"), F.lit("t").alias("title"))
     citations = neighbours.filter("pos % 11 = 0").select("paper_id", F.col("candidate_id").alias("citing_id"))
     references = t.reference_rows.withColumn("cited_title", F.concat(F.lit("Title "), F.col("cited_id").cast("string")))
     return own, neighbours.filter("candidate_id <> paper_id"), citations, references
 
 
-GAPS = """own AS (SELECT o_orderkey AS paper_id FROM orders WHERE o_orderkey % 7 = 0),
-nb0 AS (SELECT paper_id, i AS pos, (paper_id * 13 + i * 101) % 1500 AS candidate_id FROM own, (SELECT unnest(range(1, 31)) AS i)),
+GAPS = """own AS (SELECT o_orderkey AS paper_id FROM orders),
+nb0 AS (SELECT paper_id, i AS pos, (paper_id * 13 + i * 101) % 15000 AS candidate_id FROM own, (SELECT unnest(range(1, 31)) AS i)),
 el AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS r FROM nb0 a WHERE candidate_id <> paper_id AND 2015 + candidate_id % 10 >= 2018
   AND NOT EXISTS (SELECT 1 FROM nb0 c WHERE c.paper_id = a.paper_id AND c.candidate_id = a.candidate_id AND c.pos % 11 = 0)),
 gaps AS (SELECT el.paper_id, el.candidate_id, count(*) AS shared FROM el JOIN reference_rows a ON a.paper_id = el.candidate_id JOIN reference_rows b ON b.paper_id = el.paper_id AND b.cited_id = a.cited_id WHERE r <= 20 GROUP BY ALL HAVING count(*) >= 2)"""
@@ -233,14 +233,14 @@ def shared_references(t: Tables) -> DataFrame:
     return rd.shared_references(t.reference_rows, pairs)
 
 
-@query("S11 S12", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g')) AS title FROM documents WHERE doc_id % 6 <> 0 AND trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g')) <> '' AND 1990 + doc_id % 40 BETWEEN 2000 AND 2020)
-SELECT CASE WHEN doc_id % 3 = 0 THEN '2401.' || lpad(CAST(doc_id % 90000 AS STRING), 5, '0') ELSE '10.1/' || CAST(doc_id AS STRING) END AS id, title, CAST(1990 + doc_id % 40 AS INT) AS year, md5(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 1500)) AS abstract FROM l WHERE k <= 15""")
+@query("S11 S12", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title FROM documents WHERE doc_id % 6 <> 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND 1990 + doc_id % 40 BETWEEN 2000 AND 2020)
+SELECT CASE WHEN doc_id % 3 = 0 THEN '2401.' || lpad(CAST(doc_id % 90000 AS STRING), 5, '0') ELSE '10.1/' || CAST(doc_id AS STRING) END AS id, md5(title) AS title, CAST(1990 + doc_id % 40 AS INT) AS year, md5(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 1500)) AS abstract FROM l WHERE k <= 15""")
 def keyword_feed(t: Tables) -> DataFrame:
     d = F.col("doc_id")
-    landed = t.documents.select(F.col("lang").alias("query"), d.alias("pos"), F.when(d % 6 != 0, F.substring("text", 1, 80)).alias("title"), (1990 + d % 40).alias("year"), F.col("text").alias("abstract"),
+    landed = t.documents.select(F.col("lang").alias("query"), d.alias("pos"), F.when(d % 6 != 0, F.col("text")).alias("title"), (1990 + d % 40).alias("year"), F.col("text").alias("abstract"),
                                 F.lit("u").alias("url"), d.cast("string").alias("paperId"), F.struct(F.when(d % 3 == 0, F.concat(F.lit("2401."), F.lpad((d % 90000).cast("string"), 5, "0"))).alias("ArXiv"),
                                 F.concat(F.lit("10.1/"), d.cast("string")).alias("DOI")).alias("externalIds"), F.array(F.struct(F.lit("A").alias("name"))).alias("authors"))
-    return rd.keyword_feed(landed, limit=60, queries=4, first_year=2000, last_year=2020).select("id", "title", "year", F.md5("abstract").alias("abstract"))
+    return rd.keyword_feed(landed, limit=60, queries=4, first_year=2000, last_year=2020).select("id", F.md5("title").alias("title"), "year", F.md5("abstract").alias("abstract"))
 
 
 @query("S13", "SELECT '2401.' || lpad(CAST(event_id % 90000 AS STRING), 5, '0') AS id, 'arxiv-new:' || event_type AS source FROM ev WHERE event_id % 9 <> 0 AND us >= 1705881600000000")

@@ -86,15 +86,15 @@ def pending_requests(t: Tables) -> DataFrame:
     return it.pending(t.queue_rows, t.batch_rows).select("req_id", "source_type", "value")
 
 
-@query("J17", f"WITH {PENDING} SELECT req_id FROM (SELECT * REPLACE (seq + 1000000000 AS seq) FROM queue_rows WHERE seq % 2 = 0) q WHERE retry_of IS NULL AND EXISTS (SELECT 1 FROM waiting w WHERE w.retry_of IS NULL AND w.source_type = q.source_type AND w.value = q.value)")
+@query("J17", f"WITH {PENDING} SELECT req_id FROM queue_rows q WHERE retry_of IS NULL AND EXISTS (SELECT 1 FROM waiting w WHERE w.retry_of IS NULL AND w.source_type = q.source_type AND w.value = q.value)")
 def repeated_requests(t: Tables) -> DataFrame:
-    return it.repeat_requests(t.queue_rows.filter("seq % 2 = 0"), t.queue_rows, t.batch_rows).select("req_id")
+    return it.repeat_requests(t.queue_rows, t.queue_rows, t.batch_rows).select("req_id")
 
 
-@query("ST12", f"""WITH waiting AS (SELECT * FROM queue_rows WHERE seq % 3 = 0 AND req_id NOT IN (SELECT req_id FROM batch_rows WHERE kind = 'item')), inc AS (SELECT *, row_number() OVER (PARTITION BY source_type, value, retry_of IS NULL ORDER BY seq) AS r FROM queue_rows WHERE seq % 3 = 1)
+@query("ST12", f"""WITH waiting AS (SELECT * FROM queue_rows WHERE req_id NOT IN (SELECT req_id FROM batch_rows WHERE kind = 'item')), inc AS (SELECT *, row_number() OVER (PARTITION BY source_type, value, retry_of IS NULL ORDER BY seq) AS r FROM queue_rows)
 SELECT req_id FROM inc WHERE retry_of IS NOT NULL OR (r = 1 AND NOT EXISTS (SELECT 1 FROM waiting w WHERE w.retry_of IS NULL AND w.source_type = inc.source_type AND w.value = inc.value))""")
 def admitted_requests(t: Tables) -> DataFrame:
-    return it.admit_requests(t.queue_rows.filter("seq % 3 = 1"), t.queue_rows.filter("seq % 3 = 0"), t.batch_rows).select("req_id")
+    return it.admit_requests(t.queue_rows, t.queue_rows, t.batch_rows).select("req_id")
 
 
 BATCH = """folded AS (SELECT batch, item_id, arg_max(req_id, seq) FILTER (kind = 'item') AS req_id, arg_max(CASE WHEN error IS NULL THEN '' ELSE error END, seq) FILTER (kind = 'item') AS error, arg_max(n_flags, seq) FILTER (kind = 'item') AS n_flags,

@@ -95,11 +95,13 @@ def unclosed_fences(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", md.fence_left_open(F.concat(F.regexp_replace("text", "[`~]", ""), tail)).alias("open"))
 
 
-@query("Q14", """WITH p AS (SELECT conv_id AS doc_id, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS c FROM conversations GROUP BY conv_id)
-SELECT doc_id, pages, CAST(floor(c / pages) AS BIGINT) AS chars_per_page, c / pages >= 200 AS usable FROM p WHERE pages <= 6""")
+@query("Q14", """WITH n AS (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY conv_id),
+w AS (SELECT conv_id, pages, unnest(CASE WHEN pages <= 6 THEN range(0, pages) ELSE list_distinct(list_transform(range(0, 6), lambda i: CAST(round_even(i * (pages - 1) / 5, 0) AS BIGINT))) END) AS turn FROM n),
+p AS (SELECT conv_id AS doc_id, pages, CAST(floor(sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) / count(*)) AS BIGINT) AS chars_per_page FROM w JOIN conversations USING (conv_id, turn) GROUP BY ALL)
+SELECT doc_id, pages, chars_per_page, chars_per_page >= 200 AS usable FROM p""")
 def text_layers(t: Tables) -> DataFrame:
     pages = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text", F.lit(False).alias("full_page_image"))
-    return qu.text_layer(pages).filter("pages <= 6").select("doc_id", "pages", "chars_per_page", "usable")
+    return qu.text_layer(pages).select("doc_id", "pages", "chars_per_page", "usable")
 
 
 @query("Q15 C35", "SELECT doc_id, CAST(7 AS INT) AS run FROM documents WHERE doc_id % 2 = 0")
@@ -221,7 +223,7 @@ def uncompiled_sources(t: Tables) -> DataFrame:
     return qu.uncompiled(_files(t), t.cards)
 
 
-@query("Q16", """SELECT path, unnest(list_filter([CASE WHEN title = '' THEN 'missing title|1' END, 'no heading|1', 'dangling links|1', CASE WHEN sources_csv LIKE 'raw/%' AND doc_id % 5 = 2 THEN 'missing sources|1' WHEN doc_id % 5 = 0 THEN 'missing sources|1' WHEN doc_id % 5 = 1 AND 'raw/papers/p-' || CAST(doc_id + 2 AS STRING) || '.md' NOT IN (SELECT path FROM card_rows) THEN 'missing sources|1' END, 'uncited paragraphs|1'], lambda x: x IS NOT NULL)) AS issue FROM card_rows WHERE path LIKE 'wiki/%'""")
+@query("Q16", """WITH miss AS (SELECT path FROM (SELECT path, unnest(string_split(sources_csv, ';')) AS s FROM card_rows) WHERE s <> '' AND s NOT LIKE 'http%' AND s NOT IN (SELECT path FROM card_rows)) SELECT path, unnest(list_filter([CASE WHEN title = '' THEN 'missing title|1' END, 'no heading|1', 'dangling links|1', CASE WHEN path IN (SELECT path FROM miss) THEN 'missing sources|1' END, 'uncited paragraphs|1'], lambda x: x IS NOT NULL)) AS issue FROM card_rows WHERE path LIKE 'wiki/%'""")
 def synthesis_issues(t: Tables) -> DataFrame:
     body = F.concat(F.lit("See [[no such page]] first.\n\nThis paragraph makes a claim at some length without any citation.\n\nProof that this long paragraph of a derivation needs none of them.\n\n<!-- hidden paragraph that is long enough to count if it were seen -->"))
     docs = t.cards.filter(F.col("path").startswith("wiki/")).withColumn("body", body).withColumn("type", F.lit(""))

@@ -275,10 +275,10 @@ def embedding_cache(t: Tables) -> DataFrame:
     return sm.embedding_cache(cards, held, sm.hashed_embedding(16)).select("name", "hash", "cached", F.round(F.element_at("embedding", 1), 6).alias("first"))
 
 
-@query("U5", """WITH c AS (SELECT *, doc_id - doc_id % 2 AS pair FROM card_rows WHERE doc_id % 5 IN (0, 1)), l AS (SELECT * FROM c WHERE doc_id % 2 = 0), r AS (SELECT * FROM c WHERE doc_id % 2 = 1)
+@query("U5", """WITH c AS (SELECT *, doc_id - doc_id % 2 AS pair FROM card_rows), l AS (SELECT * FROM c WHERE doc_id % 2 = 0), r AS (SELECT * FROM c WHERE doc_id % 2 = 1)
 SELECT l.pair, coalesce(l.updated, r.updated) AS updated, list_sort(list_distinct(list_concat(string_split(l.tags_csv, ';'), string_split(r.tags_csv, ';')))).array_to_string(';') AS tags FROM l JOIN r USING (pair)""")
 def merged_card_fields(t: Tables) -> DataFrame:
-    cards = t.cards.filter((F.col("doc_id") % 5).isin(0, 1)).withColumn("pair", F.col("doc_id") - F.col("doc_id") % 2)
+    cards = t.cards.withColumn("pair", F.col("doc_id") - F.col("doc_id") % 2)
     pick = lambda n: cards.filter(F.col("doc_id") % 2 == n).select("pair", "updated", "tags")
     return sm.merged_fields(pick(0), pick(1), "pair").select("pair", "updated", F.array_join(F.array_sort("tags"), ";").alias("tags"))
 
@@ -318,9 +318,10 @@ def claim_backing(t: Tables) -> DataFrame:
     return cl.backing_rate(t.claim_rows).join(derived, "doc_path", "left").na.fill(0, ["derived"]).withColumn("rate", F.round("rate", 4))
 
 
-@query("C26 C23 X7", """SELECT doc_id, claim, evidence, source_type, source, substr(sha1(doc_path || '|' || claim), 1, 12) AS claim_id FROM claim_rows WHERE evidence <> '' AND NOT contains(evidence, chr(10)) AND NOT contains(evidence, '"') AND trim(evidence) = evidence""")
+@query("C26 C23 X7", """SELECT doc_id, claim, 'x' || replace(replace(evidence, chr(10), ' '), '"', '') || 'x' AS evidence, source_type, source, substr(sha1(doc_path || '|' || claim), 1, 12) AS claim_id FROM claim_rows""")
 def claim_block_extraction(t: Tables) -> DataFrame:
-    rows = t.claim_rows.filter((F.col("evidence") != "") & ~F.contains("evidence", F.lit("\n")) & ~F.contains("evidence", F.lit('"')) & (F.trim("evidence") == F.col("evidence")))
+    quote = F.concat(F.lit("x"), F.replace(F.replace("evidence", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("")), F.lit("x"))
+    rows = t.claim_rows.withColumn("evidence", quote)
     text = F.concat(F.lit("Some prose.\n\nCLAIM: "), "claim", F.lit('\nEVIDENCE: "'), "evidence", F.lit('"\nSOURCE_TYPE: '), "source_type", F.lit("\nSOURCE: "), "source", F.lit("\n"))
     blocks = cl.claim_blocks(rows.select("doc_id", "doc_path", text.alias("text")))
     return blocks.select("doc_id", "claim", "evidence", "source_type", "source", F.substring(F.sha1(F.concat_ws("|", "doc_path", "claim")), 1, 12).alias("claim_id"))

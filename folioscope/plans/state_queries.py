@@ -372,26 +372,26 @@ def ruled_proposals(t: Tables) -> DataFrame:
     return rf.live_rules(folded).select("id", F.lit("live rule").alias("state")).unionByName(rf.rejected(folded).select("id", F.lit("rejected").alias("state")))
 
 
-@query("J33", f"""WITH {FOLD}, silent AS (SELECT pattern FROM sighting_rows GROUP BY pattern HAVING max(day_us) < {NOW_US} - 8 * 86400000000)
+@query("J33", f"""WITH {FOLD}, silent AS (SELECT pattern FROM sighting_rows GROUP BY pattern HAVING max(day_us) < {NOW_US} - 6 * 86400000000)
 SELECT id FROM fold WHERE verdict = 'accepted' AND proposal_kind = 'rule' AND pattern IN (SELECT pattern FROM silent)""")
 def quiet_rules(t: Tables) -> DataFrame:
     folded, merged = rf.proposals(t.proposals), rf.patterns(t.sightings)
-    return rf.live_rules(folded).join(rf.silent_patterns(merged, TODAY, 8).select("pattern"), "pattern", "left_semi").select("id")
+    return rf.live_rules(folded).join(rf.silent_patterns(merged, TODAY, 6).select("pattern"), "pattern", "left_semi").select("id")
 
 
 PRINT = "{0}.proposal_kind || '|' || lower(trim({0}.target)) || '|' || regexp_replace(trim(regexp_replace(lower({0}.text), '\\s+', ' ', 'g')), '^[ .;:!?]+|[ .;:!?]+$', '', 'g')"
 
 
-@query("J34 C39", f"""WITH {FOLD}, d AS (SELECT seq, proposal_kind, target, text FROM proposal_rows WHERE seq % 5 = 0)
+@query("J34 C39", f"""WITH {FOLD}, d AS (SELECT seq, proposal_kind, target, text FROM proposal_rows)
 SELECT seq, {PRINT.format('d')} AS print FROM d WHERE {PRINT.format('d')} NOT IN (SELECT {PRINT.format('fold')} FROM fold WHERE verdict <> 'retired')""")
 def new_proposals(t: Tables) -> DataFrame:
-    drafts = t.proposals.filter(F.col("seq") % 5 == 0).select("seq", "proposal_kind", "target", "text")
+    drafts = t.proposals.select("seq", "proposal_kind", "target", "text")
     return rf.new_proposals(drafts, rf.proposals(t.proposals)).select("seq", "print")
 
 
 @query("J35")
 def admitted_proposals(t: Tables) -> DataFrame:
-    drafts = t.proposals.filter(F.col("seq") % 5 == 0).select("seq", "proposal_kind", "target", "text", "pattern")
+    drafts = t.proposals.select("seq", "proposal_kind", "target", "text", "pattern")
     ready = rf.ready_patterns(rf.patterns(t.sightings), TODAY)
     return rf.admit_proposals(drafts, ready, rf.pattern_members(t.sightings), rf.proposals(t.proposals)).select("seq", "pattern", "kept", "reason")
 

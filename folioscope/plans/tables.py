@@ -60,17 +60,17 @@ SELECT user_id, 'n-' || CAST(user_id AS STRING) AS slug,
   MIN(us) AS first_us, MAX(us) - (user_id % 5) * 86400000000 AS mtime_us
 FROM ev GROUP BY user_id""",
     "draft_rows": """
-SELECT 'drafts/d-' || CAST(user_id AS STRING) || '.md' AS path, MAX(us) + (user_id % 3 - 1) * 3600000000 AS mtime_us FROM ev WHERE user_id < 30 GROUP BY user_id""",
+SELECT 'drafts/d-' || CAST(user_id AS STRING) || '.md' AS path, MAX(us) + (user_id % 3 - 1) * 3600000000 AS mtime_us FROM ev GROUP BY user_id""",
     # ---- calls, spawns, sessions
     "call_rows": """
 SELECT event_id AS seq, us AS at_us, event_type AS kind, CASE user_id % 3 WHEN 0 THEN 'cheap' WHEN 1 THEN 'strong' ELSE 'default' END AS tier, value > 5 AS ok FROM ev""",
     "session_rows": """
 SELECT 'h' || CAST(user_id % 3 AS STRING) AS host, CAST(user_id AS STRING) || '@' || CAST((us - us % 86400000000) AS STRING) AS session_id,
   MIN(us - us % 1000000) AS lo_us, MIN(us - us % 1000000) + (MAX(us - us % 1000000) - MIN(us - us % 1000000)) / 24 - ((MAX(us - us % 1000000) - MIN(us - us % 1000000)) / 24) % 1000000 AS hi_us
-FROM ev WHERE user_id % 5 = 0 GROUP BY user_id, us - us % 86400000000""",
+FROM ev GROUP BY user_id, us - us % 86400000000""",
     "sighting_rows": """
 SELECT event_type || '-' || CAST(user_id % 7 AS STRING) AS pattern, CAST(user_id AS STRING) || '/' || CAST(event_id % 50 AS STRING) AS session,
-  'h' || CAST(user_id % 3 AS STRING) AS host, us - us % 86400000000 AS day_us, 'title ' || CAST(event_id AS STRING) AS title, props AS body FROM ev WHERE value > 30""",
+  'h' || CAST(user_id % 3 AS STRING) AS host, us - us % 86400000000 AS day_us, 'title ' || CAST(event_id AS STRING) AS title, props AS body FROM ev""",
     "proposal_rows": """
 SELECT event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 'proposal' ELSE 'verdict' END AS kind, 'q-' || CAST(user_id AS STRING) || '-' || CAST(event_id % 3 AS STRING) AS id, us AS at_us,
   CASE event_type WHEN 'click' THEN 'rule' WHEN 'view' THEN 'patch' WHEN 'error' THEN 'skill' ELSE 'fact' END AS proposal_kind,
@@ -94,7 +94,7 @@ UNION ALL SELECT p_partkey * 10 + 3, p_partkey, 3, 'https://arxiv.org/abs/2301.'
 UNION ALL SELECT p_partkey * 10 + 6, p_partkey, 6, CAST(1990 + p_size AS STRING) FROM part""",
     "attachment_rows": """
 SELECT l_orderkey * 10 + l_linenumber AS itemID, l_partkey AS parentItemID, CASE l_linenumber % 3 WHEN 0 THEN 'text/html' ELSE 'application/pdf' END AS contentType,
-  CASE WHEN l_linenumber % 4 = 0 THEN 'storage:undefined' WHEN l_linenumber % 5 = 0 THEN '/linked/file.pdf' ELSE 'storage:p' || CAST(l_orderkey AS STRING) || '.pdf' END AS path FROM lineitem WHERE l_quantity > 25""",
+  CASE WHEN l_linenumber % 4 = 0 THEN 'storage:undefined' WHEN l_linenumber % 5 = 0 THEN '/linked/file.pdf' ELSE 'storage:p' || CAST(l_orderkey AS STRING) || '.pdf' END AS path FROM lineitem""",
     "batch_rows": """
 SELECT event_id AS seq, 'batch-' || CAST(user_id % 9 AS STRING) AS batch, 'i-' || CAST(user_id AS STRING) AS item_id,
   CASE WHEN event_id % 4 = 0 THEN 'item' WHEN event_id % 4 = 1 THEN 'commit' ELSE 'decision' END AS kind, 'r-' || CAST(event_id AS STRING) AS req_id,
@@ -111,7 +111,7 @@ SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'wiki/concepts/c-' WHEN 1 THEN 'wiki/
   CASE WHEN doc_id % 5 = 3 THEN CASE WHEN doc_id % 4 = 0 THEN 'articles' ELSE 'papers' END ELSE '' END AS type,
   lang || CASE WHEN doc_id % 3 = 0 THEN ';' || source ELSE '' END AS tags_csv,
   CASE WHEN doc_id % 4 = 0 THEN 'alias ' || CAST(doc_id % 97 AS STRING) ELSE '' END AS aliases_csv,
-  CASE WHEN doc_id % 5 = 1 THEN 'raw/papers/p-' || CAST(doc_id + 2 AS STRING) || '.md' WHEN doc_id % 5 = 0 THEN 'p-' || CAST(doc_id + 8 AS STRING) || ';https://example.org/x'
+  CASE WHEN doc_id % 5 = 1 AND doc_id % 3 <> 1 THEN 'raw/papers/p-' || CAST(doc_id + 2 AS STRING) || '.md' WHEN doc_id % 5 = 0 AND doc_id % 4 = 1 THEN 'p-' || CAST(doc_id + 8 AS STRING) || ';https://example.org/x'
     WHEN doc_id % 10 = 2 THEN 'raw/none-' || CAST(doc_id AS STRING) || '.md' ELSE '' END AS sources_csv,
   CASE WHEN doc_id % 6 = 0 THEN NULL ELSE '2024-0' || CAST(1 + doc_id % 9 AS STRING) || '-1' || CAST(doc_id % 10 AS STRING) END AS updated,
   CASE doc_id % 4 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' WHEN 2 THEN 'cold' ELSE NULL END AS volatility,
@@ -138,7 +138,7 @@ UNION ALL SELECT 'part/' || CAST(p_partkey AS STRING), p_name, 'concept' FROM pa
 SELECT 'nation/' || n_name AS source_id, 'region/' || r_name AS target_id, 'wikilink' AS type FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT 'customer/' || CAST(c_custkey AS STRING), 'nation/' || n_name, 'wikilink' FROM customer JOIN nation ON c_nationkey = n_nationkey
 UNION ALL SELECT 'nation/' || n_name, 'supplier/' || CAST(s_suppkey AS STRING), 'supported_by' FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT DISTINCT 'part/' || CAST(l_partkey AS STRING), 'supplier/' || CAST(l_suppkey AS STRING), 'wikilink' FROM lineitem WHERE l_partkey % 10 = 3
+UNION ALL SELECT DISTINCT 'part/' || CAST(l_partkey AS STRING), 'supplier/' || CAST(l_suppkey AS STRING), 'wikilink' FROM lineitem
 UNION ALL SELECT 'part/' || CAST(p_partkey AS STRING), 'part/' || CAST(p_partkey AS STRING), 'wikilink' FROM part WHERE p_partkey % 100 = 7""",
     "tag_rows": """
 SELECT 'part/' || CAST(p_partkey AS STRING) AS node_id, p_brand AS tag FROM part UNION ALL SELECT 'customer/' || CAST(c_custkey AS STRING), lower(c_mktsegment) FROM customer
