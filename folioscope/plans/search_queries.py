@@ -189,9 +189,9 @@ def grep_lines(t: Tables) -> DataFrame:
 
 @query("T8", f"""WITH {PIECES},
 l AS (SELECT path, start_line, unnest(string_split(content, chr(10))) AS line FROM pieces)
-SELECT path, count(*) AS match_count FROM l WHERE contains(replace(lower(line), 'ß', 'ss'), 'thead') GROUP BY path, start_line ORDER BY match_count DESC, path, start_line LIMIT 8""")
+SELECT path, count(*) AS match_count FROM l WHERE contains(replace(lower(line), 'ß', 'ss'), 'nicht er') GROUP BY path, start_line ORDER BY match_count DESC, path, start_line LIMIT 8""")
 def sections_by_matches(t: Tables) -> DataFrame:
-    return rt.sections_by_matches(t.chunks, " THEad ").select("path", F.col("match_count").cast("bigint").alias("match_count"))
+    return rt.sections_by_matches(t.chunks, " NICHT er ").select("path", F.col("match_count").cast("bigint").alias("match_count"))
 
 
 # ------------------------------------------------------------------ similarity

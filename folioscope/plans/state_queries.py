@@ -372,11 +372,11 @@ def ruled_proposals(t: Tables) -> DataFrame:
     return rf.live_rules(folded).select("id", F.lit("live rule").alias("state")).unionByName(rf.rejected(folded).select("id", F.lit("rejected").alias("state")))
 
 
-@query("J33", f"""WITH {FOLD}, silent AS (SELECT pattern FROM sighting_rows GROUP BY pattern HAVING max(day_us) < {NOW_US} - 6 * 86400000000)
+@query("J33", f"""WITH {FOLD}, silent AS (SELECT pattern FROM sighting_rows GROUP BY pattern HAVING max(day_us) < {NOW_US} - 5 * 86400000000)
 SELECT id FROM fold WHERE verdict = 'accepted' AND proposal_kind = 'rule' AND pattern IN (SELECT pattern FROM silent)""")
 def quiet_rules(t: Tables) -> DataFrame:
     folded, merged = rf.proposals(t.proposals), rf.patterns(t.sightings)
-    return rf.live_rules(folded).join(rf.silent_patterns(merged, TODAY, 6).select("pattern"), "pattern", "left_semi").select("id")
+    return rf.live_rules(folded).join(rf.silent_patterns(merged, TODAY, 5).select("pattern"), "pattern", "left_semi").select("id")
 
 
 PRINT = "{0}.proposal_kind || '|' || lower(trim({0}.target)) || '|' || regexp_replace(trim(regexp_replace(lower({0}.text), '\\s+', ' ', 'g')), '^[ .;:!?]+|[ .;:!?]+$', '', 'g')"
