@@ -36,3 +36,11 @@ def test_matches_sql(spark, con, name):
 def test_every_query_names_inventory_ids():
     for q in catalog().values():
         assert q.ids and all(re.fullmatch(r"(ST|[A-Z])\d+", i) for i in q.ids), q.name
+
+
+def test_task_functions_travel_with_their_code():
+    from pyspark import cloudpickle
+
+    from folioscope.functions.text import loose_text
+    assert "folioscope" in cloudpickle.list_registry_pickle_by_value()
+    assert b"normalize" in cloudpickle.dumps(loose_text)
