@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, lines, minhash, packing, quality_fm, sharding, topk, toxicity
+from . import chat, decontaminate, lines, minhash, packing, quality_fm, sharding, substrings, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op6_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
     return quality_fm.quality(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, root, "documents")).drop("text")
+
+
 def op8_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     return lines.drop_recurring_lines(table(spark, root, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -74,7 +78,7 @@ def op10_sharding(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_exact_topk, op2_packing, op3_toxicity, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_quality_classifier,
-    op8_line_dedup, op9_chat_formatting, op10_sharding)}
+    op7_substring_dedup, op8_line_dedup, op9_chat_formatting, op10_sharding)}
 
 WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -95,6 +99,15 @@ ORACLES: dict[str, str] = {
         e AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
         r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op7_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM w WHERE len(w) >= 20),
+        k AS (SELECT doc_id, s, sha256(list_aggregate(w[s:s+19], 'string_agg', ' ')) AS k FROM p),
+        r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM k),
+        g AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + 20)))) AS gone FROM r WHERE n > 1 GROUP BY doc_id),
+        x AS (SELECT w.doc_id, w.w, coalesce(list_transform(range(1, len(w.w) + 1), lambda i: CASE WHEN list_contains(g.gone, i) THEN NULL ELSE w.w[i] END), []) AS kept, g.gone FROM w LEFT JOIN g USING (doc_id)),
+        y AS (SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN gone IS NULL THEN w ELSE list_filter(kept, lambda t: t IS NOT NULL) END AS kept FROM x)
+        SELECT doc_id, n_words, n_words - len(kept) AS n_removed, sha256(coalesce(list_aggregate(kept, 'string_agg', ' '), '')) AS kept_sha256 FROM y""",
     "op9_chat_formatting": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
