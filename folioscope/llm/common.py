@@ -21,34 +21,63 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def lowered_words(text: bytes) -> list[bytes]:
-    """Words between the six ASCII blanks, A-Z lower-cased; other bytes stay."""
-    return text.lower().split()
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound and then begun anew."""
-
-    def __init__(self, most: int = 300_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
 
 
+class WordHashes:
+    """64-bit hashes of a text's words, in order, without a Python object for each.
+
+    Words stand between the six ASCII blanks. A word's hash is its bytes'
+    polynomial, taken from sums over the whole text, with its length, mixed.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+    LONGEST = 1 << 20
+
+    def __init__(self) -> None:
+        self.blank = np.zeros(256, bool)
+        self.blank[list(b" \t\n\x0b\x0c\r")] = True
+        self.grow(1 << 14)
+
+    def grow(self, n: int) -> None:
+        def powers(base: int) -> np.ndarray:
+            return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
+
+        self.up, self.down = powers(self.BASE), powers(pow(self.BASE, -1, 1 << 64))
+
+    def spans(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start and end."""
+        edges = np.flatnonzero(np.diff(~self.blank[np.frombuffer(text, np.uint8)], prepend=False, append=False))
+        return edges[::2], edges[1::2]
+
+    def of(self, text: bytes) -> np.ndarray:
+        if len(text) > self.LONGEST:
+            return self.of_long(text)
+        if len(text) >= len(self.up):
+            self.grow(2 * len(text))
+        starts, ends = self.spans(text)
+        sums = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum(np.frombuffer(text, np.uint8) * self.up[:len(text)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+    def of_long(self, text: bytes) -> np.ndarray:
+        """The same for a text of any length, in parts; a word beyond LONGEST is hashed whole."""
+        out, part, size = [], [], 0
+        for word in [*text.split(), None]:
+            if word is None or size + len(word) >= self.LONGEST:
+                out.append(self.of(b" ".join(part)))
+                part, size = [], 0
+            if word is not None and len(word) >= self.LONGEST - 1:
+                out.append(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64))
+            elif word is not None:
+                part.append(word)
+                size += len(word) + 1
+        return np.concatenate(out)
+
+
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
     """One hash for each run of `width` consecutive word hashes."""
     n = len(h) - width + 1

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import WordHashes, batches, lowered_words, mixed, rolling, stored, texts
+from .common import WordHashes, batches, mixed, rolling, stored, texts
 
 SHINGLE, SIMILAR = 5, 75
 BANDS, ROWS = 40, 4
@@ -42,7 +42,7 @@ SEED = 7
 
 def shingles(text: bytes, hashes: WordHashes, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    h = hashes.of(lowered_words(text))
+    h = hashes.of(text.lower())
     if not len(h):
         return h
     return np.unique(rolling(h, min(width, len(h))))

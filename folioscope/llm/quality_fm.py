@@ -36,7 +36,7 @@ STATISTICS = ("log_bytes", "log_words", "mean_word", "longest_word", "upper", "d
 def described(text: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct coordinates, their values, and the statistics in STATISTICS' order."""
     words = text.split()
-    h = hashes.of(words)
+    h = hashes.of(text)
     n = max(len(words), 1)
     kinds = np.bincount(CLASSES[np.frombuffer(text, np.uint8)], minlength=8)
     inked = max(len(text) - int(kinds[4]), 1)

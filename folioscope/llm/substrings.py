@@ -53,10 +53,14 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For word hashes of WINDOW words or more: anchor hashes, the first window of
     each and how many consecutive windows it serves."""
     g = rolling(h, GRAM)
-    starts = np.arange(len(h) - WINDOW + 1)
-    at = np.lib.stride_tricks.sliding_window_view(g, SPREAD).argmin(axis=1) + starts
+    low, at, width = g, np.arange(len(g)), 1
+    while width < SPREAD:  # minima of twice the width, the left one on ties
+        step = min(width, SPREAD - width)
+        n = len(low) - step
+        right = low[step:] < low[:n]
+        low, at, width = np.where(right, low[step:], low[:n]), np.where(right, at[step:], at[:n]), width + step
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    return g[at[first]].view(np.int64), first, np.diff(np.append(first, len(starts)))
+    return low[first].view(np.int64), first, np.diff(np.append(first, len(at)))
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
@@ -67,9 +71,9 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         for b in parts:
             grams, whose = [], []
             for text in texts(b):
-                words = text.split()
-                if len(words) >= WINDOW:
-                    own = anchors(hashes.of(words))[0]
+                h = hashes.of(text)
+                if len(h) >= WINDOW:
+                    own = anchors(h)[0]
                     grams.append(own)
                     whose.append(np.full(len(own), text_hash(text)))
             if grams:
@@ -79,13 +83,13 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text_hash, packed): the compressed text of every row."""
+    """(doc, doc_id, text_hash, packed): the words of every row's text, one blank between them, compressed."""
     out = {"doc": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "packed": pa.binary()}
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for b in parts:
-            rows = ((LAST_ID if i is None else i, i, text_hash(t), press.compress(t)) for i, t in zip(b.column("doc_id").to_pylist(), texts(b)))
+            rows = ((LAST_ID if i is None else i, i, text_hash(t), press.compress(b" ".join(t.split()))) for i, t in zip(b.column("doc_id").to_pylist(), texts(b)))
             yield from batches(out, rows, 1024)
 
     return docs.mapInArrow(run, "doc bigint, doc_id bigint, text_hash bigint, packed binary")
@@ -102,13 +106,13 @@ def context_rows(rows: DataFrame) -> DataFrame:
         for b in parts:
             found, first = [], {}
             for doc, h, packed, wanted in zip(b.column("doc").to_pylist(), b.column("text_hash").to_pylist(), b.column("packed").to_pylist(), b.column("grams")):
-                words = open_.decompress(packed).split()
-                if len(words) < WINDOW:
-                    continue
-                grams, starts, counts = anchors(hashes.of(words))
+                text = open_.decompress(packed)
+                h_words = hashes.of(text)
+                low, high = hashes.spans(text)
+                grams, starts, counts = anchors(h_words)
                 for i in np.flatnonzero(np.isin(grams, wanted.values.to_numpy())):
                     s, n = int(starts[i]), int(counts[i])
-                    content = b" ".join(words[s:s + n + WINDOW - 1])
+                    content = text[low[s]:high[s + n + WINDOW - 2]]
                     context = xxhash.xxh3_128_digest(content)
                     found.append([int(grams[i]), context, content, n, doc, h, s])
                     if context not in first or (doc, s) < first[context]:
@@ -128,10 +132,11 @@ def subtree(runs: list[tuple], hashes: WordHashes) -> Iterator[tuple]:
     The leaves are sorted suffixes cut at WINDOW words; the words that two
     neighbours share are the depth of the node that parts them.
     """
-    views = [np.lib.stride_tricks.sliding_window_view(hashes.of(r[1].split()), WINDOW) for r in runs]
-    leaves = np.concatenate(views)
-    whose = np.repeat(np.arange(len(runs)), [len(v) for v in views])
-    which = np.concatenate([np.arange(len(v)) for v in views])
+    counts = np.array([r[2] for r in runs])
+    words, first = hashes.of(b" ".join(r[1] for r in runs)), np.cumsum(counts + WINDOW - 1) - (counts + WINDOW - 1)
+    whose = np.repeat(np.arange(len(runs)), counts)
+    which = np.arange(len(whose)) - np.repeat(np.cumsum(counts) - counts, counts)
+    leaves = np.lib.stride_tricks.sliding_window_view(words, WINDOW)[first[whose] + which]
     doc = np.array([r[3] for r in runs], np.int64)[whose]
     start = np.array([r[4] for r in runs], np.int64)[whose] + which
     order = np.argsort(np.ascontiguousarray(leaves.astype(">u8")).view(f"S{8 * WINDOW}").ravel(), kind="stable")
@@ -242,12 +247,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         def kept() -> Iterator[tuple]:
             for b in parts:
                 for doc_id, packed, own in zip(*(c.to_pylist() for c in b.columns)):
-                    words = open_.decompress(packed).split()
-                    n = len(words)
+                    text = open_.decompress(packed)
+                    n = left = text.count(b" ") + (text != b"")
                     if own:
-                        words = [w for w, gone in zip(words, covered(n, own).tolist()) if not gone]
-                    text = b" ".join(words)
-                    yield doc_id, n, n - len(words), hashlib.sha256(text).hexdigest(), text.decode()
+                        words = [w for w, gone in zip(text.split(b" "), covered(n, own).tolist()) if not gone]
+                        text, left = b" ".join(words), len(words)
+                    yield doc_id, n, n - left, hashlib.sha256(text).hexdigest(), text.decode()
         yield from batches(out, kept(), 512)
 
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string")

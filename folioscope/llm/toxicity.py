@@ -32,7 +32,7 @@ PARTS = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 
 def features(text: bytes, hashes: WordHashes) -> np.ndarray:
     """Coordinates of words, neighbours and skip pairs, in order, with repetitions."""
-    h = hashes.of(text.lower().translate(PARTS).split())
+    h = hashes.of(text.lower().translate(PARTS))
     m, s = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
     return np.concatenate([mixed(h) >> s, mixed(h[:-1] * m + h[1:]) >> s, mixed((h[:-2] ^ m) * m + h[2:]) >> s]).astype(np.int32)
 
