@@ -10,7 +10,12 @@ No bucket emits its pairs. In a round, every bucket compares its members with
 one head; linked ones become components by alternating large-star and
 small-star, and a bucket whose members are one component is done. Rounds with
 other heads follow. What is open after ROUNDS_OF_HEADS is compared exactly:
-members outside their bucket's largest component against the rest of it.
+members outside their bucket's largest component against the rest of it. Before
+that, shingles are summed over the open documents: a link to another component
+needs shingles that occur in another component, so a document with fewer than
+three quarters of those is done. The rest of a bucket is compared in blocks of
+about BLOCK shingles: a matrix product over the shingles that occur in both
+counts all intersections, and only pairs that reach the similarity leave a task.
 
 Defined results: a null or wordless text has an empty set, is linked with
 nothing and is its own component; fewer than SHINGLE words make one shingle;
@@ -36,7 +41,10 @@ SHINGLE, SIMILAR = 5, 75
 BANDS, ROWS = 40, 4
 #: Of 160 minima, a pair at 0.75 agrees on fewer than 90 with probability 3e-7.
 AGREE = 90
-ROUNDS_OF_HEADS = 4
+ROUNDS_OF_HEADS, PRUNINGS = 3, 2
+BLOCK = 1 << 18
+#: Common shingles by which a pair may fall short there, where 32-bit hashes stand for them.
+SLACK = 2
 SEED = 7
 
 
@@ -73,10 +81,10 @@ class Signer:
 
 def sketched(minima: np.ndarray) -> np.ndarray:
     """One byte of each minimum: differing minima agree by chance once in 256."""
-    return (mixed(minima.astype(np.uint64)) & np.uint64(255)).astype(np.uint8).view(np.int8)
+    return (mixed(minima.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
 
 
-SIGNED = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "set_key": pa.binary(), "minima": pa.list_(pa.int8()), "keys": pa.list_(pa.int64())}
+SIGNED = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "set_key": pa.binary(), "minima": pa.binary(), "keys": pa.list_(pa.int64())}
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -91,12 +99,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                     s = shingles(text, hashes)
                     if len(s):
                         low = signer.minima(s)
-                        yield doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), sketched(low), signer.keys(low)
+                        yield doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), sketched(low).tobytes(), signer.keys(low)
                     else:
                         yield doc_id, 0, None, None, None
         yield from batches(SIGNED, rows(), 1024)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, minima array<tinyint>, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, minima binary, keys array<bigint>")
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -146,6 +154,104 @@ def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
 
 
+def shingle_rows(rows: DataFrame) -> DataFrame:
+    """(vertex, shingle) of every distinct shingle of (vertex, text)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in parts:
+            own = [shingles(t, hashes) for t in texts(b)]
+            whose = np.repeat(np.asarray(b.column("vertex").to_pylist(), np.int64), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(whose), pa.array(np.concatenate(own).view(np.int64))], ["vertex", "shingle"])
+
+    return rows.select("vertex", "text").mapInArrow(run, "vertex bigint, shingle bigint")
+
+
+def linkable(open_: DataFrame, involved: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, vertex, component) of open buckets that may still link to another
+    component, and per vertex its size `n` and the `items` of its set that occur there."""
+    members = open_.select("key", "vertex", "component")
+    own = members.select("vertex", "component").distinct()
+    rows = shingle_rows(involved.join(own, "vertex")).join(own, "vertex")
+    common = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("shingle")
+    items = rows.join(common, "shingle").groupBy("vertex").agg(F.collect_set("shingle").alias("items"))
+    fit = sketch.groupBy("vertex").agg(F.max("n").alias("n")).join(items, "vertex").where(100 * F.size("items") >= SIMILAR * F.col("n"))
+    fit = stored(fit.select("vertex", "n", F.transform("items", lambda x: F.hash(x)).alias("items")), "minhash-items")
+    rest = members.join(fit.select("vertex"), "vertex", "left_semi")
+    still = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    return stored(rest.join(still, "key"), "minhash-linkable"), fit
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many items each of `a` has in common with each of `b`."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    x, y = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(x, y)
+    rows_a, rows_b = np.repeat(np.arange(len(a)), [len(v) for v in a]), np.repeat(np.arange(len(b)), [len(v) for v in b])
+    at_a, at_b = np.searchsorted(both, x), np.searchsorted(both, y)
+    in_a, in_b = np.isin(x, both), np.isin(y, both)
+    for low in range(0, len(both), width):
+        sides = []
+        for at, known, rows, n in ((at_a, in_a, rows_a, len(a)), (at_b, in_b, rows_b, len(b))):
+            here = known & (at >= low) & (at < low + width)
+            side = np.zeros((n, min(width, len(both) - low)), np.float32)
+            side[rows[here], at[here] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def open_pairs(open_: DataFrame, items: DataFrame) -> DataFrame:
+    """(a, b), a < b, of different components of a bucket, one of them outside its
+    largest, whose sets are similar by their hashed items."""
+    sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    rows = open_.join(items, "vertex")
+    weight = rows.groupBy("key").agg(F.sum(F.size("items")).alias("weight"))
+    member = F.struct("vertex", "component", "n", (F.col("component") != F.col("main")).alias("outside"), "items")
+    block = F.pmod(F.xxhash64("vertex"), F.ceil(F.col("weight") / BLOCK))
+    blocks = rows.join(largest, "key").join(weight, "key").groupBy("key", block.alias("block")).agg(F.collect_list(member).alias("own"))
+    left, right = blocks.toDF("key", "block_a", "a"), blocks.toDF("key", "block_b", "b")
+
+    def columns(own: pa.StructScalar):
+        v = own.values
+        lists = v.field("items")
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        return (*(v.field(c).to_numpy(zero_copy_only=False) for c in ("vertex", "component", "n", "outside")), [flat[i:j] for i, j in zip(ends, ends[1:])])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in parts:
+                for one, two in zip(batch.column("a"), batch.column("b")):
+                    va, ca, na, oa, xa = columns(one)
+                    vb, cb, nb, ob, xb = columns(two)
+                    common = intersections(xa, xb) + SLACK
+                    may = (ca[:, None] != cb) & (oa[:, None] | ob) & ((100 + SIMILAR) * common >= SIMILAR * (na[:, None] + nb))
+                    for x, y in np.argwhere(may).tolist():
+                        p, q = int(va[x]), int(vb[y])
+                        yield min(p, q), max(p, q)
+        yield from batches({"a": pa.int64(), "b": pa.int64()}, rows())
+
+    return left.join(right, "key").where("block_a <= block_b").select("a", "b").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def matrix(minima: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(minima), np.uint8).reshape(len(minima), -1)
+
+
+def likely(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs (a, b, na, nb, ma, mb) whose sizes allow the similarity and whose minima agree."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            if batch.num_rows:
+                same = (matrix(batch.column("ma").to_pylist()) == matrix(batch.column("mb").to_pylist())).sum(axis=1) >= AGREE
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(same)), batch.column("b").filter(pa.array(same))], ["a", "b"])
+
+    sized = pairs.where(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)")
+    return sized.select("a", "b", "ma", "mb").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row."""
     signed = stored(signatures(docs), "minhash-signed")
@@ -163,9 +269,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sketch.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("minima").alias("ma"))
         right = sketch.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("minima").alias("mb"))
-        agree = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda same: same))
-        likely = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").where(agree >= AGREE).select("a", "b").distinct()
-        with_texts = likely.join(involved.select(F.col("vertex").alias("b"), F.col("text").alias("text_b")), "b").join(involved.select(F.col("vertex").alias("a"), F.col("text").alias("text_a")), "a")
+        agreeing = likely(pairs.join(left, "a").join(right, "b"))
+        with_texts = agreeing.join(involved.select(F.col("vertex").alias("b"), F.col("text").alias("text_b")), "b").join(involved.select(F.col("vertex").alias("a"), F.col("text").alias("text_a")), "a")
         return stored(verified(with_texts).distinct(), "minhash-links")
 
     links = None
@@ -186,12 +291,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if open_.isEmpty():
             break
     else:
-        sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-        outside = open_.join(largest, "key").where("component != main").select("key", F.col("vertex").alias("a"), F.col("component").alias("ca"))
-        inside = open_.select("key", F.col("vertex").alias("b"), F.col("component").alias("cb"))
-        pairs = outside.join(inside, "key").where("ca != cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(confirmed(pairs))
+        for _ in range(PRUNINGS):
+            open_, items = linkable(open_, involved, sketch)
+        links = links.unionByName(confirmed(open_pairs(open_, items)))
         found = components(links)
     groups = labelled(classes.select("set_key", "vertex"), found).select("set_key", "component")
     # Ids that stand for several texts join their classes through the shared vertex already.
