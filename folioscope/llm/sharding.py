@@ -65,6 +65,8 @@ def feistel(number: Column, a: int, b: int, key: int) -> Column:
 
 def longest_walk(spark: SparkSession, rows: int, key: int) -> int:
     """Further passes that the longest walk through values beyond the rows needs."""
+    if not rows:
+        return 0
     a, b = sides(rows)
     outside, steps = spark.range(rows, a * b).toDF("p"), 0
     while not outside.isEmpty():
