@@ -129,7 +129,8 @@ def verified(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(vertex, component) for undirected edges (a, b): smallest reachable vertex.
+    """(vertex, component) for undirected edges (a, b): smallest reachable vertex,
+    for every vertex that is not its own component's smallest.
 
     Alternating large-star and small-star: each vertex hands its larger, then
     its smaller neighbours on to the smallest of them, until nothing changes.
