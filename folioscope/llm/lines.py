@@ -77,7 +77,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     mixed = forms.join(leaves, "leaf")
     # Tokens of one line for each form; the texts are read again for those alone.
     source = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    read = mixed.join(source.where("text is not null"), F.expr("doc_id <=> d and text_hash = t")).select("leaf", "form", "texts", "leaf_texts", F.get(F.split("text", "\n"), F.col("line")).alias("text"))
+    # Both reads of the texts are merge joins at every size, so that a plan seen on little data is the one that runs on much.
+    read = mixed.hint("merge").join(source.where("text is not null"), F.expr("doc_id <=> d and text_hash = t")).select("leaf", "form", "texts", "leaf_texts", F.get(F.split("text", "\n"), F.col("line")).alias("text"))
     tokens = read.distinct().select("leaf", "form", "texts", "leaf_texts", F.posexplode(F.filter(F.split("text", BLANKS), lambda t: t != "")).alias("place", "token"))
     tokens = stored(tokens.withColumn("token", F.when(F.col("token").rlike("[0-9@]"), "<*>").otherwise(F.col("token"))), "lines-tokens")
     constant = tokens.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("s"), F.first("leaf_texts").alias("all")).where("2 * s > all").select("leaf", "place", "token")
@@ -97,7 +98,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     drops = recurring_lines(docs, min_docs).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("lines").alias("__lines"))
     kept = docs.drop("n_lines", "n_dropped")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
-    out = kept.join(drops, same, "left")
+    out = kept.join(drops.hint("merge"), same, "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     numbers = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines")))
     rest = let(lines, lambda own: F.array_join(F.transform(numbers, lambda i: F.get(own, i)), "\n"))
