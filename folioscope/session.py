@@ -31,11 +31,14 @@ def build_session(master: str | None = None, app: str = "folioscope", **conf: st
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in `spark.checkpoint.dir`. Only a session that names
-    none, as in tests, gets a folder of its own.
+    A cluster names it in `spark.checkpoint.dir`. Only a local session that
+    names none, as in tests, gets a folder of its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
