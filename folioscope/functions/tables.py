@@ -1,4 +1,4 @@
-"""Python table functions for SQL: sections, claims, posts, report rows.
+"""Table functions for SQL: sections, claims, posts, report rows.
 
 `SELECT ... FROM docs, LATERAL claim_rows(text)` after `register(spark)`.
 """
@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession, functions as F
 
 
 def register(spark: SparkSession) -> None:
-    from ..operators.claims import parse_claims
-    from ..operators.radar import parse_report
+    from ..operators.claims import blocks_sql
+    from ..operators.radar import report_rows_sql
     from ..sources.notes import parse_posts
 
     class Sections:
@@ -27,26 +27,19 @@ def register(spark: SparkSession) -> None:
                     if body:
                         yield (head.group(1).strip() if head else "", start + 1, stop, body)
 
-    class Claims:
-        def eval(self, text: str):
-            yield from parse_claims(text)
-
     class Posts:
         def eval(self, body: str):
             for p in parse_posts(body):
                 yield (p["seq"], p["stamp"], p["host"], p["line"], p["src"], p["dst"], p["field"], p["value"], p["text"])
 
-    class Report:
-        def eval(self, text: str):
-            for r in parse_report(text):
-                yield (r["index"], r["title"], r["id"], r["arxiv_id"], r["url"], r["relevance"], r["abstract"])
-
     for name, cls, schema in (
             ("section_rows", Sections, "heading string, start_line int, end_line int, content string"),
-            ("claim_rows", Claims, "seq int, claim string, evidence string, source_type string, source string, status string"),
-            ("post_rows", Posts, "seq bigint, stamp string, host string, line string, src string, dst string, field string, value string, text string"),
-            ("report_rows", Report, "index int, title string, id string, arxiv_id string, url string, relevance double, abstract string")):
+            ("post_rows", Posts, "seq bigint, stamp string, host string, line string, src string, dst string, field string, value string, text string")):
         spark.udtf.register(name, F.udtf(cls, returnType=schema))
+    for name, rows, schema in (
+            ("claim_rows", blocks_sql, "seq int, claim string, evidence string, source_type string, source string, status string"),
+            ("report_rows", report_rows_sql, "index int, title string, id string, arxiv_id string, url string, relevance double, authors array<string>, abstract string")):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(report STRING) RETURNS TABLE({schema}) RETURN SELECT r.* FROM (SELECT explode({rows('report')}) AS r)")
 
 
 def register_functions(spark: SparkSession) -> None:

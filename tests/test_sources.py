@@ -118,3 +118,6 @@ def test_table_functions(spark):
     spark.createDataFrame([("# A\nx\n# B\ny",)], "text string").createOrReplaceTempView("tf_docs")
     got = spark.sql("SELECT s.heading FROM tf_docs, LATERAL section_rows(text) s").collect()
     assert [r[0] for r in got] == ["A", "B"]
+    spark.createDataFrame([("## P\n- id: `p`\nCLAIM: c\nSOURCE: s",)], "text string").createOrReplaceTempView("tf_reports")
+    assert [tuple(r) for r in spark.sql("SELECT c.claim, c.source FROM tf_reports, LATERAL claim_rows(text) c").collect()] == [("c", "s")]
+    assert [tuple(r) for r in spark.sql("SELECT r.title, r.id FROM tf_reports, LATERAL report_rows(text) r").collect()] == [("P", "p")]
