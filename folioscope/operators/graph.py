@@ -154,7 +154,7 @@ def with_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(degrees(edges), "id", "left").na.fill(0, ["degree"])
 
 
-def broken_links(nodes: DataFrame, edges: DataFrame, limit: int | None = 200) -> DataFrame:
+def broken_links(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """Wikilink or supported_by edges whose target is no node, with the source's title."""
     ids = nodes.select(F.col("id").alias("target_id"))
     lost = edges.filter(F.col("type").isin(*BROKEN_TYPES)).join(ids, "target_id", "left_anti")
@@ -172,21 +172,22 @@ def overview(nodes: DataFrame, edges: DataFrame, tags: DataFrame, claims: DataFr
         .unionByName(one(broken_links(nodes, edges, None), F.count("*"), "broken"))
 
 
-def browse_nodes(nodes: DataFrame, edges: DataFrame, node_type: str | None = None, q: str | None = None, limit: int = 50) -> DataFrame:
-    """By type and substring of title or id, most linked first. The substring is literal."""
+def browse_nodes(nodes: DataFrame, edges: DataFrame, node_type: str | None = None, q: str | None = None, limit: int | None = None) -> DataFrame:
+    """By type and substring of title or id; with a limit, the most linked. The substring is literal."""
     picked = nodes.filter(F.col("type") == node_type) if node_type else nodes
     if q:
         wanted = tx.fold_case(F.lit(q))
         picked = picked.filter(F.contains(tx.fold_case(F.col("title")), wanted) | F.contains(tx.fold_case(F.col("id")), wanted))
-    return with_degree(picked, edges).select("id", "title", "type", "category", "updated", "degree") \
-        .orderBy(F.col("degree").desc(), "id").limit(limit)
+    found = with_degree(picked, edges).select("id", "title", "type", "category", "updated", "degree")
+    return found.orderBy(F.col("degree").desc(), "id").limit(limit) if limit is not None else found
 
 
-def browse_claims(claims: DataFrame, status: str | None = None, q: str | None = None, limit: int = 50) -> DataFrame:
+def browse_claims(claims: DataFrame, status: str | None = None, q: str | None = None, limit: int | None = None) -> DataFrame:
     picked = claims.filter(F.col("status") == status) if status else claims
     if q:
         picked = picked.filter(F.contains(tx.fold_case(F.col("text")), tx.fold_case(F.lit(q))))
-    return picked.select("id", "doc_id", "status", "text").orderBy("id").limit(limit)
+    found = picked.select("id", "doc_id", "status", "text")
+    return found.orderBy("id").limit(limit) if limit is not None else found
 
 
 def claims_with_evidence(claims: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -196,13 +197,13 @@ def claims_with_evidence(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return claims.join(said, claims["id"] == said["claim_id"], "left").drop("claim_id").na.fill(0, ["n_evidence"])
 
 
-def tag_counts(tags: DataFrame, q: str | None = None, limit: int | None = 100) -> DataFrame:
+def tag_counts(tags: DataFrame, q: str | None = None, limit: int | None = None) -> DataFrame:
     picked = tags.filter(F.contains(tx.fold_case(F.col("tag")), tx.fold_case(F.lit(q)))) if q else tags
     counted = picked.groupBy("tag").agg(F.count("*").alias("count"))
     return counted.orderBy(F.col("count").desc(), "tag").limit(limit) if limit is not None else counted
 
 
-def hubs(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
+def hubs(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     return with_degree(nodes, edges).select("id", "title", "type", "degree").orderBy(F.col("degree").desc(), "id").limit(limit)
 
 

@@ -5,16 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import identifiers as ids, text as tx
 
-ABSTRACT = 1500
-CANDIDATE_CAP, SEED_CAP, NEIGHBOURS = 40, 50, 20
-SECTION = T.StructType([
-    T.StructField("index", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("id", T.StringType()),
-    T.StructField("arxiv_id", T.StringType()), T.StructField("url", T.StringType()), T.StructField("relevance", T.DoubleType()),
-    T.StructField("authors", T.ArrayType(T.StringType())), T.StructField("abstract", T.StringType())])
+CANDIDATE_CAP, SEED_CAP = 40, 50
 
 
 # ------------------------------------------------------------------ feeds
@@ -27,7 +22,7 @@ def _paper(df: DataFrame, source: str) -> DataFrame:
     return df.filter((title != "") & ~bare).select(
         *[c for c in ("query", "pos") if c in df.columns],
         F.coalesce(arxiv, doi, F.col("paperId")).alias("id"), arxiv.alias("arxiv_id"), doi.alias("doi"), title.alias("title"),
-        F.col("year").cast("int").alias("year"), F.substring(tx.squash(F.coalesce("abstract", F.lit(""))), 1, ABSTRACT).alias("abstract"),
+        F.col("year").cast("int").alias("year"), tx.squash(F.coalesce("abstract", F.lit(""))).alias("abstract"),
         "url", F.lit(source).alias("source"), F.lit(None).cast("date").alias("published"),
         F.filter(F.transform(F.coalesce("authors", F.array()), lambda a: a["name"]), lambda n: F.length(n) > 0).alias("authors"))
 
@@ -57,7 +52,7 @@ def new_listings(entries: DataFrame, now, days: int) -> DataFrame:
     return entries.withColumn("_at", at).withColumn("_id", arxiv) \
         .filter((F.col("_id") != "") & F.col("title").isNotNull() & (F.col("_at") >= cutoff)).select(
             F.col("_id").alias("id"), F.col("_id").alias("arxiv_id"), F.lit(None).cast("string").alias("doi"), tx.squash(F.col("title")).alias("title"),
-            F.year("_at").alias("year"), F.substring(tx.squash(F.coalesce("summary", F.lit(""))), 1, ABSTRACT).alias("abstract"),
+            F.year("_at").alias("year"), tx.squash(F.coalesce("summary", F.lit(""))).alias("abstract"),
             F.concat(F.lit("https://arxiv.org/abs/"), "_id").alias("url"), F.concat(F.lit("arxiv-new:"), "category").alias("source"),
             F.to_date("_at").alias("published"), "authors")
 
@@ -149,28 +144,28 @@ def last_harvest(seen: DataFrame, today) -> DataFrame:
 # ------------------------------------------------------------------ citation gaps
 
 def citation_gaps(own: DataFrame, neighbours: DataFrame, citations: DataFrame, references: DataFrame, since_year: int,
-                  min_shared: int = 3, budget: int | None = NEIGHBOURS) -> DataFrame:
+                  min_shared: int = 3, budget: int | None = None) -> DataFrame:
     """Neighbours of our papers that share references with them and do not cite them.
 
     `own`: paper_id; `neighbours`: paper_id, candidate_id, pos, year, title;
     `citations`: paper_id, citing_id; `references`: paper_id, cited_id,
     cited_title. The neighbours are fixed first, so references meet on
-    (paper, cited) and a reference everybody cites pairs nothing up.
+    (paper, cited) and a reference everybody cites pairs nothing up. They meet
+    once; counts and titles come from one aggregate. `budget` limits the
+    neighbours looked at per paper; by default all are.
     """
+    facts = [c for c in ("year", "title") if c in neighbours.columns]
     known = neighbours.join(own.select("paper_id"), "paper_id", "left_semi").filter(F.col("year") >= since_year)
     citers = citations.select("paper_id", F.col("citing_id").alias("candidate_id")).distinct()
     eligible = known.join(citers, ["paper_id", "candidate_id"], "left_anti")
     if budget is not None:
         eligible = eligible.withColumn("_r", F.row_number().over(W.partitionBy("paper_id").orderBy("pos"))).filter(F.col("_r") <= budget).drop("_r")
-    theirs = eligible.join(references.select(F.col("paper_id").alias("candidate_id"), "cited_id").distinct(), "candidate_id")
-    ours = references.groupBy("paper_id", "cited_id").agg(F.max("cited_title").alias("cited_title")).join(own.select("paper_id"), "paper_id", "left_semi")
-    shared = theirs.join(ours, ["paper_id", "cited_id"])
-    counted = shared.groupBy("paper_id", "candidate_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
-    titles = shared.filter(F.length(F.trim("cited_title")) > 0).select("paper_id", "candidate_id", F.trim("cited_title").alias("t")) \
-        .withColumn("_r", F.row_number().over(W.partitionBy("paper_id", "candidate_id").orderBy("t"))).filter(F.col("_r") <= 5) \
-        .groupBy("paper_id", "candidate_id").agg(F.array_sort(F.collect_list("t")).alias("shared_titles"))
-    facts = eligible.select("paper_id", "candidate_id", "year", *[c for c in ("title",) if c in eligible.columns])
-    return counted.join(facts, ["paper_id", "candidate_id"]).join(titles, ["paper_id", "candidate_id"], "left")
+    cited = references.groupBy("paper_id", "cited_id").agg(F.max("cited_title").alias("cited_title"))
+    theirs = eligible.select("paper_id", "candidate_id", *facts).join(cited.select(F.col("paper_id").alias("candidate_id"), "cited_id"), "candidate_id")
+    title = F.nullif(F.trim("cited_title"), F.lit(""))
+    shared = theirs.join(cited, ["paper_id", "cited_id"]).groupBy("paper_id", "candidate_id").agg(
+        F.count("*").alias("shared"), *[F.max(c).alias(c) for c in facts], F.array_sort(F.collect_list(title)).alias("shared_titles"))
+    return shared.filter(F.col("shared") >= min_shared)
 
 
 def shared_references(references: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -193,43 +188,38 @@ def gap_anchors(gaps: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ reports
 
-def parse_report(text: str | None) -> list[dict]:
-    """Candidate rows of one report."""
-    import re
-    rows: list[dict] = []
-    for line in (text or "").splitlines():
-        head = re.match(r"##\s+(.+?)\s*$", line)
-        if head:
-            rows.append({"index": len(rows), "title": head.group(1), "authors": []})
-        if head or not rows:
-            continue
-        row = rows[-1]
-        label, _, value = line.partition(": ")
-        if label == "- id" and (found := re.match(r"`([^`]+)`", value)):
-            row["id"] = found.group(1)
-            score = re.search(r"relevance: (-?\d+(?:\.\d+)?)", line)
-            row["relevance"] = float(score.group(1)) if score else row.get("relevance")
-        elif label == "- authors" and value:
-            names = value.split(", ")
-            row["authors"] = names[:-1] if names[-1] == "et al." else names
-        elif label == "- candidate" and "id" not in row and (found := re.search(r"arXiv:([\w.\-]+)", value)):
-            row["id"] = row["arxiv_id"] = re.sub(r"v\d+$", "", found.group(1))
-        elif label == "- abstract" and value:
-            row["abstract"] = value.strip()
-        elif found := re.match(r"- (https?://\S+)\s*$", line):
-            row.setdefault("url", found.group(1))
-            named = re.search(r"arxiv\.org/abs/([\w.\-]+)", found.group(1))
-            if named and "arxiv_id" not in row:
-                row["arxiv_id"] = re.sub(r"v\d+$", "", named.group(1))
-    return [{name: row.get(name) for name in SECTION.fieldNames()} for row in rows]
-
-
-_report_rows = F.udf(parse_report, T.ArrayType(SECTION), useArrow=True)
+def report_rows_sql(text: str) -> str:
+    """SQL expression: array of (index, title, id, arxiv_id, url, relevance, authors, abstract) of a report's sections.
+
+    A section goes from its heading to the next. The last line of a kind holds, of the addresses the first.
+    """
+    def every(pattern: str) -> str:
+        return f"regexp_extract_all(s, r'{pattern}', 1)"
+
+    def last(pattern: str) -> str:
+        return f"get(reverse({every(pattern)}), 0)"
+
+    def unversioned(x: str) -> str:
+        return rf"regexp_replace({x}, r'v\d+$', '')"
+
+    named = r"(?m)^- id: `([^`\n]+)`"
+    candidate = unversioned(f"get({every(r'(?m)^- candidate: [^\n]*?arXiv:([\w.-]+)')}, 0)")
+    page = unversioned(f"get({every(r'(?m)^- https?://\S*?arxiv[.]org/abs/([\w.-]+)\S*\s*$')}, 0)")
+    names = f"split(coalesce({last('(?m)^- authors: ([^\\n]+)$')}, ''), ', ')"
+    fields = {
+        "index": "i", "title": r"regexp_extract(s, r'^##\s+([^\n]+?)\s*(?:\n|$)', 1)",
+        "id": f"coalesce({last(named)}, {candidate})", "arxiv_id": f"coalesce(if(array_size({every(named)}) = 0, {candidate}, null), {page})",
+        "url": f"get({every(r'(?m)^- (https?://\S+)\s*$')}, 0)",
+        "relevance": f"cast({last(r'(?m)^- id: `[^`\n]+`[^\n]*?relevance: (-?\d+(?:[.]\d+)?)')} as double)",
+        "authors": f"transform(array({names}), a -> filter(if(get(a, array_size(a) - 1) = 'et al.', slice(a, 1, array_size(a) - 1), a), n -> n <> ''))[0]",
+        "abstract": f"trim({last('(?m)^- abstract: ([^\\n]+)$')})"}
+    sections = rf"filter(split({text}, r'(?m)^(?=##[^\S\n]+\S)', -1), s -> s rlike r'^##[^\S\n]+\S')"
+    return f"transform({sections}, (s, i) -> named_struct({', '.join(f"'{n}', {x}" for n, x in fields.items())}))"
 
 
 def report_candidates(reports: DataFrame, text: str = "text") -> DataFrame:
     """Candidate rows of every report, in report order."""
-    return reports.select(*[c for c in reports.columns if c != text], F.inline(_report_rows(F.col(text))))
+    return reports.select(*[c for c in reports.columns if c != text], F.inline(F.expr(report_rows_sql(f"`{text}`"))))
 
 
 def enrich_dois(items: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -26,25 +26,25 @@ def node_degrees(t: Tables) -> DataFrame:
 
 @query("T2", f"WITH {DEGREE} SELECT id, title, type, coalesce(degree, 0) AS degree FROM node_rows LEFT JOIN deg USING (id) ORDER BY degree DESC, id LIMIT 20")
 def graph_hubs(t: Tables) -> DataFrame:
-    return gr.hubs(t.nodes, t.edge_rows)
+    return gr.hubs(t.nodes, t.edge_rows, 20)
 
 
-@query("J2", f"WITH {BROKEN} SELECT * FROM broken ORDER BY source_id, target_text LIMIT 200")
+@query("J2", f"WITH {BROKEN} SELECT * FROM broken")
 def broken_links(t: Tables) -> DataFrame:
     return gr.broken_links(t.nodes, t.edge_rows)
 
 
-@query("F4", f"WITH {DEGREE} SELECT id, title, type, coalesce(degree, 0) AS degree FROM node_rows LEFT JOIN deg USING (id) WHERE type = 'reference' AND (contains(lower(title), 'er#000000001') OR contains(lower(id), 'er#000000001')) ORDER BY degree DESC, id LIMIT 50")
+@query("F4", f"WITH {DEGREE} SELECT id, title, type, coalesce(degree, 0) AS degree FROM node_rows LEFT JOIN deg USING (id) WHERE type = 'reference' AND (contains(lower(title), 'er#000000001') OR contains(lower(id), 'er#000000001'))")
 def browse_nodes(t: Tables) -> DataFrame:
     return gr.browse_nodes(t.nodes, t.edge_rows, "reference", "ER#000000001").select("id", "title", "type", "degree")
 
 
-@query("F5", "SELECT id, doc_id, status, text FROM stated_rows WHERE status = 'verified' AND contains(lower(text), 'urgent of 1') ORDER BY id LIMIT 50")
+@query("F5", "SELECT id, doc_id, status, text FROM stated_rows WHERE status = 'verified' AND contains(lower(text), 'urgent of 1')")
 def browse_claims(t: Tables) -> DataFrame:
     return gr.browse_claims(t.stated_rows, "verified", "URGENT of 1")
 
 
-@query("A3", "SELECT tag, count(*) AS count FROM tag_rows WHERE contains(lower(tag), 'b') GROUP BY tag ORDER BY count DESC, tag LIMIT 100")
+@query("A3", "SELECT tag, count(*) AS count FROM tag_rows WHERE contains(lower(tag), 'b') GROUP BY tag")
 def tag_counts(t: Tables) -> DataFrame:
     return gr.tag_counts(t.tag_rows, "B")
 
@@ -203,18 +203,19 @@ def radar_status(t: Tables) -> DataFrame:
 
 def _gap_inputs(t: Tables):
     own = t.orders.select(F.col("o_orderkey").alias("paper_id"))
-    near = F.explode(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.struct(i.alias("pos"), ((F.col("o_orderkey") * 13 + i * 101) % 15000).alias("candidate_id"))))
-    neighbours = t.orders.select(F.col("o_orderkey").alias("paper_id"), near.alias("n")).select("paper_id", "n.candidate_id", "n.pos", (2015 + F.col("n.candidate_id") % 10).alias("year"), F.lit("t").alias("title"))
+    papers = t.orders.agg(F.max("o_orderkey") + 1).scalar()
+    near = F.explode(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.struct(i.alias("pos"), ((F.col("o_orderkey") * 13 + i * 101) % F.col("_papers")).alias("candidate_id"))))
+    neighbours = t.orders.withColumn("_papers", papers).select(F.col("o_orderkey").alias("paper_id"), near.alias("n")).select("paper_id", "n.candidate_id", "n.pos", (2015 + F.col("n.candidate_id") % 10).alias("year"), F.lit("t").alias("title"))
     citations = neighbours.filter("pos % 11 = 0").select("paper_id", F.col("candidate_id").alias("citing_id"))
     references = t.reference_rows.withColumn("cited_title", F.concat(F.lit("Title "), F.col("cited_id").cast("string")))
     return own, neighbours.filter("candidate_id <> paper_id"), citations, references
 
 
 GAPS = """own AS (SELECT o_orderkey AS paper_id FROM orders),
-nb0 AS (SELECT paper_id, i AS pos, (paper_id * 13 + i * 101) % 15000 AS candidate_id FROM own, (SELECT unnest(range(1, 31)) AS i)),
-el AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS r FROM nb0 a WHERE candidate_id <> paper_id AND 2015 + candidate_id % 10 >= 2018
+nb0 AS (SELECT paper_id, i AS pos, (paper_id * 13 + i * 101) % (SELECT max(o_orderkey) + 1 FROM orders) AS candidate_id FROM own, (SELECT unnest(range(1, 31)) AS i)),
+el AS (SELECT * FROM nb0 a WHERE candidate_id <> paper_id AND 2015 + candidate_id % 10 >= 2018
   AND NOT EXISTS (SELECT 1 FROM nb0 c WHERE c.paper_id = a.paper_id AND c.candidate_id = a.candidate_id AND c.pos % 11 = 0)),
-gaps AS (SELECT el.paper_id, el.candidate_id, count(*) AS shared FROM el JOIN reference_rows a ON a.paper_id = el.candidate_id JOIN reference_rows b ON b.paper_id = el.paper_id AND b.cited_id = a.cited_id WHERE r <= 20 GROUP BY ALL HAVING count(*) >= 2)"""
+gaps AS (SELECT el.paper_id, el.candidate_id, count(*) AS shared FROM el JOIN reference_rows a ON a.paper_id = el.candidate_id JOIN reference_rows b ON b.paper_id = el.paper_id AND b.cited_id = a.cited_id GROUP BY ALL HAVING count(*) >= 2)"""
 
 
 @query("J11 U4", f"WITH {GAPS} SELECT * FROM gaps")
@@ -234,7 +235,7 @@ def shared_references(t: Tables) -> DataFrame:
 
 
 @query("S11 S12", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title FROM documents WHERE doc_id % 6 <> 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND 1990 + doc_id % 40 BETWEEN 2000 AND 2020)
-SELECT CASE WHEN doc_id % 3 = 0 THEN '2401.' || lpad(CAST(doc_id % 90000 AS STRING), 5, '0') ELSE '10.1/' || CAST(doc_id AS STRING) END AS id, md5(title) AS title, CAST(1990 + doc_id % 40 AS INT) AS year, md5(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 1500)) AS abstract FROM l WHERE k <= 15""")
+SELECT CASE WHEN doc_id % 3 = 0 THEN '2401.' || lpad(CAST(doc_id % 90000 AS STRING), 5, '0') ELSE '10.1/' || CAST(doc_id AS STRING) END AS id, md5(title) AS title, CAST(1990 + doc_id % 40 AS INT) AS year, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS abstract FROM l WHERE k <= 15""")
 def keyword_feed(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     landed = t.documents.select(F.col("lang").alias("query"), d.alias("pos"), F.when(d % 6 != 0, F.col("text")).alias("title"), (1990 + d % 40).alias("year"), F.col("text").alias("abstract"),
