@@ -165,20 +165,26 @@ def snippet(content: Column) -> Column:
 def search_scope(libraries: DataFrame, scope: str = "auto", library: str | None = None) -> DataFrame:
     """Libraries a search reads. `libraries`: library, enabled, indexed, companion.
 
-    auto means everything when companions are named and otherwise only the
-    local one; the local library is called `local`.
+    The local library is called `local`. Where companions are named, only they
+    are read beside it. auto means the local one and the named companions.
     """
     usable = libraries.filter(F.col("indexed") & (F.col("enabled") | (F.col("library") == "local")))
     if library:
         return usable.filter(F.col("library") == library).select("library")
+    local, companion = F.col("library") == "local", F.coalesce("companion", F.lit(False))
     if scope == "local":
-        return usable.filter(F.col("library") == "local").select("library")
-    if scope == "global":
-        return usable.filter(F.col("library") != "local").select("library")
-    if scope == "all":
-        return usable.select("library")
-    named = libraries.select(F.coalesce(F.bool_or("companion"), F.lit(False))).first()[0]
-    return (usable if named else usable.filter(F.col("library") == "local")).select("library")
+        return usable.filter(local).select("library")
+    if scope == "auto":
+        return usable.filter(local | companion).select("library")
+    named = F.coalesce(libraries.agg(F.bool_or(F.coalesce("companion", F.lit(False)))).scalar(), F.lit(False))
+    others = ~local & (companion | ~named)
+    return usable.filter(others if scope == "global" else local | others).select("library")
+
+
+def skipped_libraries(libraries: DataFrame) -> DataFrame:
+    """Libraries that no search reads, and why: library, reason."""
+    reason = F.when(~F.col("indexed"), "no index").when(~F.col("enabled") & (F.col("library") != "local"), "disabled")
+    return libraries.select("library", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def searchable_libraries(libraries: DataFrame, exclude: str | None = None) -> DataFrame:

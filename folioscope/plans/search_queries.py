@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import identifiers as ids, text as tx, vectors as vx
@@ -161,18 +163,33 @@ def search_leg_report(t: Tables) -> DataFrame:
     return rt.search_report(chunks, QUESTION, vectors, vector)
 
 
-@query("F17 S20", """WITH libs AS (SELECT CASE source WHEN 'src0' THEN 'local' ELSE source END AS library, count(*) % 2 = 0 OR source = 'src0' AS enabled, count(*) > 2 AS indexed FROM documents GROUP BY source)
-SELECT 'global' AS scope, library FROM libs WHERE indexed AND (enabled OR library = 'local') AND library <> 'local'
-UNION ALL SELECT 'local', library FROM libs WHERE indexed AND library = 'local'
-UNION ALL SELECT 'auto', library FROM libs WHERE indexed AND library = 'local'
-UNION ALL SELECT 'searchable', library FROM libs WHERE indexed AND enabled AND library <> 'local'""")
+LIBRARIES = "libs AS (SELECT CASE source WHEN 'src0' THEN 'local' ELSE source END AS library, count(*) % 2 = 0 OR source = 'src0' AS enabled, count(*) > 2 AS indexed, source IN ('src1', 'src2', 'src3') AS companion FROM documents GROUP BY source)"
+
+
+def _libraries(t: Tables) -> DataFrame:
+    source = F.col("source")
+    return t.documents.groupBy("source").agg(F.count("*").alias("n")).select(
+        F.when(source == "src0", "local").otherwise(source).alias("library"), ((F.col("n") % 2 == 0) | (source == "src0")).alias("enabled"),
+        (F.col("n") > 2).alias("indexed"), source.isin("src1", "src2", "src3").alias("companion"))
+
+
+@query("F17 S20", f"""WITH {LIBRARIES}, u AS (SELECT * FROM libs WHERE indexed AND (enabled OR library = 'local'))
+SELECT 'global' AS scope, library FROM u WHERE library <> 'local' AND companion
+UNION ALL SELECT 'global, none named', library FROM u WHERE library <> 'local'
+UNION ALL SELECT 'all', library FROM u WHERE library = 'local' OR companion
+UNION ALL SELECT 'local', library FROM u WHERE library = 'local'
+UNION ALL SELECT 'auto', library FROM u WHERE library = 'local' OR companion
+UNION ALL SELECT 'auto, none named', library FROM u WHERE library = 'local'
+UNION ALL SELECT 'searchable', library FROM libs WHERE indexed AND enabled AND library <> 'local'
+UNION ALL SELECT CASE WHEN NOT indexed THEN 'no index' ELSE 'disabled' END, library FROM libs WHERE NOT indexed OR (NOT enabled AND library <> 'local')""")
 def search_scopes(t: Tables) -> DataFrame:
-    libs = t.documents.groupBy("source").agg(F.count("*").alias("n")).select(
-        F.when(F.col("source") == "src0", "local").otherwise(F.col("source")).alias("library"), ((F.col("n") % 2 == 0) | (F.col("source") == "src0")).alias("enabled"),
-        (F.col("n") > 2).alias("indexed"), F.lit(False).alias("companion"))
-    parts = [rt.search_scope(libs, s).select(F.lit(s).alias("scope"), "library") for s in ("global", "local", "auto")]
+    libs = _libraries(t)
+    alone = libs.withColumn("companion", F.lit(False))
+    parts = [rt.search_scope(libs, s).select(F.lit(s).alias("scope"), "library") for s in ("global", "all", "local", "auto")]
+    parts += [rt.search_scope(alone, s).select(F.lit(f"{s}, none named").alias("scope"), "library") for s in ("global", "auto")]
     parts.append(rt.searchable_libraries(libs, "local").select(F.lit("searchable").alias("scope"), "library"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    parts.append(rt.skipped_libraries(libs).select(F.col("reason").alias("scope"), "library"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("F19", "SELECT source AS library, doc_id AS id FROM documents WHERE false")
