@@ -25,23 +25,38 @@ UNION ALL SELECT doc_id, route, 'output-much-shorter-than-source' FROM c WHERE c
 UNION ALL SELECT doc_id, route, 'output-inflated' FROM c WHERE chars > 0 AND length(regexp_replace(text, '\\s+', '', 'g')) / chars > 4.0)"""
 
 
+# Occurrences of a passage: what taking it out shortens the text by. Its unit: the least shift at which it matches itself.
+REPEATS = r"""r0 AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM ({0})),
+r1 AS (SELECT doc_id, b, unnest(list_distinct(list_transform(range(0, length(b) - 200, 25), lambda i: substr(b, i + 1, 200)))) AS p FROM r0 WHERE length(b) >= 400),
+r2 AS (SELECT doc_id, p, (length(b) - length(replace(b, p, ''))) // 200 AS n FROM r1),
+repeats AS (SELECT doc_id, max(n) AS n FROM r2 WHERE n > 1 AND length(regexp_replace(p, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 50
+  AND len(list_filter(range(1, 40), lambda s: starts_with(p, substr(p, s + 1)))) = 0 GROUP BY doc_id)"""
+RECOGNISED = "SELECT doc_id, md AS text FROM conversion_rows WHERE route IN ('ocr', 'mineru')"
+LOOPS = "UNION ALL SELECT doc_id, route, 'repetition-loop' FROM c JOIN repeats USING (doc_id)"
+
+
 def _findings(t: Tables) -> DataFrame:
     return qu.conversion_findings(t.conversion_rows.drop("chars", "tables"), _census(t))
 
 
-@query("Q1 Q3 Q7 Q10 Q11 Q13", f"WITH c AS (SELECT *, md AS text FROM conversion_rows), {FINDINGS} SELECT * FROM f")
+@query("Q1 Q3 Q7 Q9 Q10 Q11 Q13", f"WITH c AS (SELECT *, md AS text FROM conversion_rows), {REPEATS.format(RECOGNISED)}, {FINDINGS[:-1]} {LOOPS}) SELECT * FROM f")
 def conversion_findings(t: Tables) -> DataFrame:
-    return _findings(t).filter(F.col("code") != "repetition-loop").select("doc_id", "route", "code")
+    return _findings(t).select("doc_id", "route", "code")
 
 
-@query("Q13 A35", f"WITH c AS (SELECT *, md AS text FROM conversion_rows), {FINDINGS} SELECT code, route, count(*) AS n FROM f GROUP BY ALL")
+@query("Q13 A35", f"WITH c AS (SELECT *, md AS text FROM conversion_rows), {REPEATS.format(RECOGNISED)}, {FINDINGS[:-1]} {LOOPS}) SELECT code, route, count(*) AS n FROM f GROUP BY ALL")
 def findings_by_route(t: Tables) -> DataFrame:
-    return qu.finding_summary(_findings(t).filter(F.col("code") != "repetition-loop"), "route")
+    return qu.finding_summary(_findings(t), "route")
+
+
+FILLED = "SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN repeat('abcdefg', 200) ELSE '' END AS text FROM documents"
 
 
-@query("Q9")
+@query("Q9", f"WITH {REPEATS.format(FILLED)} SELECT doc_id, CAST(coalesce(n, 1) AS INT) AS repeats FROM documents LEFT JOIN repeats USING (doc_id)")
 def repetition(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", qu.repetition(F.col("text")).alias("repeats"))
+    """Filler of a short unit follows every fourth text and is no loop."""
+    filled = F.concat("text", F.when(F.col("doc_id") % 4 == 0, F.repeat(F.lit("abcdefg"), 200)).otherwise(""))
+    return t.documents.select("doc_id", qu.repetition(filled).alias("repeats"))
 
 
 @query("Q2", "SELECT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS INT) AS n FROM documents")
@@ -95,9 +110,7 @@ def unclosed_fences(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", md.fence_left_open(F.concat(F.regexp_replace("text", "[`~]", ""), tail)).alias("open"))
 
 
-@query("Q14", """WITH n AS (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY conv_id),
-w AS (SELECT conv_id, pages, unnest(CASE WHEN pages <= 6 THEN range(0, pages) ELSE list_distinct(list_transform(range(0, 6), lambda i: CAST(round_even(i * (pages - 1) / 5, 0) AS BIGINT))) END) AS turn FROM n),
-p AS (SELECT conv_id AS doc_id, pages, CAST(floor(sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) / count(*)) AS BIGINT) AS chars_per_page FROM w JOIN conversations USING (conv_id, turn) GROUP BY ALL)
+@query("Q14", """WITH p AS (SELECT conv_id AS doc_id, count(*) AS pages, CAST(floor(sum(length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'))) / count(*)) AS BIGINT) AS chars_per_page FROM conversations GROUP BY ALL)
 SELECT doc_id, pages, chars_per_page, chars_per_page >= 200 AS usable FROM p""")
 def text_layers(t: Tables) -> DataFrame:
     pages = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text", F.lit(False).alias("full_page_image"))

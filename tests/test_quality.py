@@ -2,12 +2,12 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import claims as cl, corpus as co, intake as it, quality as qu
+from folioscope.operators import claims as cl, corpus as co, intake as it, quality as qu, radar as rd
 
 
 def slow_repeats(body):
     def period(s):
-        return next(p for p in range(1, len(s) + 1) if len(s) % p == 0 and s[:p] * (len(s) // p) == s) if s else 0
+        return next(p for p in range(1, len(s) + 1) if all(s[i] == s[i + p] for i in range(len(s) - p)))
     if len(body) < 400:
         return 1
     worst = 1
@@ -22,7 +22,7 @@ def test_repetition_equals_brute_force():
     rng = random.Random(4)
     prose = lambda n: "".join(rng.choice("abcde fgh ij.") for _ in range(n))
     para = prose(450)
-    for text in (prose(1500), para * 3, para + prose(300) + para, "ab" * 900, "=" * 2000, prose(50) + para + "é☃" + para, prose(100)):
+    for text in (prose(1500), para * 3, para + prose(300) + para, "ab" * 900, "=" * 2000, "abcdefg" * 200, prose(41) * 40, prose(150) * 30, prose(39) * 30, prose(50) + para + "é☃" + para, prose(100)):
         assert qu.repeat_count(text) == slow_repeats(text)
 
 
@@ -39,16 +39,25 @@ def test_recognition_routes_only(spark):
     assert [(r["doc_id"], r["code"]) for r in qu.conversion_findings(df).collect()] == [(1, "repetition-loop")]
 
 
-def test_text_layer_samples_and_reasons(spark):
+def test_text_layer_reasons(spark):
     rows = [(1, i, "word " * 60, False) for i in range(30)] + [(2, i, "", True) for i in range(4)] + [(3, 0, "/31 /8 /18 " * 40, False)] + [(4, 0, "\x01\x02ab" * 90, False)]
     got = {r["doc_id"]: r["reason"] for r in qu.text_layer(spark.createDataFrame(rows, "doc_id int, page int, text string, full_page_image boolean")).collect()}
     assert got == {1: "usable", 2: "scan", 3: "unmapped codes", 4: "unprintable"}
 
 
-def test_claim_blocks_are_quote_aware():
+def test_claim_blocks_are_quote_aware(spark):
     text = 'intro\nCLAIM: one\nEVIDENCE: "first line\nCLAIM: not a block\nlast"\nSOURCE_TYPE: local_wiki\nSOURCE: raw/a.md\nFINDING: two\nEVIDENCE: "x"\nSTATUS: Verified\n'
-    got = cl.parse_claims(text)
-    assert [(b[1], b[2], b[4], b[5]) for b in got] == [("one", "first line\nCLAIM: not a block\nlast", "raw/a.md", None), ("two", "x", None, "Verified")]
+    open_ = 'finding: three\r\nevidence: bare words\non two lines\nSOURCE: s\nClaim: four\nEVIDENCE: "never closed\nCLAIM: inside'
+    got = cl.claim_blocks(spark.createDataFrame([(1, text), (2, open_), (3, "no blocks"), (4, None)], "n int, text string")).orderBy("n", "seq").collect()
+    assert [(b.n, b.seq, b.claim, b.evidence, b.source, b.status) for b in got] == [
+        (1, 0, "one", "first line\nCLAIM: not a block\nlast", "raw/a.md", None), (1, 1, "two", "x", None, "Verified"),
+        (2, 0, "three", "bare words\non two lines", "s", None), (2, 1, "four", '"never closed', None, None)]
+
+
+def test_report_rows(spark):
+    text = "# D\n\n## One  \n- id: `a-1` · relevance: 0.5\n- authors: A, B, et al.\n- abstract:  x y \n- https://arxiv.org/abs/2401.00001v2\n##nothing\n## Two\n- candidate: arXiv:2402.00002v3\n- https://e.org/q\n- https://e.org/r"
+    got = [tuple(r) for r in rd.report_candidates(spark.createDataFrame([(text,), (None,), ("",)], "text string")).collect()]
+    assert got == [(0, "One", "a-1", "2401.00001", "https://arxiv.org/abs/2401.00001v2", 0.5, ["A", "B"], "x y"), (1, "Two", "2402.00002", "2402.00002", "https://e.org/q", None, [], None)]
 
 
 def test_quotes_in_three_forms_and_from_pages(spark):
