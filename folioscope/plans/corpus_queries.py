@@ -98,12 +98,12 @@ def folder_inventory(t: Tables) -> DataFrame:
     return co.folder_inventory(files).select("base", "entry", "files", "bytes")
 
 
-@query("F7", """WITH l AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '[STUB: Awaiting synthesis] x' WHEN 1 THEN 'No explicit thing' WHEN 2 THEN ' * **Energy** : ' ELSE 'plain' END AS line FROM documents)
-SELECT doc_id, CAST(2 AS INT) AS line, CASE doc_id % 4 WHEN 0 THEN 'stub_tag' WHEN 1 THEN 'no_explicit_text' ELSE 'empty_bullet' END AS type, CASE doc_id % 4 WHEN 0 THEN '[STUB: Awaiting synthesis]' WHEN 1 THEN 'No explicit thing' ELSE 'Energy' END AS context_hint FROM l WHERE doc_id % 4 < 3""")
+@query("F7", """WITH l AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) + CASE WHEN text IS NULL THEN 0 ELSE 1 END AS n, CASE doc_id % 4 WHEN 0 THEN '[STUB: Awaiting synthesis] x' WHEN 1 THEN 'No explicit thing' WHEN 2 THEN ' * **Energy** : ' ELSE 'plain' END AS line FROM documents)
+SELECT doc_id, CAST(n AS INT) AS line, CASE doc_id % 4 WHEN 0 THEN 'stub_tag' WHEN 1 THEN 'no_explicit_text' ELSE 'empty_bullet' END AS type, CASE doc_id % 4 WHEN 0 THEN '[STUB: Awaiting synthesis]' WHEN 1 THEN 'No explicit thing' ELSE 'Energy' END AS context_hint FROM l WHERE doc_id % 4 < 3""")
 def placeholder_lines(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 4
     line = F.when(k == 0, "[STUB: Awaiting synthesis] x").when(k == 1, "No explicit thing").when(k == 2, " * **Energy** : ").otherwise("plain")
-    return co.placeholders(t.documents.select("doc_id", F.concat_ws("\n", F.substring_index("text", "\n", 1), line).alias("text"))).select("doc_id", "line", "type", "context_hint")
+    return co.placeholders(t.documents.select("doc_id", F.concat_ws("\n", "text", line).alias("text"))).select("doc_id", "line", "type", "context_hint")
 
 
 @query("A7", """SELECT path, CAST(len(string_split(body, chr(10))) AS INT) AS lines, CAST(0 AS INT) AS sections, CAST(len(regexp_extract_all(body, '(?s)\\$\\$(.*?)\\$\\$')) AS INT) AS block_math FROM card_rows""")

@@ -36,7 +36,10 @@ class BatchLog:
         """Rows with their batch number; only earlier batches when `before` is given."""
         try:
             df = spark.read.schema(f"{self.schema}, batch bigint").parquet(self.root)
-        except AnalysisException:
+        except AnalysisException as exc:
+            # Only a log that no batch has written yet is empty; one that cannot be read is an error.
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
             return spark.createDataFrame([], f"{self.schema}, batch bigint")
         return df.filter(F.col("batch") < before) if before is not None else df
 
@@ -106,11 +109,11 @@ def first_seen(stream: DataFrame, root: str, **trigger) -> BatchLog:
     return log
 
 
-def spawn_alerts(stream: DataFrame, root: str, every: int = 25, keep_days: int = 7, prune_over: int = 2000, **trigger) -> tuple[BatchLog, BatchLog]:
+def spawn_alerts(stream: DataFrame, root: str, every: int = 25, keep_days: int = 7, **trigger) -> tuple[BatchLog, BatchLog]:
     """Counts per session and day, and an alert row for each multiple of `every` passed.
 
     A batch is counted before it meets the kept counts, so a busy session is one
-    row there. Days past the retention stop counting once the log is over its size.
+    row there. Days more than `keep_days` before the newest kept day do not count.
     """
     counts = BatchLog(f"{root}/counts", "session string, day date, n bigint")
     alerts = BatchLog(f"{root}/alerts", "session string, spawns bigint, alerts bigint")
@@ -120,9 +123,8 @@ def spawn_alerts(stream: DataFrame, root: str, every: int = 25, keep_days: int =
         added = batch.groupBy("session", F.to_date("at").alias("day")).agg(F.count("*").alias("n"))
         counts.write(added, batch_id)
         kept = counts.read(spark, batch_id)
-        size, newest = kept.agg(F.sum("n"), F.max("day")).first()
-        if size and size > prune_over and newest is not None:
-            kept = kept.filter(F.col("day").isNull() | (F.col("day") >= F.date_sub(F.lit(newest), keep_days)))
+        newest = kept.agg(F.max("day")).scalar()
+        kept = kept.filter(F.col("day").isNull() | (F.col("day") >= F.date_sub(newest, keep_days)))
         before = kept.groupBy("session").agg(F.sum("n").alias("_before"))
         now = counts.read(spark).filter(F.col("batch") == batch_id).groupBy("session").agg(F.sum("n").alias("_new"))
         total = now.join(before, "session", "left").withColumn("_before", F.coalesce("_before", F.lit(0)))
