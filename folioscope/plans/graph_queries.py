@@ -193,12 +193,15 @@ def triage_progress(t: Tables) -> DataFrame:
     return rd.triage_progress(t.triage_rows.select("report", "id"), t.triage_rows)
 
 
-@query("A29 A36 T9", """SELECT 'seen' AS measure, count(*) AS value FROM events UNION ALL SELECT 'pending ' || o_orderpriority, count(*) FROM orders WHERE o_orderstatus = 'O' GROUP BY o_orderpriority
+def _reports(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderpriority").alias("kind"), F.when(F.col("o_orderstatus") == "O", "pending-review").otherwise("done").alias("status"), F.col("o_orderkey").alias("name"))
+
+
+@query("A29 A36", """SELECT 'seen' AS measure, count(*) AS value FROM events UNION ALL SELECT 'pending ' || o_orderpriority, count(*) FROM orders WHERE o_orderstatus = 'O' GROUP BY o_orderpriority
 UNION ALL SELECT 'days since harvest', date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-05') FROM events""")
 def radar_status(t: Tables) -> DataFrame:
     seen = t.events.select(F.to_date("ts").alias("first_seen"))
-    reports = t.orders.select(F.col("o_orderpriority").alias("kind"), F.when(F.col("o_orderstatus") == "O", "pending-review").otherwise("done").alias("status"), F.col("o_orderkey").alias("name"))
-    return rd.radar_status(seen, reports, "2024-02-05")
+    return rd.radar_status(seen, _reports(t), "2024-02-05")
 
 
 def _gap_inputs(t: Tables):
@@ -234,22 +237,42 @@ def shared_references(t: Tables) -> DataFrame:
     return rd.shared_references(t.reference_rows, pairs)
 
 
-@query("S11 S12", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title FROM documents WHERE doc_id % 6 <> 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND 1990 + doc_id % 40 BETWEEN 2000 AND 2020)
+def _landed(t: Tables) -> DataFrame:
+    """Feed records from the documents; every sixth has no title."""
+    d = F.col("doc_id")
+    return t.documents.select(F.col("lang").alias("query"), d.alias("pos"), F.when(d % 6 != 0, F.col("text")).alias("title"), (1990 + d % 40).alias("year"), F.col("text").alias("abstract"),
+                              F.lit("u").alias("url"), d.cast("string").alias("paperId"), F.struct(F.when(d % 3 == 0, F.concat(F.lit("2401."), F.lpad((d % 90000).cast("string"), 5, "0"))).alias("ArXiv"),
+                              F.concat(F.lit("10.1/"), d.cast("string")).alias("DOI")).alias("externalIds"), F.array(F.struct(F.lit("A").alias("name"))).alias("authors"))
+
+
+@query("S12", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title FROM documents WHERE doc_id % 6 <> 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND 1990 + doc_id % 40 BETWEEN 2000 AND 2020)
 SELECT CASE WHEN doc_id % 3 = 0 THEN '2401.' || lpad(CAST(doc_id % 90000 AS STRING), 5, '0') ELSE '10.1/' || CAST(doc_id AS STRING) END AS id, md5(title) AS title, CAST(1990 + doc_id % 40 AS INT) AS year, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS abstract FROM l WHERE k <= 15""")
 def keyword_feed(t: Tables) -> DataFrame:
-    d = F.col("doc_id")
-    landed = t.documents.select(F.col("lang").alias("query"), d.alias("pos"), F.when(d % 6 != 0, F.col("text")).alias("title"), (1990 + d % 40).alias("year"), F.col("text").alias("abstract"),
-                                F.lit("u").alias("url"), d.cast("string").alias("paperId"), F.struct(F.when(d % 3 == 0, F.concat(F.lit("2401."), F.lpad((d % 90000).cast("string"), 5, "0"))).alias("ArXiv"),
-                                F.concat(F.lit("10.1/"), d.cast("string")).alias("DOI")).alias("externalIds"), F.array(F.struct(F.lit("A").alias("name"))).alias("authors"))
-    return rd.keyword_feed(landed, limit=60, queries=4, first_year=2000, last_year=2020).select("id", F.md5("title").alias("title"), "year", F.md5("abstract").alias("abstract"))
+    return rd.keyword_feed(_landed(t), limit=60, queries=4, first_year=2000, last_year=2020).select("id", F.md5("title").alias("title"), "year", F.md5("abstract").alias("abstract"))
 
 
-@query("S13", "SELECT '2401.' || lpad(CAST(event_id % 90000 AS STRING), 5, '0') AS id, 'arxiv-new:' || event_type AS source FROM ev WHERE event_id % 9 <> 0 AND us >= 1705881600000000")
-def new_listings(t: Tables) -> DataFrame:
+def _entries(t: Tables) -> DataFrame:
     e = F.col("event_id")
-    entries = t.ev.select(F.col("event_type").alias("category"), F.concat(F.lit("http://arxiv.org/abs/2401."), F.lpad((e % 90000).cast("string"), 5, "0"), F.lit("v3")).alias("id"), F.lit("A  title").alias("title"),
+    return t.ev.select(F.col("event_type").alias("category"), F.concat(F.lit("http://arxiv.org/abs/2401."), F.lpad((e % 90000).cast("string"), 5, "0"), F.lit("v3")).alias("id"), F.lit("A  title").alias("title"),
                           F.when(e % 9 == 0, "soon").otherwise(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("published"), F.col("props").alias("summary"), F.array(F.lit("A")).alias("authors"))
-    return rd.new_listings(entries, "2024-02-05 00:00:00", 14).select("id", "source")
+
+
+@query("S13", "SELECT '2401.' || lpad(CAST(event_id % 90000 AS STRING), 5, '0') AS id, 'arxiv-new:' || event_type AS source FROM ev WHERE event_id % 9 <> 0 AND us >= 1705881600000000")
+def new_listings(t: Tables) -> DataFrame:
+    return rd.new_listings(_entries(t), "2024-02-05 00:00:00", 14).select("id", "source")
+
+
+@query("S11 U2", """SELECT CAST(0 AS INT) AS feed, 's2-recommendation' AS source, CASE WHEN doc_id % 3 = 0 THEN '2401.' || lpad(CAST(doc_id % 90000 AS STRING), 5, '0') ELSE '10.1/' || CAST(doc_id AS STRING) END AS id
+FROM documents WHERE doc_id % 6 <> 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''
+UNION ALL SELECT 1, 'arxiv-new:' || event_type, '2401.' || lpad(CAST(event_id % 90000 AS STRING), 5, '0') FROM ev WHERE event_id % 9 <> 0 AND us >= 1705881600000000""")
+def united_candidates(t: Tables) -> DataFrame:
+    recommended = rd.recommendations(_landed(t).drop("query", "pos"))
+    return rd.candidate_union(recommended, rd.new_listings(_entries(t), "2024-02-05 00:00:00", 14)).select("feed", "source", "id")
+
+
+@query("T9", "SELECT o_orderkey AS name, o_orderpriority AS kind FROM orders WHERE o_orderstatus = 'O'")
+def pending_reports(t: Tables) -> DataFrame:
+    return rd.pending_reports(_reports(t)).select("name", "kind")
 
 
 @query("J21 C19", """SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN '2405.' || lpad(CAST(p_partkey % 90000 AS STRING), 5, '0') END AS resolved_arxiv FROM part WHERE p_partkey % 2 = 0
