@@ -9,32 +9,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope.llm import decontaminate, lines, minhash, packing, quality_fm
 from folioscope.llm.common import stored
 from folioscope.llm.queries import ranks_path, table
 
 
+def own_columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     machine = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_fm.scored(docs, machine, docs.columns).where(F.col("score") >= quality_fm.THRESHOLD).drop("score")
+    whole = docs.select(F.struct(*own_columns(docs)).alias("whole"), "text")
+    return quality_fm.scored(whole, machine, ["whole"]).where(F.col("score") >= quality_fm.THRESHOLD).select("whole.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; n_chars follows the text where lines went."""
-    out = lines.drop_recurring_lines(docs)
-    chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars).select(docs.columns)
+    out = lines.drop_recurring_lines(docs.select("doc_id", "text", F.struct(*own_columns(docs)).alias("whole")))
+    chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("whole.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[F.col("text") if c == "text" else chars.alias(c) if c == "n_chars" else F.col("whole").getField(c).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, and one row of each id."""
+    """One document of each near-duplicate group; repeated rows (same id, same text) once."""
     near = minhash.near_duplicates(docs)
-    gone = near.where("not kept").select("doc_id").distinct()
-    left = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return left.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    gone = near.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    once = left.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    return once.select(*own_columns(docs)).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

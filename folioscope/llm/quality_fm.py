@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import WordHashes, batches, fold, mixed, texts
 from .fitting import training_sample
@@ -141,8 +141,7 @@ def scored(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
             scores = [own.score(*own.row(*described(t, hashes)))[0] for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
 
-    row = source.schema["row"].dataType.simpleString()
-    return source.mapInArrow(run, f"row {row}, score double").select("row.*", "score")
+    return source.mapInArrow(run, T.StructType().add(source.schema["row"]).add("score", "double")).select("row.*", "score")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
