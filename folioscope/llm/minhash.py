@@ -9,9 +9,9 @@ must agree on enough minima, and are then confirmed on the full sets.
 No bucket emits its pairs. In a round, every bucket compares its members with
 one head; linked ones become components by alternating large-star and
 small-star, and a bucket whose members are one component is done. Rounds with
-other heads follow. What is open after ROUNDS_OF_HEADS is compared exactly:
-members outside their bucket's largest component against the rest of it. Before
-that, shingles are summed over the open documents: a link to another component
+other heads follow; one without new links leaves the components as they are.
+What is open after ROUNDS_OF_HEADS is compared exactly: members outside their
+bucket's largest component against the rest of it. Before that, shingles are summed over the open documents: a link to another component
 needs shingles that occur in another component, so a document with fewer than
 three quarters of those is done. The rest of a bucket is compared in blocks of
 about BLOCK shingles: a matrix product over the shingles that occur in both
@@ -138,11 +138,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        # The smallest neighbour's own edge becomes the vertex's edge to it; every other neighbour is handed on.
+        small = large.join(least, "a").select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
         edges = cut_lineage(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -150,6 +151,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of `links` and the earlier ones `found`, whose stars stand for their links."""
+    return components(links if found is None else found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members (key, vertex, ...) with the component of each."""
     return members.join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
@@ -274,7 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         with_texts = agreeing.join(involved.select(F.col("vertex").alias("b"), F.col("text").alias("text_b")), "b").join(involved.select(F.col("vertex").alias("a"), F.col("text").alias("text_a")), "a")
         return stored(verified(with_texts).distinct(), "minhash-links")
 
-    links = None
+    found = None
     for turn in range(ROUNDS_OF_HEADS):
         rank = F.col("vertex") if turn == 0 else F.xxhash64("vertex", F.lit(turn))
         heads = open_.groupBy("key").agg(F.min_by("vertex", rank).alias("a"))
@@ -284,8 +290,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         else:
             pairs = open_.join(heads, "key").where("a != vertex").select("a", F.col("vertex").alias("b"))
         new = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
+        if found is not None and new.isEmpty():
+            continue
+        found = joined(found, new)
         marked = labelled(open_.select("key", "vertex"), found)
         unsettled = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
         open_ = stored(marked.join(unsettled, "key"), "minhash-open")
@@ -294,8 +301,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         for _ in range(PRUNINGS):
             open_, items = linkable(open_, involved, sketch)
-        links = links.unionByName(confirmed(open_pairs(open_, items)))
-        found = components(links)
+        new = confirmed(open_pairs(open_, items))
+        found = found if new.isEmpty() else joined(found, new)
     groups = labelled(classes.select("set_key", "vertex"), found).select("set_key", "component")
     # Ids that stand for several texts join their classes through the shared vertex already.
     out = signed.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
