@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; n_chars follows the text where lines went."""
-    out = lines.drop_recurring_lines(docs.select("doc_id", "text", F.struct(*own_columns(docs)).alias("whole")))
+    out = lines.drop_recurring_lines(docs.select("doc_id", "text", F.struct(*own_columns(docs)).alias("whole")), every_line=True)
     chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("whole.n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*[F.col("text") if c == "text" else chars.alias(c) if c == "n_chars" else F.col("whole").getField(c).alias(c) for c in docs.columns])
 

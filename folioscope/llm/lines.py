@@ -2,7 +2,8 @@
 
 A line's tokens stand between ASCII blanks; tokens with a digit or an at sign
 are variable (`<*>`). The tree's first level is the token count, the next DEPTH
-are the leading tokens; a leaf is one template. In a leaf, a position is
+are the leading tokens, all of them where a line has no more; a leaf is one
+template. In a leaf, a position is
 constant where one token holds more than half of the leaf's texts; a line
 belongs to the template if at least AGREE of its positions agree with it. A
 template that belongs to MIN_DOCS or more different texts recurs: its lines are
@@ -10,8 +11,9 @@ dropped everywhere but in its first document. Lines that fit no template recur
 or stay by their own masked form. Equal texts count once.
 
 All steps are sums by key; no leaf is ever gathered. Defined results: null text
-stays null, a text without recurring lines is unchanged, lines of at most DEPTH
-tokens (blank ones too) always stay, order and other lines are kept. "First" is
+stays null, a text without recurring lines is unchanged, blank lines always
+stay, lines of at most DEPTH tokens go by the same rule with `every_line` (as in
+the queries) and stay without it, order and other lines are kept. "First" is
 the smallest doc_id, null last; rows with that id and equal text all keep the
 line. Empty tables give no rows. Other columns pass through; a column named
 `n_lines` or `n_dropped` is replaced.
@@ -47,8 +49,9 @@ def masked(line: bytes) -> list[bytes]:
     return [b"<*>" if VARIABLE.search(t) else t for t in tokens] if VARIABLE.search(line) else tokens
 
 
-def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, leaf, form) of every line with more than DEPTH tokens."""
+def parsed_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
+    """(doc_id, text_hash, line, leaf, form) of every line with tokens, or with more than DEPTH tokens."""
+    least = 1 if every_line else DEPTH + 1
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -56,7 +59,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
                 for doc_id, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b)):
                     for i, line in enumerate(text.split(b"\n")):
                         tokens = masked(line)
-                        if len(tokens) > DEPTH:
+                        if len(tokens) >= least:
                             leaf = b"%d " % len(tokens) + b" ".join(tokens[:DEPTH])
                             yield doc_id, h, i, signed(xxhash.xxh3_64_intdigest(leaf)), signed(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
         yield from batches(PARSED, rows(), 8192)
@@ -65,9 +68,9 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "doc_id bigint, text_hash bigint, line int, leaf bigint, form bigint")
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, every_line: bool = False) -> DataFrame:
     """(doc_id, text_hash, lines): numbers of the lines to drop, for texts that have some."""
-    lines = stored(parsed_lines(docs), "lines-parsed")
+    lines = stored(parsed_lines(docs, every_line), "lines-parsed")
     often = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     lines = stored(lines.join(often, "leaf"), "lines-often")
     forms_in_texts = lines.groupBy("leaf", "form", "text_hash").agg(F.min(F.struct("doc_id", "line")).alias("at"))
@@ -93,9 +96,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, every_line: bool = False) -> DataFrame:
     """The rows with `text` without its recurring lines, and `n_lines`, `n_dropped`."""
-    drops = recurring_lines(docs, min_docs).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("lines").alias("__lines"))
+    drops = recurring_lines(docs, min_docs, every_line).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("lines").alias("__lines"))
     kept = docs.drop("n_lines", "n_dropped")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
     out = kept.join(drops.hint("merge"), same, "left")

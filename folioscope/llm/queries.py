@@ -60,7 +60,7 @@ def op7_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, root: str) -> DataFrame:
-    return lines.drop_recurring_lines(table(spark, root, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return lines.drop_recurring_lines(table(spark, root, "documents"), every_line=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op9_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
