@@ -1,17 +1,19 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame functions alone.
-
-Words are runs of letters and digits, lower-cased. A mask fixes which of SPAN
-consecutive words are hashed; the others may differ. Hashes of the benchmark at
-every place meet those of every document at every place; a meeting fixes the
-diagonal (document place minus item place) along which all words of the item
-are then compared. A document holds an item if at least SHARE of the item's
-words agree on one diagonal, so substitutions between and under the masks are
-tolerated.
-
-Defined results: null and empty texts hold nothing; an item of fewer than SPAN
-words is never found; a null doc_id or item_id is reported as null; repeated
-rows are reported once; a document may hold many items and one item may be in
-any number of documents; empty tables give no rows; other columns are ignored.
+"""Benchmark decontamination by seeds that cannot all be hit, in DataFrame functions alone.
+
+Words are runs of letters and digits, lower-cased. A document holds an item if
+at least SHARE of the item's words agree on one diagonal (document place minus
+item place). So an item of n words may lose k = n - ceil(SHARE * n) of them. It
+is cut into k + 1 blocks of equal size, give or take a word: k changes leave one
+block whole, wherever they fall. The first words of each block, SPAN at most,
+are its seed; seeds meet the equal runs of words at every place of a document,
+and all words of the item are compared on each diagonal met. No item that the
+rule allows is missed, at any length.
+
+Defined results: null and empty texts hold nothing; an item without words is
+never found; a null doc_id or item_id is reported as null; repeated rows are
+reported once; a document may hold many items and one item may be in any number
+of documents; words of an item beyond a document's ends count as changed; empty
+tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.staging import computed_once
 
-SPAN = 8
-#: Offsets of the words each mask hashes; 0 and SPAN - 1 are always among them.
-MASKS = ((0, 1, 3, 4, 7), (0, 2, 3, 6, 7))
+SPAN = 3
+#: Offsets of the words of a seed of 1, 2 ... SPAN words.
+MASKS = tuple(tuple(range(n + 1)) for n in range(SPAN))
 SHARE = 0.7
 #: Benchmark hashes up to this count are broadcast (some 40 MB); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -36,19 +38,28 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column, places: Column) -> Column:
-    """Hashes of every mask at places 0 .. places - 1, mask after mask."""
-    def under(number: int, mask: tuple[int, ...]) -> Callable[[Column], Column]:
-        return lambda i: F.xxhash64(F.lit(number), *[F.get(h, i + o) for o in mask])
+def seed(h: Column, start: Column, mask: tuple[int, ...]) -> Column:
+    return F.xxhash64(F.lit(len(mask)), *[F.get(h, start + o) for o in mask])
 
-    return F.concat(*[F.transform(F.sequence(F.lit(0), places - 1), under(k, m)) for k, m in enumerate(MASKS)])
 
+def item_seeds(tests: DataFrame, share: float) -> DataFrame:
+    """(item_id, item_hash, words, seed, item_place): one seed of each block."""
+    blocks = tests.withColumn("n", F.size("h")).where("n > 0").withColumn("k", (F.col("n") - F.ceil(F.lit(share) * F.col("n")) + 1).cast("int"))
+    cut = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    cut = cut.withColumn("item_place", F.expr("int(i * n div k)")).withColumn("words", F.least(F.lit(SPAN), F.expr("int((i + 1) * n div k)") - F.col("item_place")))
+    own = F.coalesce(*[F.when(F.col("words") == len(m), seed(F.col("h"), F.col("item_place"), m)) for m in MASKS])
+    return cut.select("item_id", "item_hash", "words", own.alias("seed"), "item_place")
 
-def placed(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep..., seed, place) of every mask at every place of rows with column `h`."""
-    long_enough = rows.where(F.size("h") >= SPAN).withColumn("places", F.size("h") - SPAN + 1)
-    out = long_enough.select(*keep, "places", F.posexplode(seeds(F.col("h"), F.col("places"))).alias("n", "seed"))
-    return out.select(*keep, "seed", (F.col("n") % F.col("places")).alias("place"))
+
+def text_seeds(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
+    """(keep..., seed, place) of every run of so many words at every place of rows with column `h`."""
+    def runs(mask: tuple[int, ...]) -> Column:
+        at = lambda i: F.struct(seed(F.col("h"), i, mask).alias("seed"), i.alias("place"))
+        last = F.size("h") - len(mask)
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<struct<seed:bigint,place:int>>"))
+
+    placed = F.concat(*[runs(MASKS[n - 1]) for n in lengths])
+    return rows.select(*keep, F.explode(placed).alias("p")).select(*keep, "p.seed", "p.place")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -57,24 +68,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     `start` is the place of the item's first word in the document's words, the
     best diagonal's, the smallest among equals. `text_hash` is xxhash64 of the text.
     """
+    if not 0 < share <= 1:
+        raise ValueError(f"share must be over 0 and at most 1: {share}")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("h")).where("h is not null")
     tests = tests.distinct().withColumn("item_hash", F.xxhash64("h"))
-    known = placed(tests, ["item_id", "item_hash"]).select("seed", "item_id", "item_hash", F.col("place").alias("item_place"))
+    known = item_seeds(tests, share)
+    lengths = sorted(r.words for r in known.select("words").distinct().collect()) or [1]
+    known = known.select("seed", "item_id", "item_hash", "item_place")
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     read = computed_once(source, h=word_hashes(F.col("text")))
-    met = placed(read.select("doc_id", "text_hash", "h"), ["doc_id", "text_hash"]).join(known, "seed")
-    met = met.select("doc_id", "text_hash", "item_id", "item_hash", (F.col("place") - F.col("item_place")).alias("start")).distinct()
+    met = text_seeds(read.select("doc_id", "text_hash", "h"), ["doc_id", "text_hash"], lengths).join(known, "seed")
+    # All diagonals of an item in a document are one row, so that a text goes along once for each of its items.
+    met = met.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("starts"))
     words = source.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "text")
     items = tests.select(F.col("item_id").alias("i"), F.col("item_hash").alias("ih"), F.col("h").alias("item_h"))
     # Identical rows are one: only the documents met are read again.
     back = met.join(items, F.expr("item_id <=> i and item_hash = ih")).join(words, F.expr("doc_id <=> d and text_hash = t"))
     both = computed_once(back, doc_h=word_hashes(F.col("text")))
-    same = F.size(F.filter(F.transform("item_h", lambda x, j: x == F.get(F.col("doc_h"), F.when(F.col("start") + j >= 0, F.col("start") + j))), lambda y: y))
-    found = both.select("doc_id", "text_hash", "item_id", "start", same.alias("matched"), F.size("item_h").alias("item_words"))
-    best = F.struct((-F.col("matched")).alias("m"), F.col("start").alias("s"), F.col("item_words").alias("w"))
-    found = found.where(F.col("matched") >= F.ceil(F.lit(share) * F.col("item_words"))).groupBy("doc_id", "text_hash", "item_id").agg(F.min(best).alias("b"))
+
+    def on(start: Column) -> Column:
+        agree = lambda x, j: x == F.get(F.col("doc_h"), F.when(start + j >= 0, start + j))
+        same = F.size(F.filter(F.transform("item_h", agree), lambda y: y))
+        return F.struct((-same).alias("m"), start.alias("s"), F.size("item_h").alias("w"))
+
+    found = both.select("doc_id", "text_hash", "item_id", F.array_min(F.transform("starts", on)).alias("b"))
+    found = found.where(-F.col("b.m") >= F.ceil(F.lit(share) * F.col("b.w"))).groupBy("doc_id", "text_hash", "item_id").agg(F.min("b").alias("b"))
     return found.select("doc_id", "text_hash", "item_id", F.col("b.s").alias("start"), (-F.col("b.m")).alias("matched"), F.col("b.w").alias("item_words"))
 
 

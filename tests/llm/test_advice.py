@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
+from folioscope.llm import decontaminate
 from folioscope.llm.queries import op8_line_dedup
 
 
@@ -25,3 +26,34 @@ def test_short_lines_that_recur_go_too(spark, tmp_path):
     assert {r.doc_id: r.text for r in op8_line_dedup(spark, str(tmp_path)).collect()} == want
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()} == want
+
+
+def brute_found(text, item):
+    """Whether any diagonal agrees on 70 % of the item's words."""
+    w, v = [[x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x] for t in (text, item)]
+    return bool(v) and any(10 * sum(0 <= d + j < len(w) and w[d + j] == x for j, x in enumerate(v)) >= 7 * len(v) for d in range(-len(v), len(w)))
+
+
+def test_every_pattern_of_changes_that_the_share_allows_is_found(spark, tmp_path):
+    rng = random.Random(8)
+    lengths = [1, 2, 3, 4, 5, 7, 8, 10, 15, 17, 20, 23, 31, 59]
+    items = {n: [f"w{n}x{i}" if n != 5 else f"w{i % 2}" for i in range(n)] for n in lengths}
+    rows = [(0, None), (1, ""), (2, "one two three"), (3, " ".join(items[8][2:])), (4, " ".join(items[20][:-6])), (5, " ".join(items[20][7:]) + " end")]
+
+    def add(n, changed):
+        copy = [f"c{rng.randint(0, 10**6)}" if i in changed else x for i, x in enumerate(items[n])]
+        rows.append((len(rows), " ".join([f"b{i}" for i in range(rng.randint(0, 3))] + copy + ["e"] * rng.randint(0, 2))))
+
+    add(15, {1, 7, 9})
+    for n in lengths:
+        for k in range(3 * n // 10 + 2):
+            for _ in range(6):
+                add(n, set(rng.sample(range(n), k)))
+        add(n, set(range(2, n, 3)))  # runs of two words alone
+    want = {(i, n) for i, t in rows for n in lengths if brute_found(t, " ".join(items[n]))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    test = spark.createDataFrame([*[(n, " ".join(v)) for n, v in items.items()], (99, ""), (98, None)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, test).collect()} == want and (6, 15) in want and {n for _, n in want} == set(lengths)
+    test.write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in left) == [i for i, _ in rows if i not in {d for d, _ in want}]
