@@ -8,7 +8,7 @@ from ..functions import markup as md, text as tx
 from ..operators import corpus as co, graph as gr
 from .registry import query
 from .search_queries import PIECES
-from .tables import Tables
+from .tables import Tables, plain
 
 COLLECTION = "CASE WHEN path LIKE 'raw/%' THEN 'raw' WHEN path LIKE 'drafts/%' THEN 'drafts' ELSE string_split(path, '/')[2] END"
 
@@ -66,7 +66,7 @@ def page_links(t: Tables) -> DataFrame:
 
 @query("C12", "SELECT doc_id, unnest(['a b ' || source || '.md', 'https://e.org/' || lang]) AS link, unnest(CAST([0, 1] AS INT[])) AS pos FROM documents")
 def markdown_links(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("[one](<a b "), "source", F.lit(".md>) and [two](https://e.org/"), "lang", F.lit(")"))
+    text = F.concat(plain("text", "]("), F.lit(" [one](<a b "), "source", F.lit(".md>) and [two](https://e.org/"), "lang", F.lit(")"))
     return co.markdown_links(t.documents.select("doc_id", text.alias("text"))).select("doc_id", "pos", "link")
 
 
@@ -113,7 +113,7 @@ def structure_map(t: Tables) -> DataFrame:
 
 @query("A6", f"SELECT {COLLECTION} AS collection, count(*) AS files, CAST(count(*) AS INT) * 1 AS wikilinks_rows, count(*) FILTER (sources_csv = '') AS without_sources, 1.0::DOUBLE AS avg_links FROM card_rows GROUP BY 1".replace("CAST(count(*) AS INT) * 1 AS wikilinks_rows", "count(*) AS wikilinks"))
 def collection_summary(t: Tables) -> DataFrame:
-    cards = t.cards.withColumn("body", F.concat(F.lit("[["), "path", F.lit("]]")))
+    cards = t.cards.withColumn("body", F.concat(plain("body", "[["), F.lit("[["), "path", F.lit("]]")))
     return co.collection_summary(cards).select("collection", "files", "wikilinks", "without_sources", "avg_links")
 
 
@@ -126,7 +126,7 @@ def link_density(t: Tables) -> DataFrame:
 @query("J30", """WITH names AS (SELECT DISTINCT regexp_extract(path, '([^/]*)\\.md$', 1) AS name FROM card_rows WHERE path LIKE 'wiki/concepts/%' OR path LIKE 'wiki/references/%')
 SELECT doc_id, 'C ' || CAST(doc_id AS STRING) AS link, 'c-' || CAST(doc_id AS STRING) IN (SELECT name FROM names) AS valid FROM documents""")
 def reference_check(t: Tables) -> DataFrame:
-    docs = t.documents.select(F.col("doc_id").alias("path"), F.concat(F.lit("see [[C "), F.col("doc_id").cast("string"), F.lit("]]")).alias("text"))
+    docs = t.documents.select(F.col("doc_id").alias("path"), F.concat(plain("text", "[["), F.lit(" see [[C "), F.col("doc_id").cast("string"), F.lit("]]")).alias("text"))
     return gr.card_reference_check(docs, t.cards).select(F.col("path").alias("doc_id"), "link", "valid")
 
 
@@ -134,7 +134,7 @@ def reference_check(t: Tables) -> DataFrame:
 a AS (SELECT 'alias_' || CAST(doc_id % 97 AS STRING) AS key, max('c-' || CAST(doc_id AS STRING) || '.md') AS name FROM card_rows WHERE path LIKE 'wiki/concepts/%' AND aliases_csv <> '' GROUP BY 1)
 SELECT path, link, CASE WHEN name IS NULL THEN 'missing' ELSE 'alias' END AS problem, name AS suggestion FROM l LEFT JOIN a ON key || '.md' = link""")
 def link_repairs(t: Tables) -> DataFrame:
-    docs = t.card_rows.select("path", F.concat(F.lit("[x](alias_"), (F.col("doc_id") % 97).cast("string"), F.lit(".md) [ok](../"), F.substring_index("path", "/", -2), F.lit(")")).alias("text"))
+    docs = t.card_rows.select("path", F.concat(plain("body", "["), F.lit(" [x](alias_"), (F.col("doc_id") % 97).cast("string"), F.lit(".md) [ok](../"), F.substring_index("path", "/", -2), F.lit(")")).alias("text"))
     ok_only = docs.filter(F.col("path").startswith("wiki/")).unionByName(docs.filter(F.col("path").startswith("drafts/")).withColumn("text", F.regexp_replace("text", r" \[ok\].*$", "")))
     return gr.repair_links(ok_only, t.cards, t.card_rows.select("path"))
 
@@ -144,7 +144,7 @@ def link_repairs(t: Tables) -> DataFrame:
 def link_retargets(t: Tables) -> DataFrame:
     up = F.when(F.col("path").startswith("drafts/"), "../").when(F.col("path").startswith("wiki/"), "../../").otherwise("../../raw/")
     target = F.when(F.col("path").startswith("raw/"), F.lit("../papers/p-3.md#top")).otherwise(F.concat(up, F.lit("raw/papers/p-3.md#top")))
-    return co.retarget_links(t.card_rows.select("path", F.concat(F.lit("[a]("), target, F.lit(") [b](https://e.org/raw/x.md)")).alias("text")), [("raw", "library")])
+    return co.retarget_links(t.card_rows.select("path", F.concat(plain("body", "]("), F.lit(" [a]("), target, F.lit(") [b](https://e.org/raw/x.md)")).alias("text")), [("raw", "library")])
 
 
 @query("F31", "SELECT DISTINCT props AS line FROM events WHERE event_id % 4 = 1")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import markup as md
 from ..operators import quality as qu
 from .registry import query
-from .tables import Tables
+from .tables import Tables, plain
 
 TODAY = "2024-10-01"
 WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))"
@@ -84,7 +84,7 @@ def image_reference_census(t: Tables) -> DataFrame:
 
 @query("Q5", "SELECT doc_id, 'f' || CAST(doc_id % 10 AS STRING) || '.png' AS name FROM documents WHERE doc_id % 10 > 3")
 def missing_images(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", F.concat(F.lit("![x](images/f"), (F.col("doc_id") % 10).cast("string"), F.lit(".png)")).alias("md"))
+    docs = t.documents.select("doc_id", F.concat(F.regexp_replace(plain("text", "!["), "<", ""), F.lit(" ![x](images/f"), (F.col("doc_id") % 10).cast("string"), F.lit(".png)")).alias("md"))
     held = t.documents.filter("doc_id % 10 <= 3").select("doc_id", F.concat(F.lit("f"), (F.col("doc_id") % 10).cast("string"), F.lit(".png")).alias("name"))
     return qu.missing_images(docs, held).select("doc_id", "name")
 
@@ -158,7 +158,7 @@ def near_duplicate_tags(t: Tables) -> DataFrame:
 @query("F13", "SELECT path, CASE doc_id % 3 WHEN 0 THEN 'a/b' ELSE '$x^2$' END AS link, CASE doc_id % 3 WHEN 0 THEN 'illegal character' ELSE 'raw maths' END AS issue FROM card_rows WHERE path NOT LIKE 'raw/%' AND doc_id % 3 < 2")
 def wikilink_text_issues(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 3
-    return qu.wikilink_text_issues(t.card_rows.select("path", F.concat(F.lit("[["), F.when(k == 0, "a/b").when(k == 1, "$x^2$").otherwise("fine page"), F.lit("]]")).alias("body")))
+    return qu.wikilink_text_issues(t.card_rows.select("path", F.concat(plain("body", "[["), F.lit(" [["), F.when(k == 0, "a/b").when(k == 1, "$x^2$").otherwise("fine page"), F.lit("]]")).alias("body")))
 
 
 @query("F15", "SELECT path, 'bet' AS issue FROM card_rows WHERE doc_id % 6 = 0 UNION ALL SELECT path, 'signed posts' FROM card_rows WHERE doc_id % 8 = 0")

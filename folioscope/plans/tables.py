@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
         "pages", "benchmark", "labels", "conversations")
@@ -178,6 +178,11 @@ def with_derived(sql: str) -> str:
     return f"WITH {head}\n{body}"
 
 
+def plain(column: str, mark: str) -> Column:
+    """The whole text without a mark, so that only the marks added to it are found."""
+    return F.replace(F.coalesce(column, F.lit("")), F.lit(mark), F.lit(""))
+
+
 class Tables:
     """Base and derived tables of one data folder as DataFrames."""
 
