@@ -36,10 +36,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group; repeated rows (same id, same text) once."""
-    near = minhash.near_duplicates(docs)
+    own = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
+    several = own.groupBy("__id").agg(F.min("__text").alias("a"), F.max("__text").alias("b")).where("a != b").select("__id", F.lit(True).alias("__several"))
+    if not several.isEmpty():
+        # An id that stands for different texts would tie their groups together: each of its texts goes by an id of its own.
+        own = own.join(several, "__id", "left").withColumn("__id", F.when(F.col("__several"), F.xxhash64("__id", "__text")).otherwise(F.col("__id")))
+    near = minhash.near_duplicates(own.select(F.col("__id").alias("doc_id"), "text"))
     gone = near.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    once = left.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    once = own.join(gone, F.col("__id") == F.col("__gone"), "left_anti").dropDuplicates(["__id", "__text"])
     return once.select(*own_columns(docs)).unionByName(docs.where("doc_id is null"))
 
 

@@ -75,3 +75,12 @@ def test_operators_are_given_whole_texts(spark, monkeypatch, query, module, oper
     left_out = {3} if query == "link_repairs" else set()  # raw papers
     texts = [r.text for r in spark.read.parquet(f"{root}/documents.parquet").collect() if r.doc_id % 5 not in left_out and len(r.text or "") > 300]
     assert texts and all(any(t in g for g in got) for t in texts)
+
+
+def test_an_id_that_stands_for_two_texts_loses_neither(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 400)}" for _ in range(60)) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, d), (7, d), (6, c + " end"), (9, None), (None, a)]
+    out = [tuple(r) for r in corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "").collect()]
+    assert (5, b) in out and out.count((7, d)) == 1 and (9, None) in out and (None, a) in out and len(out) == 6
+    assert len({(3, a), (5, a)} & {*out}) == 1 and len({(7, c), (6, c + " end")} & {*out}) == 1
