@@ -67,54 +67,67 @@ class Tokenizers:
         if not text:
             return [], []
         a, b, wanted = self.encode_a(" " + text), self.encode_b(text), b" " + text.encode()
-        fine = b"".join([self.a[i] for i in a]) == wanted == b"".join([self.b[i] for i in b])
+        fine = b"".join(map(self.a.__getitem__, a)) == wanted == b"".join(map(self.b.__getitem__, b))
         return (a, b) if fine else ([], [])
 
 
-def ends(ids: list[int], spelled: list[bytes]) -> dict[int, int]:
-    """Byte offset at which a token ends, to the number of tokens up to there."""
-    return {end: n for n, end in enumerate(accumulate([len(spelled[i]) for i in ids]), 1)}
-
-
-def overlaps(a: list[int], b: list[int], spelled_a: list[bytes], spelled_b: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Pairs of a slice's tokens whose byte ranges overlap, in text order."""
-    i = j = 0
-    end_a, end_b = len(spelled_a[a[0]]), len(spelled_b[b[0]])
-    while True:
-        yield a[i], b[j]
-        if end_a == end_b:
-            return
-        if end_a < end_b:
-            i += 1
-            end_a += len(spelled_a[a[i]])
-        else:
-            j += 1
-            end_b += len(spelled_b[b[j]])
-
-
-def groups(a: list[int], b: list[int], spelled_a: list[bytes], spelled_b: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
-    """Slices of both id lists between the offsets where tokens of both end."""
-    at_a, at_b = ends(a, spelled_a), ends(b, spelled_b)
-    i = j = 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        p, q = at_a[end], at_b[end]
-        yield a[i:p], b[j:q]
-        i, j = p, q
-
-
-def links(a: list[int], b: list[int], spelled_a: list[bytes], spelled_b: list[bytes]) -> list[int]:
-    """Keys of a slice's linked pairs; a single token overlaps all of the other side."""
-    if len(a) == 1:
-        return [a[0] * SECOND + y for y in b]
-    if len(b) == 1:
-        return [x * SECOND + b[0] for x in a]
-    return [x * SECOND + y for x, y in overlaps(a, b, spelled_a, spelled_b)]
-
-
-def packed(keys: list[int]) -> tuple[bytes, int]:
+class Aligner:
+    """Groups and links of two id lists, given how long each id's bytes are."""
+
+    def __init__(self, spelled_a: list[bytes], spelled_b: list[bytes]) -> None:
+        self.long_a, self.long_b = list(map(len, spelled_a)), list(map(len, spelled_b))
+        self.said_a, self.said_b = [str(i) for i in range(len(spelled_a))], [str(i) for i in range(len(spelled_b))]
+        self.bar_b = [f"|{i}" for i in range(len(spelled_b))]
+
+    def slices(self, a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
+        """Tokens of both lists up to each offset where tokens of both end."""
+        at_a = dict(zip(accumulate(map(self.long_a.__getitem__, a)), range(1, len(a) + 1)))
+        at_b = dict(zip(accumulate(map(self.long_b.__getitem__, b)), range(1, len(b) + 1)))
+        # Ends were put in as they grow, so what the dictionaries share comes out sorted.
+        common = list(filter(at_b.__contains__, at_a))
+        return zip(map(at_a.__getitem__, common), map(at_b.__getitem__, common))
+
+    def overlaps(self, a: list[int], b: list[int]) -> Iterator[int]:
+        """Keys of a slice's tokens whose byte ranges overlap, in text order."""
+        i = j = 0
+        end_a, end_b = self.long_a[a[0]], self.long_b[b[0]]
+        while True:
+            yield a[i] * SECOND + b[j]
+            if end_a == end_b:
+                return
+            if end_a < end_b:
+                i += 1
+                end_a += self.long_a[a[i]]
+            else:
+                j += 1
+                end_b += self.long_b[b[j]]
+
+    def read(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
+        """Each group as text, and the keys of all links."""
+        said, keys, i, j = [], [], 0, 0
+        say, link, said_a, said_b, bar_b = said.append, keys.append, self.said_a, self.said_b, self.bar_b
+        for p, q in self.slices(a, b):
+            x, y = a[i], b[j]
+            if p - i == 1 == q - j:  # one token each
+                link(x * SECOND + y)
+                say(said_a[x] + bar_b[y])
+            else:
+                own_a, own_b = a[i:p], b[j:q]
+                if p - i == 1:  # a single token overlaps all of the other side
+                    keys += [x * SECOND + z for z in own_b]
+                elif q - j == 1:
+                    keys += [z * SECOND + y for z in own_a]
+                else:
+                    keys += self.overlaps(own_a, own_b)
+                say(",".join([said_a[z] for z in own_a]) + "|" + ",".join([said_b[z] for z in own_b]))
+            i, j = p, q
+        return said, keys
+
+
+def packed(keys: list[int]) -> bytes:
     """Distinct keys as differences, then their multiplicities."""
     own, times = np.unique(np.array(keys, np.int64), return_counts=True)
-    return zlib.compress(np.diff(own, prepend=0).astype("<u8").tobytes() + times.astype("<u4").tobytes(), 1), len(keys)
+    return zlib.compress(np.diff(own, prepend=0).astype("<u8").tobytes() + times.astype("<u4").tobytes(), 1)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -128,19 +141,15 @@ def aligned(docs: DataFrame, ranks_path: str, pieces_path: str) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Tokenizers(ranks_path, pieces_path)
-        name = [str(i) for i in range(max(len(own.a), len(own.b)))]
+        aligner = Aligner(own.a, own.b)
 
         def rows() -> Iterator[tuple]:
             for batch in parts:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     a, b = own.ids(text.as_py() or "")
-                    keys, said = [], []
-                    for x, y in groups(a, b, own.a, own.b):
-                        keys += links(x, y, own.a, own.b)
-                        said.append(f"{','.join([name[i] for i in x])}|{','.join([name[i] for i in y])}")
+                    said, keys = aligner.read(a, b)
                     digest = hashlib.sha256(";".join(said).encode()).hexdigest() if said else ""
-                    pairs, n = packed(keys)
-                    yield doc_id, len(a), len(b), len(said), n, digest, pairs
+                    yield doc_id, len(a), len(b), len(said), len(keys), digest, packed(keys)
 
         yield from batches(ALIGNED, rows(), 256)
 
