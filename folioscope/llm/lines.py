@@ -3,9 +3,11 @@
 A line's tokens stand between ASCII blanks; tokens with a digit or an at sign
 are variable (`<*>`). The tree's first level is the token count, the next DEPTH
 are the leading tokens, all of them where a line has no more; a leaf is one
-template. In a leaf, a position is
+template. A line of variable tokens alone has no template: it recurs or stays by
+its own text. In a leaf, a position is
 constant where one token holds more than half of the leaf's texts; a line
-belongs to the template if at least AGREE of its positions agree with it. A
+belongs to the template if at least AGREE of its positions agree with it, one of
+them in a token that is not variable. A
 template that belongs to MIN_DOCS or more different texts recurs: its lines are
 dropped everywhere but in its first document. Lines that fit no template recur
 or stay by their own masked form. Equal texts count once.
@@ -60,7 +62,10 @@ def parsed_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
                     for i, line in enumerate(text.split(b"\n")):
                         tokens = masked(line)
                         if len(tokens) >= least:
-                            leaf = b"%d " % len(tokens) + b" ".join(tokens[:DEPTH])
+                            if all(t == b"<*>" for t in tokens):
+                                leaf = b"= " + b" ".join(tokens := line.split())
+                            else:
+                                leaf = b"%d " % len(tokens) + b" ".join(tokens[:DEPTH])
                             yield doc_id, h, i, signed(xxhash.xxh3_64_intdigest(leaf)), signed(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
         yield from batches(PARSED, rows(), 8192)
 
@@ -85,8 +90,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, every_line: bool
     tokens = read.distinct().select("leaf", "form", "texts", "leaf_texts", F.posexplode(F.filter(F.split("text", BLANKS), lambda t: t != "")).alias("place", "token"))
     tokens = stored(tokens.withColumn("token", F.when(F.col("token").rlike("[0-9@]"), "<*>").otherwise(F.col("token"))), "lines-tokens")
     constant = tokens.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("s"), F.first("leaf_texts").alias("all")).where("2 * s > all").select("leaf", "place", "token")
-    agreed = tokens.join(constant.withColumn("same", F.lit(1)), ["leaf", "place", "token"], "left").groupBy("leaf", "form").agg(F.sum(F.coalesce("same", F.lit(0))).alias("same"), F.count(F.lit(1)).alias("n"))
-    fitting = agreed.where(F.col("same") >= F.lit(AGREE) * F.col("n")).select("leaf", "form", F.lit(True).alias("fits"))
+    agreed = tokens.join(constant.withColumn("same", F.lit(1)), ["leaf", "place", "token"], "left").groupBy("leaf", "form").agg(F.sum(F.coalesce("same", F.lit(0))).alias("same"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("token") != "<*>", F.col("same"))).alias("firm"))
+    fitting = agreed.where((F.col("same") >= F.lit(AGREE) * F.col("n")) & (F.col("firm") == 1)).select("leaf", "form", F.lit(True).alias("fits"))
     # A unit is a leaf's template, or one form that fits none.
     unit = F.when(F.col("fits"), F.lit(0)).otherwise(F.col("form"))
     units = lines.join(fitting, ["leaf", "form"], "left").select("doc_id", "text_hash", "line", "leaf", unit.alias("unit"), F.coalesce("fits", F.lit(False)).alias("fits"))
@@ -100,11 +105,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, every_line:
     """The rows with `text` without its recurring lines, and `n_lines`, `n_dropped`."""
     drops = recurring_lines(docs, min_docs, every_line).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("lines").alias("__lines"))
     kept = docs.drop("n_lines", "n_dropped")
+    # The row travels whole, so that no column of it can clash.
+    whole = kept.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("whole"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
-    out = kept.join(drops.hint("merge"), same, "left")
+    out = whole.join(drops.hint("merge"), same, "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     numbers = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines")))
     rest = let(lines, lambda own: F.array_join(F.transform(numbers, lambda i: F.get(own, i)), "\n"))
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(rest)
-    return out.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in kept.columns],
+    return out.select(*[text.alias(c) if c == "text" else F.col("whole").getField(c).alias(c) for c in kept.columns],
                       F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).alias("n_dropped"))
