@@ -10,8 +10,8 @@ those, and the expression is unrolled that often.
 Permuted number p goes to shard p % shards, slot p // shards: shard sizes
 differ by one row at most, and both follow from (row number, rows, key) alone.
 Equal texts and repeated rows are rows like any other; nulls stay where they
-are; an empty table gives no rows. A table that already has one of the ADDED
-columns raises ValueError.
+are; an empty table gives no rows. A column of the table that has the name of an
+ADDED one, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -25,27 +25,34 @@ from ..session import cut_lineage
 
 ROUNDS = 4
 RANGES = 64
+#: Up to so many files (some 20 MB of paths), their offsets go to every task.
+BROADCAST_FILES = 100_000
+STRETCH = 1_000_000
 ADDED = ("row_number", "permuted", "shard", "slot")
 
 
 def numbered(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """Rows of a Parquet table with `row_number`, 0-based, and how many there are."""
+    """Rows of a Parquet table, whole, with `row_number`, 0-based, and how many there are."""
     table = spark.read.parquet(path)
-    if clash := set(ADDED) & {c.lower() for c in table.columns}:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
     meta = table.metadataColumn("_metadata")
-    rows = table.select("*", meta["file_path"].alias("__file"), meta["row_index"].alias("__index"))
-    files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
-    cut = files.withColumn("__range", F.pmod(F.xxhash64(F.element_at(F.split("__file", "/"), -1)), F.lit(RANGES)))
-    ranges = cut.groupBy("__range").agg(F.sum("__n").alias("__all"))
-    total = ranges.agg(F.sum("__all")).first()[0] or 0
+    own = [table[f"`{c}`"] for c in table.columns if c.lower() not in ADDED]
+    rows = table.select(F.struct(*own).alias("whole"), meta["file_path"].alias("file"), meta["row_index"].alias("index"))
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    cut = files.withColumn("range", F.pmod(F.xxhash64(F.element_at(F.split("file", "/"), -1)), F.lit(RANGES)))
+    ranges = cut.groupBy("range").agg(F.sum("n").alias("all"))
+    total = ranges.agg(F.sum("all")).first()[0] or 0
     earlier = (W.unboundedPreceding, -1)
-    inside = F.sum("__n").over(W.partitionBy("__range").orderBy("__file").rowsBetween(*earlier))
-    before = F.sum("__all").over(W.orderBy("__range").rowsBetween(*earlier))
-    offsets = cut.withColumn("__inside", inside).join(ranges.withColumn("__before", before), "__range")
-    offsets = offsets.select("__file", (F.coalesce("__inside", F.lit(0)) + F.coalesce("__before", F.lit(0))).alias("__offset"))
-    placed = rows.join(offsets, "__file")
-    return placed.select(*[placed[f"`{c}`"] for c in table.columns], (F.col("__offset") + F.col("__index")).alias("row_number")), total
+    inside = F.sum("n").over(W.partitionBy("range").orderBy("file").rowsBetween(*earlier))
+    before = F.sum("all").over(W.orderBy("range").rowsBetween(*earlier))
+    offsets = cut.withColumn("inside", inside).join(ranges.withColumn("before", before), "range")
+    offsets = offsets.select("file", "n", (F.coalesce("inside", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("offset"))
+    if files.count() <= BROADCAST_FILES:
+        placed = rows.join(F.broadcast(offsets.drop("n")), "file")
+    else:
+        # Too many files for every task: a file's rows meet its offset in stretches, so none of them is one task.
+        stretches = offsets.select("file", "offset", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {STRETCH}"))).alias("stretch"))
+        placed = rows.withColumn("stretch", F.expr(f"index div {STRETCH}")).join(stretches, ["file", "stretch"])
+    return placed.select("whole", (F.col("offset") + F.col("index")).alias("row_number")), total
 
 
 def sides(rows: int) -> tuple[int, int]:
@@ -89,4 +96,5 @@ def shuffle_to_shards(spark: SparkSession, path: str, shards: int = 40, key: int
     """The table's rows with `row_number`, `permuted`, `shard` (int) and `slot` (long)."""
     rows, total = numbered(spark, path)
     placed = rows.withColumn("permuted", permute(F.col("row_number"), total, key, longest_walk(spark, total, key)))
+    placed = placed.select("whole.*", "row_number", "permuted")
     return placed.withColumns({"shard": (F.col("permuted") % shards).cast("int"), "slot": F.floor(F.col("permuted") / F.lit(shards)).cast("long")})
