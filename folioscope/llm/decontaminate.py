@@ -100,6 +100,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows, all columns as they are, of documents that hold no item."""
-    hits = contaminated(docs, benchmark, share).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
-    return docs.join(hits, same, "left_anti")
+    hits = contaminated(docs, benchmark, share).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    same = F.col("whole.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.col("whole.text").cast("string")) == F.col("t"))
+    return whole.join(hits, same, "left_anti").select("whole.*")

@@ -197,9 +197,37 @@ def test_sharding_law(spark, docs, tmp_path):
         sizes = [sorted(r.slot for r in got if r.shard == s) for s in range(7)]
         assert all(s == list(range(len(s))) for s in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1
         assert got == sharding.shuffle_to_shards(spark, path, 7).collect()
-    with pytest.raises(ValueError):
-        spark.range(2).withColumnRenamed("id", "Slot").write.parquet(str(tmp_path / "clash"))
-        sharding.shuffle_to_shards(spark, str(tmp_path / "clash"), 7)
+    spark.createDataFrame([(i, "y", i) for i in range(5)], "Slot long, __file string, index long").repartition(2).write.parquet(str(tmp_path / "clash"))
+    got = sharding.shuffle_to_shards(spark, str(tmp_path / "clash"), 2)
+    assert got.columns == ["__file", "index", *sharding.ADDED] and sorted(r.permuted for r in got.collect()) == list(range(5))
+
+
+def plain_permutation(n, rows, hashes):
+    """The network and its walk in plain Python; the hash alone is Spark's."""
+    a, b = sharding.sides(rows)
+    while True:
+        left, right, sizes = n // b, n % b, (a, b)
+        for r in range(sharding.ROUNDS):
+            left, right = right, (left + hashes[r, right] % sizes[0]) % sizes[0]
+            sizes = sizes[::-1]
+        n = left * b + right
+        if n < rows:
+            return n
+
+
+def test_permutation_equals_plain_python_and_files_are_not_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    path, rows, key = str(tmp_path / "p"), 60, 20240229
+    spark.createDataFrame([(i if i % 7 else None, None if i % 5 == 0 else f"t{i % 3}") for i in range(rows)], "doc_id long, text string").repartition(4).write.parquet(path)
+    got = sharding.shuffle_to_shards(spark, path, 7).collect()
+    a, b = sharding.sides(rows)
+    grid = spark.range(sharding.ROUNDS).crossJoin(spark.range(max(a, b)).toDF("x")).select("id", "x", F.xxhash64(F.lit(key), F.col("id").cast("int"), "x").alias("h")).collect()
+    hashes = {(r.id, r.x): r.h for r in grid}
+    assert [r.permuted for r in got] == [plain_permutation(r.row_number, rows, hashes) for r in got]
+    monkeypatch.setattr(sharding, "BROADCAST_FILES", 0)
+    monkeypatch.setattr(sharding, "STRETCH", 4)
+    assert sorted(map(str, sharding.shuffle_to_shards(spark, path, 7).collect())) == sorted(map(str, got))
 
 
 def test_chat_round_trip(spark):
@@ -223,7 +251,7 @@ def test_decontamination_tolerates_substitutions(spark, base, docs):
         changed[j] = "other"
     rows = [(1, base[0] + " " + " ".join(item) + " " + base[1]), (2, base[2] + ", " + " ".join(changed).upper()), (3, " ".join(item[:12]) + base[3]), (4, base[4]), (5, None), (6, ""), (None, " ".join(item)), (1, base[5])]
     test = spark.createDataFrame([(7, " ".join(item), "t"), (8, "too short", "t"), (9, None, "t"), (None, "", "t")], "item_id long, text string, doc_id string")
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, __d int, t string")
     got = {(r.doc_id, r.item_id, r.matched) for r in decontaminate.contaminated(df, test).collect()}
     assert got == {(1, 7, 30), (2, 7, 26), (None, 7, 30)}
     assert sorted(str(r.doc_id) for r in decontaminate.without_contaminated(df, test).collect()) == ["1", "3", "4", "5", "6"]
@@ -240,6 +268,16 @@ def test_lines_drop_templates_and_keep_the_rest(spark, base):
     assert lines.drop_recurring_lines(empty(spark)).count() == 0
 
 
+def test_lines_of_variables_alone_go_by_their_own_text(spark, base):
+    """Numbers, addresses and e-mails, each distinct, all stay; one that recurs as it is goes."""
+    forms = ["{0}37", "https://e.org/{0}/p", "{0}.5 3.1", "user{0}@x.org", "1{0} 2 3", "{0} 2 3 4", "1 2 {0} 4 5", "{0} {0}1 {0}2 w{0}"]
+    texts = [f"{base[i]}\n" + "\n".join(f.format(i) for f in forms) + "\n+49 30 1234567\nend of page 7" for i in range(8)]
+    out = lines.drop_recurring_lines(spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, __d int, whole string"), every_line=True).collect()
+    for r in out:
+        assert r.text == (texts[r.doc_id] if r.doc_id == 0 else texts[r.doc_id].removesuffix("\n+49 30 1234567\nend of page 7"))
+        assert (r["__d"], r.whole) == (1, "x")
+
+
 def test_classifiers_hold_out_and_score(spark):
     from pyspark.sql import functions as F
 

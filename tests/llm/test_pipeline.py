@@ -16,26 +16,34 @@ from folioscope.llm.queries import ranks_path
 
 from .test_operators import brute_near
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_dropped int, n_lines string, kept string, `a.b` string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_dropped int, n_lines string, kept string, `a.b` string, __text string, __id string, whole string, __d string"
 ITEM = [f"q{i}" for i in range(20)]
 
 
 def brute_lines(rows):
     """(doc_id, text) rows without recurring lines, by gathering every leaf."""
     mask = lambda t: "<*>" if re.search("[0-9@]", t) else t
-    leaves, once = defaultdict(lambda: defaultdict(dict)), {}
+
+    def form_of(line):
+        """A line's leaf and form; variables alone stand for themselves."""
+        raw = tuple(line.split())
+        form = tuple(map(mask, raw))
+        return (raw, raw) if set(form) == {"<*>"} else ((len(form), form[:3]), form)
+
+    leaves = defaultdict(lambda: defaultdict(dict))
     for i, t in rows:
-        for n, line in enumerate((t or "").split("\n")):
-            tokens = tuple(map(mask, line.split()))
-            if len(tokens) > lines.DEPTH:
-                leaves[len(tokens), tokens[:lines.DEPTH]][tokens].setdefault(t, set()).add(i)
+        for line in (t or "").split("\n"):
+            if line.split():
+                leaf, form = form_of(line)
+                leaves[leaf][form].setdefault(t, set()).add(i)
     drop = {}
     for forms in leaves.values():
         total, votes = sum(map(len, forms.values())), defaultdict(Counter)
         for form, own in forms.items():
             for k, token in enumerate(form):
                 votes[k][token] += len(own)
-        fits = {f for f in forms if len(forms) > 1 and total >= lines.MIN_DOCS and sum(2 * votes[k][t] > total for k, t in enumerate(f)) >= lines.AGREE * len(f)}
+        fits = {f for f in forms if len(forms) > 1 and total >= lines.MIN_DOCS and sum(2 * votes[k][t] > total for k, t in enumerate(f)) >= lines.AGREE * len(f)
+                and any(2 * votes[k][t] > total and t != "<*>" for k, t in enumerate(f))}
         for unit in [fits, *[{f} for f in forms if f not in fits]]:
             own = defaultdict(set)
             for f in unit:
@@ -46,7 +54,7 @@ def brute_lines(rows):
                 drop |= {f: first for f in unit}
 
     def rest(i, t):
-        return "\n".join(x for x in t.split("\n") if drop.get(tuple(map(mask, x.split())), i) == i)
+        return "\n".join(x for x in t.split("\n") if drop.get(form_of(x)[1], i) == i)
     return [(i, t if t is None else rest(i, t)) for i, t in rows]
 
 
@@ -74,8 +82,8 @@ def folder(spark, tmp_path_factory):
     good[20] += " " + " ".join(ITEM)
     good[21] = " ".join(changed).upper() + ", " + good[21]
     texts = [*good, *good[10:14], good[15] + " end", "a\nb " + good[16], *["!!!! #### " * rng.randint(5, 20) for _ in range(20)], None, "", " \n", text(5000), good[0]]
-    rows = [(i, t, None, "s", len(t or ""), 0.5, 3, "x", "y", "z") for i, t in enumerate(texts)]
-    rows += [rows[3], rows[30], (None, text(40), None, None, None, None, None, None, None, None)]
+    rows = [(i, t, None, "s", len(t or ""), 0.5, 3, "x", "y", "z", "p", "q", "r", "s") for i, t in enumerate(texts)]
+    rows += [rows[3], rows[30], (None, text(40), *[None] * 12)]
     out = tmp_path_factory.mktemp("pipeline")
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(out / "documents.parquet"))
     labels = [(i, int("#" not in (t or "#"))) for i, t in enumerate(texts)]
@@ -138,3 +146,10 @@ def test_run_is_the_stages_and_takes_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_documents_of_two_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == ["doc_id", "text"] and 0 < out.count() <= docs.count()
