@@ -20,40 +20,58 @@ def own_columns(docs: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+def whole(docs: DataFrame) -> Column:
+    """The row as one struct, in which no column can clash with a stage's own."""
+    return F.struct(*own_columns(docs)).alias("whole")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, null and empty texts by their score too.
+
+    Repeated rows and ties are scored alike, nulls in other columns pass, an
+    empty table stays empty; without labels all scores are equal.
+    """
     machine = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
-    whole = docs.select(F.struct(*own_columns(docs)).alias("whole"), "text")
-    return quality_fm.scored(whole, machine, ["whole"]).where(F.col("score") >= quality_fm.THRESHOLD).select("whole.*")
+    return quality_fm.scored(docs.select(whole(docs), "text"), machine, ["whole"]).where(F.col("score") >= quality_fm.THRESHOLD).select("whole.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without recurring lines; n_chars follows the text where lines went."""
-    out = lines.drop_recurring_lines(docs.select("doc_id", "text", F.struct(*own_columns(docs)).alias("whole")), every_line=True)
-    chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("whole.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[F.col("text") if c == "text" else chars.alias(c) if c == "n_chars" else F.col("whole").getField(c).alias(c) for c in docs.columns])
+    """Texts without recurring lines; n_chars, where there is one, follows the text where lines went.
+
+    Every row stays: null texts and texts without such lines as they are; a
+    recurring line stays in its first document, in all rows of equal id and text.
+    """
+    out = lines.drop_recurring_lines(docs.select("doc_id", "text", whole(docs)), every_line=True)
+    own = {c: F.col("whole").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[c.alias(name) for name, c in own.items()])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; repeated rows (same id, same text) once."""
-    own = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
-    several = own.groupBy("__id").agg(F.min("__text").alias("a"), F.max("__text").alias("b")).where("a != b").select("__id", F.lit(True).alias("__several"))
+    """One document of each near-duplicate group; repeated rows (same id, same text) once.
+
+    Null and wordless texts are groups of their own, rows with a null id all
+    stay, the smallest id of a group stays. An id that stands for different
+    texts would tie their groups together: each of its texts goes by an id of its own.
+    """
+    own = docs.where("doc_id is not null").select(whole(docs), "text", F.xxhash64("text").alias("text_hash"), F.col("doc_id").cast("long").alias("id"))
+    several = own.groupBy("id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a != b").select("id", F.lit(True).alias("several"))
     if not several.isEmpty():
-        # An id that stands for different texts would tie their groups together: each of its texts goes by an id of its own.
-        own = own.join(several, "__id", "left").withColumn("__id", F.when(F.col("__several"), F.xxhash64("__id", "__text")).otherwise(F.col("__id")))
-    near = minhash.near_duplicates(own.select(F.col("__id").alias("doc_id"), "text"))
-    gone = near.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    once = own.join(gone, F.col("__id") == F.col("__gone"), "left_anti").dropDuplicates(["__id", "__text"])
-    return once.select(*own_columns(docs)).unionByName(docs.where("doc_id is null"))
+        own = own.join(several, "id", "left").withColumn("id", F.when(F.col("several"), F.xxhash64("id", "text_hash")).otherwise(F.col("id")))
+    near = minhash.near_duplicates(own.select(F.col("id").alias("doc_id"), "text"))
+    gone = near.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    once = own.join(gone, F.col("id") == F.col("gone"), "left_anti").dropDuplicates(["id", "text_hash"])
+    return once.select("whole.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, all rows of equal id and text go or stay together."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
+    """Pieces of packed sequences; a null text is its end id alone, a null id is kept, repeated rows are packed as often as they occur."""
     return packing.pack(docs, ranks_path()).drop("ids")
 
 
