@@ -58,15 +58,10 @@ def brute_lines(rows):
     return [(i, t if t is None else rest(i, t)) for i, t in rows]
 
 
-def brute_items(text, item):
-    """Whether any diagonal that a mask meets agrees on enough of the item's words."""
+def brute_items(text, item, share=0.7):
+    """Whether any diagonal agrees on enough of the item's words, seeds or none."""
     w = [x for x in re.split(r"[^\w]+|_", (text or "").lower()) if x]
-    for d in range(-len(item), len(w)):
-        met = any(all(0 <= d + p + o < len(w) and w[d + p + o] == item[p + o] for o in m) for p in range(len(item) - decontaminate.SPAN + 1)
-                  if d + p >= 0 and d + p + decontaminate.SPAN <= len(w) for m in decontaminate.MASKS)
-        if met and sum(0 <= d + j < len(w) and w[d + j] == x for j, x in enumerate(item)) >= decontaminate.SHARE * len(item):
-            return True
-    return False
+    return any(sum(0 <= d + j < len(w) and w[d + j] == x for j, x in enumerate(item)) >= share * len(item) - 1e-9 for d in range(-len(item), len(w)))
 
 
 @pytest.fixture(scope="module")
@@ -153,3 +148,37 @@ def test_stages_take_documents_of_two_columns(spark, folder):
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         out = stage(spark, docs, folder)
         assert out.columns == ["doc_id", "text"] and 0 < out.count() <= docs.count()
+
+
+def test_every_allowed_change_leaves_a_spaced_seed(spark):
+    """All patterns of changes that the share allows, up to 20 words; most masks have a gap."""
+    from itertools import combinations
+    from math import ceil
+
+    assert sum(m != tuple(range(len(m))) for m in decontaminate.MASKS) == 3
+    items = spark.createDataFrame([(n, [100 * n + i for i in range(n)]) for n in range(1, 61)], "item_id long, h array<long>").withColumn("item_hash", F.xxhash64("h"))
+    held = defaultdict(list)
+    for r in decontaminate.item_seeds(items, 0.7).collect():
+        held[r.item_id].append({r.item_place + o for o in (decontaminate.MASKS[r.mask - 1] if r.mask > 0 else range(-r.mask))})
+    rng = random.Random(2)
+    for n in range(1, 61):
+        k = n - ceil(0.7 * n)
+        patterns = combinations(range(n), k) if n <= 20 else (rng.sample(range(n), k) for _ in range(3000))
+        assert all(any(seed.isdisjoint(p) for seed in held[n]) for p in map(set, patterns)), n
+        assert n < 8 or all(len(seed) == 4 for seed in held[n])
+
+
+def test_changed_items_are_found_at_any_length(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["of", "the", "in", *[f"w{i}" for i in range(40)]])
+    items = [[word() for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 13, 15, 20, 33) for _ in range(2)]
+    rows = []
+    for i in range(300):
+        item = list(rng.choice(items))
+        for j in rng.sample(range(len(item)), rng.randint(0, (len(item) * 4) // 10)):
+            item[j] = "other"
+        rows.append((i, " ".join([word() for _ in range(rng.randint(0, 9))] + item + [word() for _ in range(rng.randint(0, 9))])))
+    test = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([*rows, rows[0], (None, rows[1][1])], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, test).collect()}
+    assert got == {(d, i) for d, t in [*rows, (None, rows[1][1])] for i, item in enumerate(items) if brute_items(t, item)}
