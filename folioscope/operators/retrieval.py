@@ -1,8 +1,9 @@
 """Keyword and vector search with rank fusion.
 
-Two ways to the keyword ranking: `keyword_scores` scans the chunks, counting
-the query's own terms inside each row, and `postings_scores` reads only the
-query's terms from a stored postings table. Both give the same scores.
+Three ways to the keyword ranking: `keyword_scores` scans the chunks, counting
+the query's own terms inside each row, `postings_scores` reads the query's terms
+from a postings table, and `indexed_leg` ranks from a stored index, where bounds
+of whole zones leave most postings unread. All give the same scores.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions import text as tx, vectors as vx
 from ..functions.staging import computed_once
 from ..session import cut_lineage
+from ..sources.search_index import Index
 
 # Ranking constants and closeness bands.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -129,6 +131,84 @@ def keyword_leg(chunks: DataFrame, query: str, n: int, collection: str | None =
     return ranked(scores, n, [F.col("score").desc()], "bm25_rank").drop("score")
 
 
+def _phrase_blocks(index: Index, phrase: Sequence[str], number: int) -> DataFrame:
+    """Block rows of a phrase of several words, as `Index.postings` has them for a word."""
+    keys = ["segment", "library", "zone", "id"]
+    rows = index.postings(sorted(set(phrase)))
+    at = lambda term: rows.where(F.col("term") == term).select("segment", "library", "zone", F.explode("docs").alias("d")).select("segment", "library", "zone", "d.*")
+    found = at(phrase[0]).select(*keys, "dl", "positions")
+    for offset, term in enumerate(phrase[1:], 1):
+        nxt = at(term).select(*keys, F.transform("positions", lambda p: p - offset).alias("_p"))
+        found = found.join(nxt, keys).withColumn("positions", F.array_intersect("positions", "_p")).drop("_p").where(F.size("positions") > 0)
+    docs = F.collect_list(F.struct("id", "dl", F.size("positions").cast("long").alias("tf")))
+    blocks = index.live(found).groupBy("segment", "library", "zone").agg(docs.alias("docs"), F.max(F.size("positions")).cast("long").alias("max_tf"), F.min("dl").alias("min_dl"), F.count("*").alias("n"))
+    # Rows of a rare thing, which statistics, bounds and scores all read.
+    return cut_lineage(blocks.withColumn("phrase", F.lit(number)))
+
+
+def indexed_leg(index: Index, query: str, n: int, collection: str | None = None, path: str | None = None) -> DataFrame:
+    """The best `n` of each library by BM25: segment, zone, library, id, score.
+
+    The bounds of a zone's posting rows add up to a bound of every score in it.
+    The `n` zones with the largest bounds are scored; the n-th best score found
+    is a floor, and only zones whose bound reaches it are scored beside them.
+    Exact: what is left unread cannot be among the best. Filters come before
+    the cut; the statistics are the whole library's.
+    """
+    phrases = query_phrases(index.spark, query)
+    if not phrases:
+        return index.places().select("segment", "zone", "library", "id", F.lit(0.0).alias("score"), F.lit(0).alias("bm25_rank")).limit(0)
+    columns = ["phrase", "segment", "library", "zone", "docs", "max_tf", "min_dl", "n"]
+    words = [(i, p[0]) for i, p in enumerate(phrases) if len(p) == 1]
+    terms = sorted({w for _, w in words})
+    numbers = F.broadcast(index.spark.createDataFrame(words, "phrase int, term string"))
+    single = index.postings(terms).join(numbers, "term").withColumn("docs", F.transform("docs", lambda d: F.struct(d["id"].alias("id"), d["dl"].alias("dl"), d["tf"].alias("tf"))))
+    blocks = reduce(DataFrame.unionByName, [single.select(*columns), *[_phrase_blocks(index, p, i).select(*columns) for i, p in enumerate(phrases) if len(p) > 1]])
+    less = index.less(terms).join(numbers, "term").select("phrase", "library", (-F.col("less")).alias("n"))
+    spread = blocks.select("phrase", "library", "n").unionByName(less).groupBy("phrase", "library").agg(F.sum("n").cast("double").alias("df"))
+    known = cut_lineage(spread.where("df > 0").join(index.stats().withColumnRenamed("n", "all"), "library"))
+    bound = _bm25(F.col("max_tf"), F.col("df"), F.col("all"), F.col("min_dl"), F.col("avgdl"))
+    zones = blocks.drop("docs").join(known, ["phrase", "library"]).groupBy("segment", "library", "zone").agg(F.sum(bound).alias("bound"))
+    zones = cut_lineage(zones)
+    places = scope_filter(index.places(), collection, path).select("segment", "library", "id") if collection or path else None
+
+    def scored(wanted: DataFrame) -> DataFrame:
+        rows = blocks.join(wanted.select("segment", "library", "zone"), ["segment", "library", "zone"], "left_semi")
+        docs = rows.select("phrase", "segment", "library", "zone", F.explode("docs").alias("d")).select("phrase", "segment", "library", "zone", "d.*")
+        docs = index.live(docs)
+        if places is not None:
+            docs = docs.join(places, ["segment", "library", "id"], "left_semi")
+        part = _bm25(F.col("tf"), F.col("df"), F.col("all"), F.col("dl"), F.col("avgdl"))
+        return docs.join(known, ["phrase", "library"]).groupBy("segment", "zone", "library", "id").agg(F.sum(part).alias("score"))
+
+    by_bound = F.row_number().over(W.partitionBy("library").orderBy(F.col("bound").desc(), "segment", "zone"))
+    first = zones.withColumn("_r", by_bound).where(F.col("_r") <= n)
+    floor = ranked(scored(first), n, [F.col("score").desc()], "_r").where(F.col("_r") == n).select("library", F.col("score").alias("floor"))
+    reach = zones.join(floor, "library", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-9))
+    return ranked(scored(reach), n, [F.col("score").desc()], "bm25_rank")
+
+
+def search_index(index: Index, query: str, vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None,
+                 mode: str = "hybrid", k: int = 8, collection: str | None = None, path: str | None = None, focus: DataFrame | None = None) -> DataFrame:
+    """`search` from a stored index: no text is read but that of the k hits."""
+    n, spots = max(3 * k, 20), ["segment", "zone", "library", "id"]
+    places = index.places()
+    keyed = indexed_leg(index, query, n, collection, path).join(places.select(*spots, "path", "collection"), spots).drop("score") if mode in ("hybrid", "bm25") else None
+    near = None
+    if mode in ("hybrid", "vector") and vectors is not None and query_vector is not None:
+        near = vector_leg(places, vectors, query_vector, n, collection, path).join(places.select(*spots, "path", "collection"), ["library", "id"])
+    if keyed is None and near is None:
+        return empty_result(index.spark)
+    # The k hits are the answer itself; their zones say which parts of the texts to read.
+    top = _fused(keyed, near, k, collection, focus, spots).collect()
+    if not top:
+        return empty_result(index.spark)
+    held = index.spark.createDataFrame(top, "segment int, zone long, library string, id long, _score double, bm25_rank int, vector_rank int, distance double")
+    at = places.where(F.col("zone").isin(sorted({h.zone for h in top})) & F.col("id").isin(sorted({h.id for h in top})))
+    hits = F.broadcast(held).join(at.drop("zone"), ["segment", "library", "id"]).join(index.texts_of(top), ["segment", "library", "id"])
+    return _shown(hits)
+
+
 def vector_leg(chunks: DataFrame, vectors: DataFrame, query_vector: Sequence[float], n: int,
                collection: str | None = None, path: str | None = None) -> DataFrame:
     """Nearest by distance. The cut to `n` comes first and the filters second, so fewer may remain."""
@@ -214,13 +294,20 @@ def search(chunks: DataFrame, query: str, vectors: DataFrame | None = None, quer
             .join(chunks.select("library", "id", "path", "collection"), ["library", "id"])
     if keyed is None and near is None:
         return empty_result(chunks.sparkSession)
+    top = _fused(keyed, near, k, collection, focus, ["library", "id"])
+    hits = top.join(chunks.select("library", "id", "path", "collection", "heading", "start_line", "end_line", "content"), ["library", "id"])
+    return _shown(hits)
+
+
+def _fused(keyed: DataFrame | None, near: DataFrame | None, k: int, collection: str | None, focus: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The best k of one or two legs: keys, _score, bm25_rank, vector_rank, distance."""
     if keyed is None:
         fused = near.withColumn("bm25_rank", F.lit(None).cast("int"))
     elif near is None:
         fused = keyed.withColumn("vector_rank", F.lit(None).cast("int")).withColumn("distance", F.lit(None).cast("double"))
     else:
-        known = near.select("library", "id", "vector_rank", "distance", F.col("path").alias("_p"), F.col("collection").alias("_c"))
-        fused = keyed.join(known, ["library", "id"], "full_outer").withColumn("path", F.coalesce("path", "_p")) \
+        known = near.select(*keys, "vector_rank", "distance", F.col("path").alias("_p"), F.col("collection").alias("_c"))
+        fused = keyed.join(known, keys, "full_outer").withColumn("path", F.coalesce("path", "_p")) \
             .withColumn("collection", F.coalesce("collection", "_c")).drop("_p", "_c")
     weight = F.lit(1.0) if collection else collection_weight(F.col("collection"))
     if focus is not None:
@@ -228,10 +315,11 @@ def search(chunks: DataFrame, query: str, vectors: DataFrame | None = None, quer
         fused = fused.join(paths, "path", "left")
         weight = weight * F.when((F.col("library") == "local") & F.col("_hit"), FOCUS_BOOST).otherwise(1.0)
     score = fusion_score(F.col("bm25_rank"), F.col("vector_rank")) * weight
-    top = fused.withColumn("_score", score).orderBy(F.col("_score").desc(), "library", "id").limit(k) \
-        .select("library", "id", "_score", "bm25_rank", "vector_rank", "distance")
-    hits = top.join(chunks.select("library", "id", "path", "collection", "heading", "start_line", "end_line", "content"),
-                    ["library", "id"])
+    return fused.withColumn("_score", score).orderBy(F.col("_score").desc(), "library", "id").limit(k) \
+        .select(*keys, "_score", "bm25_rank", "vector_rank", "distance")
+
+
+def _shown(hits: DataFrame) -> DataFrame:
     return hits.select("library", "id", "path", "collection", "heading", "start_line", "end_line",
                        F.round("_score", 5).alias("score"), "bm25_rank", "vector_rank",
                        F.round("distance", 4).alias("distance"), closeness(F.col("distance")).alias("closeness"),

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import identifiers as ids, text as tx, vectors as vx
 from ..operators import claims as cl, retrieval as rt, similarity as sm
+from ..sources import search_index as si
+from ..streaming.jobs import new_root
 from .registry import query
 from .tables import Tables
 
@@ -41,10 +43,17 @@ bm25 AS (SELECT library, id, any_value(collection) AS collection, any_value(path
   FROM hits JOIN stats USING (library) GROUP BY library, id)"""
 
 
-@query("C1 C2 C3 W1 F2 X7", f"""WITH {BM25},
+@query("S14 C1 C2 C3 W1 F2", f"""WITH {BM25},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY library ORDER BY score DESC, id) AS r FROM bm25)
 SELECT library, id, round(score, 6) AS score, CAST(r AS INT) AS bm25_rank FROM ranked WHERE r <= 24""")
 def keyword_search(t: Tables) -> DataFrame:
+    return rt.indexed_leg(t.search_index, QUESTION, 24).select("library", "id", F.round("score", 6).alias("score"), "bm25_rank")
+
+
+@query("C1 C2 C3 W1", f"""WITH {BM25},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY library ORDER BY score DESC, id) AS r FROM bm25)
+SELECT library, id, round(score, 6) AS score, CAST(r AS INT) AS bm25_rank FROM ranked WHERE r <= 24""")
+def keyword_search_by_scan(t: Tables) -> DataFrame:
     scores = rt.keyword_scores(t.chunks, QUESTION)
     return rt.ranked(scores, 24, [F.col("score").desc()], "bm25_rank").select("library", "id", F.round("score", 6).alias("score"), "bm25_rank")
 
@@ -71,15 +80,28 @@ SELECT b.library, b.id, b.path, b.collection, CAST(start_line AS INT) AS start_l
   substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 300) AS snippet FROM best b JOIN chunks c USING (library, id)"""
 
 
-@query("T1 C4 C5 C8 U1 X8", TOP.replace("%WHERE%", "").replace("%WEIGHT%", "0.6"))
+@query("S14 T1 C4 C5 C8 U1 X8", TOP.replace("%WHERE%", "").replace("%WEIGHT%", "0.6"))
 def search_without_vectors(t: Tables) -> DataFrame:
-    return rt.search(t.chunks, QUESTION, mode="hybrid", k=8).select(
+    return rt.search_index(t.search_index, QUESTION, mode="hybrid", k=8).select(
+        "library", "id", "path", "collection", "start_line", "end_line", "score", "bm25_rank", "snippet")
+
+
+@query("S14 ST1 T1", TOP.replace("%WHERE%", "").replace("%WEIGHT%", "0.6"))
+def search_after_changes(t: Tables) -> DataFrame:
+    """Deltas instead of a rebuild: documents come late, others are replaced, one segment after another."""
+    doc = F.floor(F.col("id") / 1_000_000)
+    old = t.chunks.where(doc % 3 != 0).withColumn("content", F.when(doc % 5 == 0, F.concat(F.lit("que stale "), "content")).otherwise(F.col("content")))
+    index = si.write_index(old, new_root(t.spark, "search"), buckets=8)
+    index = si.add_segment(index, t.chunks.where(doc % 3 == 0), t.chunks.limit(0))
+    changed = t.chunks.where((doc % 5 == 0) & (doc % 3 != 0))
+    index = si.add_segment(index, changed, changed)
+    return rt.search_index(index, QUESTION, mode="hybrid", k=8).select(
         "library", "id", "path", "collection", "start_line", "end_line", "score", "bm25_rank", "snippet")
 
 
 @query("F2 C5", TOP.replace("%WHERE%", "WHERE collection = 'threads' AND path LIKE 'fr/doc-%5%.md'").replace("%WEIGHT%", "1.0"))
 def search_in_collection(t: Tables) -> DataFrame:
-    return rt.search(t.chunks, QUESTION, mode="bm25", k=8, collection="threads", path="fr/doc-*5*.md").select(
+    return rt.search_index(t.search_index, QUESTION, mode="bm25", k=8, collection="threads", path="fr/doc-*5*.md").select(
         "library", "id", "path", "collection", "start_line", "end_line", "score", "bm25_rank", "snippet")
 
 
@@ -124,8 +146,8 @@ vleg AS (SELECT *, row_number() OVER (PARTITION BY library ORDER BY distance, id
 kleg AS (SELECT *, row_number() OVER (PARTITION BY library ORDER BY score DESC, id) AS kr FROM bm25)"""
 
 
-def _hybrid(t: Tables) -> tuple[DataFrame, DataFrame, list[float]]:
-    chunks = t.chunks
+def _hybrid(t: Tables, chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[float]]:
+    chunks = t.chunks if chunks is None else chunks
     vec = t.embeddings.select(F.col("vec_id"), "embedding")
     vectors = chunks.select("library", "id").join(vec, F.floor(F.col("id") / 1_000_000) == F.col("vec_id")).select("library", "id", "embedding")
     return chunks, vectors, _query_vector(t)
@@ -140,8 +162,8 @@ SELECT library, id, path, collection, round(s, 5) AS score, CAST(kr AS INT) AS b
   CASE WHEN distance <= 0.70 THEN 'strong' WHEN distance <= 0.88 THEN 'related' WHEN distance IS NOT NULL THEN 'weak' END AS closeness
 FROM scored ORDER BY s DESC, library, id LIMIT 12""")
 def hybrid_search(t: Tables) -> DataFrame:
-    chunks, vectors, vector = _hybrid(t)
-    return rt.search(chunks, QUESTION, vectors, vector, k=12).select(
+    _, vectors, vector = _hybrid(t, t.search_index.places())
+    return rt.search_index(t.search_index, QUESTION, vectors, vector, k=12).select(
         "library", "id", "path", "collection", "score", "bm25_rank", "vector_rank", "distance", "closeness")
 
 

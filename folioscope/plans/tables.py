@@ -8,6 +8,7 @@ so the work of a registered query grows with the data.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -183,6 +184,10 @@ def plain(column: str, mark: str) -> Column:
     return F.replace(F.coalesce(column, F.lit("")), F.lit(mark), F.lit(""))
 
 
+#: Stored search indexes of this process, by application and data folder.
+_INDEXES: dict = {}
+
+
 class Tables:
     """Base and derived tables of one data folder as DataFrames."""
 
@@ -269,6 +274,16 @@ class Tables:
         cut = sections(self.chunk_rows.withColumnRenamed("id", "doc"), "text")
         return cut.select("library", (F.col("doc") * 1_000_000 + F.col("start_line")).alias("id"), "path", "collection", "heading", "start_line", "end_line", "content")
 
+    @property
+    def search_index(self):
+        """The stored index of `chunks`, written once for a session and folder."""
+        from ..session import work_dir
+        from ..sources import search_index
+        key = (self.spark.sparkContext.applicationId, self.root)
+        if key not in _INDEXES:
+            _INDEXES[key] = search_index.write_index(self.chunks, f"{work_dir(self.spark)}/search-{uuid.uuid4().hex}", buckets=16)
+        return _INDEXES[key]
+
     @property
     def nodes(self) -> DataFrame:
         blank = F.lit("")

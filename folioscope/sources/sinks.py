@@ -28,46 +28,6 @@ def published(spark: SparkSession, root: str, names: list[str]) -> dict[str, Dat
     return {n: spark.read.parquet(f"{root}/versions/{version}/{n}") for n in names}
 
 
-def write_index(chunks: DataFrame, postings: DataFrame, vectors: DataFrame | None, stats: DataFrame, root: str, buckets: int = 64) -> str:
-    """Retrieval tables: chunks by collection, postings by a hash range of the term and sorted by it.
-
-    A search prunes postings to its terms' buckets, then to row groups. A term
-    that most chunks hold spreads over files by chunk id.
-    """
-    spread = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")) \
-        .repartitionByRange("bucket", "term", "library", "id").sortWithinPartitions("bucket", "term", "library", "id")
-    version = uuid.uuid4().hex
-    base = f"{root}/versions/{version}"
-    chunks.write.partitionBy("collection").parquet(f"{base}/chunks")
-    spread.write.partitionBy("bucket").parquet(f"{base}/postings")
-    stats.write.parquet(f"{base}/stats")
-    if vectors is not None:
-        vectors.write.parquet(f"{base}/vectors")
-    spark = chunks.sparkSession
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"), F.lit(buckets).alias("buckets")) \
-        .coalesce(1).write.mode("append").parquet(f"{root}/manifest")
-    return version
-
-
-def read_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The newest retrieval tables; `vectors` only when they were written."""
-    entry = spark.read.parquet(f"{root}/manifest").orderBy(F.col("at").desc()).first()
-    base = f"{root}/versions/{entry['version']}"
-    out = {n: spark.read.parquet(f"{base}/{n}") for n in ("chunks", "postings", "stats")}
-    try:
-        out["vectors"] = spark.read.parquet(f"{base}/vectors")
-    except Exception:  # noqa: BLE001 - an index without vectors is complete
-        pass
-    return out
-
-
-def term_postings(index: dict[str, DataFrame], terms: list[str], buckets: int = 64) -> DataFrame:
-    """Postings of the given terms, with the partition filter the layout allows."""
-    spark = index["postings"].sparkSession
-    wanted = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int")).distinct().collect()]
-    return index["postings"].filter(F.col("bucket").isin(*wanted) & F.col("term").isin(*terms))
-
-
 def append_log(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append events; the commit protocol replaces a file lock."""
     rows.write.mode("append").format(fmt).save(path)

@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import tables
 from folioscope.operators import graph as gr, retrieval as rt
-from folioscope.sources import notes as sn, readers as rd, sinks as sk
+from folioscope.sources import notes as sn, readers as rd, search_index as si, sinks as sk
 
 CONCEPT = "---\ntitle: Toric Code\ntags: [topology, codes]\naliases: [TC]\nskeleton: true\n---\n# Toric Code\nsee [[Anyons]] and [[toric_code]] and [[Missing Page]]\n"
 NOTE = ("---\nkind: proposition\nstatus: testing\nline: [qec]\ncreated: 2026-01-01\n---\nbody [[TC]]\n\n## Discussion\n\n### 2026-01-02T00:00:00Z · codex/qec · via cli\nstatus: open -> testing\nset: bet = supported\nwords\n"
@@ -85,17 +86,63 @@ def test_empty_result_keeps_the_last(spark, tmp_path):
     assert spark.read.json(path).count() == 2
 
 
+INDEXED = "id bigint, library string, collection string, path string, heading string, start_line int, end_line int, content string"
+
+
+def scanned(chunks, q, n, **scope):
+    leg = rt.keyword_scores(chunks, q)
+    return sorted((r.library, r.bm25_rank, r.id, round(r.score, 9)) for r in rt.ranked(rt.scope_filter(leg, **scope), n, [F.col("score").desc()], "bm25_rank").collect())
+
+
+def from_index(index, q, n, **scope):
+    return sorted((r.library, r.bm25_rank, r.id, round(r.score, 9)) for r in rt.indexed_leg(index, q, n, **scope).collect())
+
+
 def test_stored_index_answers_like_the_scan(spark, tmp_path):
     docs = [(i, "lib", "c", f"p{i}", "", 1, 1, t) for i, t in enumerate(["the red ring", "a red red bolt", "blue bolt red ring", "的红 注意力", "nothing"])]
-    chunks = spark.createDataFrame(docs, "id bigint, library string, collection string, path string, heading string, start_line int, end_line int, content string")
-    sk.write_index(chunks, rt.postings(chunks), None, rt.library_stats(chunks), str(tmp_path / "ix"), buckets=4)
-    index = rd and sk.read_index(spark, str(tmp_path / "ix"))
-    for q in ('red ring', '"red-ring" bolt', "注意力"):
-        a = {(r["id"], round(r["score"], 9)) for r in rt.keyword_scores(chunks, q).collect()}
-        b = {(r["id"], round(r["score"], 9)) for r in rt.postings_scores(index["postings"], index["stats"], q).collect()}
-        assert a == b and a
-    assert sk.term_postings(index, ["red"], 4).count() == 3
-    assert rt.search(chunks, "").count() == 0
+    chunks = spark.createDataFrame(docs, INDEXED)
+    index, stats = rt.postings(chunks), rt.library_stats(chunks)
+    si.write_index(chunks, str(tmp_path / "ix"), buckets=4)
+    stored = si.read_index(spark, str(tmp_path / "ix"))
+    for q in ('"red-ring" bolt red red', "注意力 none"):
+        a = scanned(chunks, q, 9)
+        b = {(r["id"], round(r["score"], 9)) for r in rt.postings_scores(index, stats, q).collect()}
+        assert {(i, s) for _, _, i, s in a} == b and a == from_index(stored, q, 9) and a
+    assert stored.postings(["red"]).select(F.sum("n")).first()[0] == 3
+    assert rt.search(chunks, "").count() == 0 == rt.search_index(stored, "").count() == rt.search_index(stored, "absent").count()
+
+
+def test_index_prunes_zones_and_stays_exact_after_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(si, "ZONE", 4)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)] + ["red", "ring"]
+    text = lambda: " ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(60)] + [0.05, 0.05], k=rng.randint(3, 80)))
+    rows = [(i, f"lib{i % 3}", ["raw", "threads"][i % 2], f"p{i // 2}.md", "", 1, 1, text()) for i in range(240)]
+    chunks = spark.createDataFrame(rows, INDEXED).repartition(3)
+    index = si.write_index(chunks, str(tmp_path / "ix"), buckets=3)
+    queries = ("red w50", "w0 w1 red-ring", "w3", "w0-w0 w59")
+    for q in queries:
+        assert from_index(index, q, 5) == scanned(chunks, q, 5)
+    assert from_index(index, queries[0], 3, collection="threads", path="p*1.md") == scanned(chunks, queries[0], 3, collection="threads", path="p*1.md")
+    whole = rt.search(chunks, "red w50 w3", k=7).collect()
+    assert rt.search_index(index, "red w50 w3", k=7).collect() == whole and len(whole) == 7
+    plan = rt.search_index(index, "red w50 w3", k=7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("content#") > 0 and all("In(zone" in scan for scan in plan.split("FileScan") if "content:string" in scan)
+
+    now = {r[0]: r for r in rows}
+    for step in range(2):
+        paths = {f"p{rng.randrange(130)}.md" for _ in range(12)}
+        now = {i: r for i, r in now.items() if r[3] not in paths}
+        new = [(1000 * (step + 1) + i, f"lib{i % 3}", "raw", p, "", 1, 1, text()) for i, p in enumerate(sorted(paths)) if i % 4]
+        new += [(r[0], *r[1:7], text()) for r in rows if r[3] in paths and r[0] % 5 == 0]  # an id comes back with another text
+        now |= {r[0]: r for r in new}
+        gone = spark.createDataFrame([(lib, p) for lib in ("lib0", "lib1", "lib2") for p in paths], "library string, path string")
+        index = si.add_segment(index, spark.createDataFrame(new, INDEXED), gone)
+        live = spark.createDataFrame(list(now.values()), INDEXED)
+        assert from_index(index, queries[1], 5) == scanned(live, queries[1], 5)
+    assert len(si.read_index(spark, str(tmp_path / "ix")).segments) == 3
+    merged = si.merge(index)
+    assert len(merged.segments) == 1 and from_index(merged, queries[1], 6) == scanned(live, queries[1], 6)
 
 
 def test_session_sweep_names_what_failed(spark, tmp_path):
