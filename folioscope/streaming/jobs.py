@@ -1,9 +1,9 @@
 """Streaming forms of the log folds.
 
-Two shapes cover them all. A fold with an associative update is a streaming
+Three shapes cover them all. A fold with an associative update is a streaming
 aggregate in update mode, whose changed rows are written per batch. A job that
-must look at everything kept so far runs in `foreachBatch` against a log table.
-Both write one folder per batch, replaced when a batch is replayed, so a job
+asks what it knows of a key has state by key (`keyed.py`). A job that must look
+at everything kept so far runs in `foreachBatch` against a log table. All write one folder per batch, replaced when a batch is replayed, so a job
 that dies and restarts leaves the same rows. Order within a key is the source's
 `seq`, never the order of arrival.
 """
@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_hash
@@ -21,6 +22,7 @@ from ..operators import intake as it, state as st
 from ..operators.corpus import sections
 from ..operators.similarity import embedding_cache
 from ..session import work_dir
+from . import keyed
 
 
 class BatchLog:
@@ -98,14 +100,9 @@ def weekly_spend(stream: DataFrame, root: str, lateness: str = "14 days", **trig
 # ------------------------------------------------------------------ jobs against a kept table
 
 def first_seen(stream: DataFrame, root: str, **trigger) -> BatchLog:
-    """Ids never met before, kept forever: an anti join with the table of earlier batches."""
+    """Ids never met before, kept forever in state by key. One whose smaller seq comes late is written again: readers take the least."""
     log = BatchLog(f"{root}/seen", "id string, seq bigint")
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.groupBy("id").agg(F.min("seq").alias("seq"))
-        log.write(fresh.join(log.read(batch.sparkSession, batch_id).select("id"), "id", "left_anti"), batch_id)
-
-    run(stream, root, each, **trigger)
+    run(keyed.first_seen(stream), root, log.write, **trigger)
     return log
 
 
@@ -169,27 +166,20 @@ def incremental_index(stream: DataFrame, root: str, **trigger) -> tuple[BatchLog
     """Files by hash and the sections of new or changed ones.
 
     `stream`: library, path, seq, text, where a null text deletes the file.
-    Unchanged files write nothing. `current_chunks` reads the result.
+    Unchanged files write nothing: their hash is state by key. `current_chunks`
+    reads the result.
     """
     files = BatchLog(f"{root}/files", "library string, path string, hash string, change string")
     chunks = BatchLog(f"{root}/chunks", "library string, path string, heading string, start_line int, end_line int, content string")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy("library", "path").agg(F.max_by(F.struct("text"), "seq")["text"].alias("text"))
-        held = files.read(spark, batch_id)
-        known = held.groupBy("library", "path").agg(F.max_by("hash", "batch").alias("_old"))
-        compared = newest.withColumn("hash", content_hash(F.col("text"))).join(known, ["library", "path"], "left")
-        change = (F.when(F.col("hash").isNull(), F.when(F.col("_old").isNotNull(), "deleted")).when(F.col("_old").isNull(), "new")
-                  .when(F.col("_old") != F.col("hash"), "changed"))
-        moved = compared.withColumn("change", change).filter(F.col("change").isNotNull())
+        moved = batch.persist(StorageLevel.DISK_ONLY)
         files.write(moved.select("library", "path", "hash", "change"), batch_id)
-        # Later steps read the stored decision, not a recomputation of it.
-        todo = files.read(spark).filter((F.col("batch") == batch_id) & F.col("hash").isNotNull()).select("library", "path")
-        fresh = newest.join(todo, ["library", "path"], "left_semi")
+        fresh = moved.where("hash is not null")
         chunks.write(sections(fresh).select("library", "path", "heading", "start_line", "end_line", "content"), batch_id)
+        moved.unpersist()
 
-    run(stream, root, each, **trigger)
+    run(keyed.changed(stream, ["library", "path"], content_hash(F.col("text")), "text"), root, each, **trigger)
     return files, chunks
 
 

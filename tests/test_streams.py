@@ -79,3 +79,16 @@ def test_incremental_index_and_cache(spark, tmp_path):
     assert [(r["path"], r["change"]) for r in files.read(spark).orderBy("batch", "path").collect()] == [("a", "new"), ("b", "new"), ("b", "changed"), ("a", "deleted"), ("c", "new")]
     assert sorted((r["path"], r["content"]) for r in jobs.current_chunks(spark, files, chunks).collect()) == [("b", "b2"), ("c", "c")]
     assert [(r["name"], r["cached"]) for r in cache.read(spark).orderBy("batch", "name").collect()] == [("a", False), ("b", False), ("a", True), ("b", False), ("c", False)]
+
+
+def test_state_by_key_takes_rows_in_any_order(spark, tmp_path):
+    """A late older row changes nothing, a late smaller seq is written again, hot keys are reduced first."""
+    steps = [[(5, "l", "a", "new"), (6, "l", "b", "b")] + [(7, "l", "hot", "h")] * 200, [(2, "l", "a", "old"), (9, "l", "b", None)], [(8, "l", "b", "late"), (10, "l", "a", "new"), (11, "l", "hot", "h2")]]
+    folder, schema = str(tmp_path / "in"), "seq bigint, library string, path string, text string"
+    for rows in steps:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        files, _ = jobs.incremental_index(stream, str(tmp_path / "job"))
+        seen = jobs.first_seen(stream.select(F.col("path").alias("id"), "seq"), str(tmp_path / "seen"))
+    assert [(r["path"], r["change"]) for r in files.read(spark).orderBy("batch", "path").collect()] == [("a", "new"), ("b", "new"), ("hot", "new"), ("b", "deleted"), ("hot", "changed")]
+    assert sorted((r["batch"], r["id"], r["seq"]) for r in seen.read(spark).collect()) == [(0, "a", 5), (0, "b", 6), (0, "hot", 7), (1, "a", 2)]
