@@ -33,6 +33,44 @@ def call_log_scan(t: Tables) -> DataFrame:
     return readers.call_log(t.spark, path).select("kind", "tier", "ok", F.unix_micros("at").alias("at_us"))
 
 
+@query("S4 S5 S6 A23", "SELECT report, id, arg_max(decision, seq) AS decision FROM triage_rows GROUP BY report, id HAVING arg_max(decision, seq) <> 'reset'")
+def log_over_files(t: Tables) -> DataFrame:
+    """The last decision counts: files of very different size, whose order is that of their names."""
+    path = new_root(t.spark, "triage")
+    rows = t.triage_rows.withColumn("file", F.lpad(F.floor(F.log2(F.col("seq") + 2)).cast("string"), 2, "0"))
+    lines = rows.repartitionByRange("file", "seq").sortWithinPartitions("file", "seq").select("file", F.to_json(F.struct("report", "id", "decision")).alias("value"))
+    lines.write.partitionBy("file").text(path)
+    return rd.triage_state(readers.json_log(t.spark, path, "report string, id string, decision string"))
+
+
+@query("S7 S8", """WITH c AS (SELECT *, conv_id * 100000 + turn AS seq, conv_id % 3 AS k, make_timestamp(1704067200000000 + (conv_id % 5) * 86400000000 + turn * 1000000) AS said_at FROM conversations WHERE trim(text) <> ''),
+s AS (SELECT CASE k WHEN 0 THEN 'one' WHEN 1 THEN 'two' ELSE 'three' END AS host,
+  CASE WHEN k < 2 THEN 'c-' || CAST(conv_id AS STRING) WHEN conv_id % 2 = 0 THEN 'p-' || CAST(conv_id AS STRING) ELSE '/p/' || CAST(conv_id % 7 AS STRING) || '@' || strftime(said_at, '%Y-%m-%d') END AS session_id, seq, said_at, text
+  FROM c WHERE k < 2 OR role = 'user')
+SELECT host, session_id, epoch_us(min(said_at)) AS started_us, epoch_us(max(said_at)) AS ended_us, count(*) AS turns, arg_max(md5(text), seq) AS last_said, 'gone' AS failed FROM s GROUP BY host, session_id""")
+def recorded_sessions(t: Tables) -> DataFrame:
+    """Recordings of three formats and a host without any, as sessions; what was said last goes by file order."""
+    at = F.date_format(F.timestamp_micros(F.lit(1704067200000000) + (F.col("conv_id") % 5) * 86400000000 + F.col("turn") * 1000000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    c = t.conversations.withColumn("at", at)
+    said = lambda k: c.where(F.col("conv_id") % 3 == k)
+    name = lambda prefix: F.concat(F.lit(prefix), F.col("conv_id").cast("string"))
+    one, two, three, none = (new_root(t.spark, x) for x in ("flat", "nested", "prompts", "none"))
+    ordered = lambda df: df.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    ordered(said(0)).select(name("c-").alias("sessionId"), F.lit("/w").alias("cwd"), F.col("at").alias("timestamp"), "role", "text").write.json(one)
+    messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "at", "text"))), lambda m: F.struct(m.role.alias("type"), m["at"].alias("timestamp"), m.text.alias("content")))
+    said(1).groupBy("conv_id").agg(messages.alias("messages")).select(name("c-").alias("sessionId"), F.lit("/w").alias("cwd"), "messages").write.json(two)
+    prompts = ordered(said(2).where("role = 'user'"))
+    prompts.select(F.lit("three").alias("host"), F.when(F.col("conv_id") % 2 == 0, name("p-")).alias("conversation"), F.concat(F.lit("/p/"), (F.col("conv_id") % 7).cast("string")).alias("workspace"), "at", "text").write.json(three)
+    flat = "sessionId string, cwd string, timestamp string, role string, text string"
+    nested = "sessionId string, cwd string, messages array<struct<type:string,timestamp:string,content:string>>"
+    turns, failed = readers.sweep({
+        "one": lambda: readers.flat_turns(t.spark.read.schema(flat).json(one), "one"), "two": lambda: readers.nested_turns(t.spark.read.schema(nested).json(two), "two"),
+        "three": lambda: rf.prompt_turns(readers.prompt_log(t.spark, three)), "gone": lambda: readers.flat_turns(t.spark.read.schema(flat).json(none), "gone")})
+    last = turns.where("length(trim(text)) > 0").groupBy("host", "session_id").agg(F.max_by(F.md5("text"), "seq").alias("last_said"))
+    found = rf.sessions(turns).join(last, ["host", "session_id"])
+    return found.select("host", "session_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "turns", "last_said", F.lit(",".join(failed)).alias("failed"))
+
+
 @query("S17", f"WITH {GAPS} SELECT * FROM gaps")
 def kept_citation_gaps(t: Tables) -> DataFrame:
     path = new_root(t.spark, "gaps") + "/findings"

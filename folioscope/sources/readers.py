@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import markup as md, text as tx
 from ..functions.dates import parse_at
@@ -15,6 +16,7 @@ QUEUE = ("seq bigint, kind string, req_id string, at string, source struct<type:
          "retry_of string, title string")
 CALLS = "at string, kind string, host string, model string, effort string, tier string, slug string, ok boolean, seconds double, note string"
 TRIAGE = "seq bigint, report string, id string, decision string, at string"
+PROMPTS = "host string, conversation string, workspace string, at string, text string"
 SEEN = "id string, first_seen string, source string"
 PAPERS = ("title string, externalIds struct<ArXiv:string,DOI:string>, abstract string, year int, url string, paperId string, "
           "authors array<struct<name:string>>, query string, pos int")
@@ -31,26 +33,30 @@ CARD_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField
 
 def corpus(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """Markdown files below `root`: path (relative), text, mtime, hash, collection."""
-    base = root.rstrip("/")
-    raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(base)
-    full = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace(full, r"\+", "%2B")), "^.*?" + _quoted(base) + "/", "")
+    raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root.rstrip("/"))
+    rel = relative_to(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), root)
     files = raw.select(rel.alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
     kept = (md.basename(F.col("path")) != "_index.md") & ~F.array_contains(F.split("path", "/"), ".backup")
     return files.filter(kept).withColumn("hash", tx.content_hash(F.col("text"))).withColumn("collection", collection_of(F.col("path")))
 
 
-def _quoted(text: str) -> str:
-    import re
-    return re.escape(text)
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?/*"
+
+
+def relative_to(path: Column, root: str) -> Column:
+    """A file's path below `root`; neither scheme nor host nor port counts, on either side.
+
+    A file system may report `hdfs://name:8020/library/a.md` for a root given as
+    `hdfs:///library`, and an absolute path for a relative root.
+    """
+    base = re.sub(SCHEME, "/", root).rstrip("/")
+    return F.regexp_replace(F.regexp_replace(path, SCHEME, "/"), "^.*?" + re.escape(base) + "/", "")
 
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
     """Every file below `root` without its content: path, length, mtime."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    full = F.regexp_replace("path", r"^file:/*", "/")
-    return raw.select(F.regexp_replace(full, "^.*?" + _quoted(base) + "/", "").alias("path"), "length", F.col("modificationTime").alias("mtime"))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.rstrip("/"))
+    return raw.select(relative_to(F.col("path"), root).alias("path"), "length", F.col("modificationTime").alias("mtime"))
 
 
 def payload_heads(spark: SparkSession, root: str) -> DataFrame:
@@ -99,11 +105,37 @@ def cards(files: DataFrame) -> DataFrame:
     return split.mapInPandas(run, CARD_SCHEMA).withColumn("collection", collection_of(F.col("path")))
 
 
+#: Up to so many splits, their offsets go to every task (some 20 MB of paths).
+BROADCAST_SPLITS = 100_000
+
+
+def in_file_order(read: DataFrame, name: str = "seq") -> DataFrame:
+    """Rows of a file scan with their place: files by path, rows by their place in the file.
+
+    Spark packs the splits of files into tasks by size, so task numbers say
+    nothing of the order. Rows of one split stay together and in order, which
+    gives their place in it; the rows of the splits before are added, one number
+    for each split. `read` is what a file reader returned.
+    """
+    meta = read.metadataColumn("_metadata")
+    rows = read.select("*", F.struct(meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at")).alias("_place"))
+    splits = rows.groupBy("_place.file", "_place.start").agg(F.count("*").alias("n"), F.min("_place.at").alias("first"))
+    files = splits.groupBy("file").agg(F.sum("n").alias("all"))
+    earlier = (W.unboundedPreceding, -1)
+    files = files.select(F.col("file").alias("_file"), F.coalesce(F.sum("all").over(W.orderBy("file").rowsBetween(*earlier)), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(*earlier)), F.lit(0))
+    offsets = splits.withColumn("inside", inside).join(files, F.col("file") == F.col("_file")).select(
+        F.col("file").alias("_file"), F.col("start").alias("_start"), (F.col("before") + F.col("inside") - F.col("first")).alias("_offset"))
+    if splits.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    placed = rows.join(offsets, (F.col("_place.file") == F.col("_file")) & (F.col("_place.start") == F.col("_start")))
+    return placed.select(*[F.col(f"`{c}`") for c in read.columns if c != name], (F.col("_place.at") + F.col("_offset")).alias(name))
+
+
 def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON-lines log. Blank or torn lines are skipped; `seq` is file order."""
-    raw = spark.read.text(path)
-    rows = raw.select(F.monotonically_increasing_id().alias("_order"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"),
-                      F.try_parse_json("value").isNotNull().alias("_ok")).filter("_ok")
+    """A JSON-lines log of one or more files. Blank or torn lines are skipped; `seq` is the line's own or its place over all files."""
+    raw = in_file_order(spark.read.option("recursiveFileLookup", True).text(path), "_order")
+    rows = raw.select("_order", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").isNotNull().alias("_ok")).filter("_ok")
     fields = [f.name for f in rows.schema["r"].dataType.fields if f.name != "seq"]
     has_seq = "seq" in rows.schema["r"].dataType.fieldNames()
     seq = F.coalesce(F.col("r.seq"), F.col("_order")) if has_seq else F.col("_order")
@@ -120,6 +152,11 @@ def queue_log(spark: SparkSession, path: str) -> DataFrame:
                        F.col("source.library").alias("library"), "route", "retry_of", "title")
 
 
+def prompt_log(spark: SparkSession, path: str) -> DataFrame:
+    """Typed prompts of a host, one per line, in file order."""
+    return json_log(spark, path, PROMPTS).withColumn("at", parse_at(F.col("at")))
+
+
 def paper_feed(spark: SparkSession, path: str) -> DataFrame:
     """Landed feed responses, one record per line."""
     return spark.read.schema(PAPERS).option("mode", "DROPMALFORMED").json(path)
@@ -148,8 +185,8 @@ TURN = ("host", "session_id", "cwd", "seq", "role", "at", "text")
 
 
 def flat_turns(raw: DataFrame, host: str) -> DataFrame:
-    """Recordings with one message per line: sessionId, cwd, timestamp, role, text."""
-    return raw.select(F.lit(host).alias("host"), F.col("sessionId").alias("session_id"), "cwd", F.monotonically_increasing_id().alias("seq"),
+    """Recordings with one message per line: sessionId, cwd, timestamp, role, text; in file order."""
+    return in_file_order(raw).select(F.lit(host).alias("host"), F.col("sessionId").alias("session_id"), "cwd", "seq",
                       F.coalesce("role", F.lit("user")).alias("role"), parse_at(F.col("timestamp")).alias("at"), "text")
 
 

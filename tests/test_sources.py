@@ -168,3 +168,30 @@ def test_table_functions(spark):
     spark.createDataFrame([("## P\n- id: `p`\nCLAIM: c\nSOURCE: s",)], "text string").createOrReplaceTempView("tf_reports")
     assert [tuple(r) for r in spark.sql("SELECT c.claim, c.source FROM tf_reports, LATERAL claim_rows(text) c").collect()] == [("c", "s")]
     assert [tuple(r) for r in spark.sql("SELECT r.title, r.id FROM tf_reports, LATERAL report_rows(text) r").collect()] == [("P", "p")]
+
+
+def test_places_follow_the_files_whatever_their_size(spark, tmp_path):
+    sizes = [3, 4000, 1, 700, 0, 90]
+    want = []
+    for n, size in enumerate(sizes):
+        rows = [json.dumps({"id": f"{n}-{i}", "pad": "x" * (i % 50)}) for i in range(size)]
+        (tmp_path / f"log-{n}.jsonl").write_text("".join(r + "\n" for r in rows), encoding="utf-8")
+        want += [f"{n}-{i}" for i in range(size)]
+    (tmp_path / "log-6.jsonl").write_text('{"id": "torn\n\n{"id": "end"}\n', encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = rd.json_log(spark, str(tmp_path), "id string").orderBy("seq").collect()
+        assert [r["id"] for r in got] == [*want, "end"] and got[-1]["seq"] == len(want) + 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("root, path, want", [
+    ("hdfs:///library", "hdfs://name:8020/library/wiki/a.md", "wiki/a.md"), ("hdfs://other/library/", "hdfs://name/library/raw/b c.md", "raw/b c.md"), ("s3a://bucket/lib.x", "s3a://bucket/lib.x/lib.x/a.md", "lib.x/a.md"),
+    ("/data/library", "file:/data/library/wiki/a.md", "wiki/a.md"), ("file:///data/library", "file:///data/library/a.md", "a.md"), ("library", "file:/home/u/library/raw/a.md", "raw/a.md")])
+def test_paths_are_relative_to_roots_of_any_store(spark, root, path, want):
+    assert spark.range(1).select(rd.relative_to(F.lit(path), root)).first()[0] == want
+
+
+def test_corpus_by_uri(spark, root):
+    assert sorted(r[0] for r in rd.corpus(spark, f"file://{root}").select("path").collect()) == sorted(r[0] for r in rd.corpus(spark, root).select("path").collect())
