@@ -8,7 +8,7 @@ from ..functions import markup as md, text as tx
 from ..operators import corpus as co, graph as gr
 from .registry import query
 from .search_queries import PIECES
-from .tables import Tables, plain
+from .tables import Tables
 
 COLLECTION = "CASE WHEN path LIKE 'raw/%' THEN 'raw' WHEN path LIKE 'drafts/%' THEN 'drafts' ELSE string_split(path, '/')[2] END"
 
@@ -23,9 +23,12 @@ def section_pieces(t: Tables) -> DataFrame:
     return t.chunks.select("library", "id", "start_line", "end_line", F.md5("content").alias("hash"))
 
 
-@query("F3 W12", "SELECT doc_id, 'Part ' || CAST(doc_id AS STRING) AS heading, CAST(3 AS INT) AS start_line FROM card_rows WHERE path NOT LIKE 'raw/%' UNION ALL SELECT doc_id, unnest(['Part ' || CAST(doc_id AS STRING), 'See also']), unnest([3, 1]) FROM card_rows WHERE path LIKE 'raw/%'")
+@query("F3 W12", """WITH l AS (SELECT doc_id, path, list_prepend('## Part ' || CAST(doc_id AS STRING), string_split(body, chr(10))) AS l FROM card_rows WHERE body IS NOT NULL),
+p AS (SELECT doc_id, l, unnest(range(1, len(l) + 1, 250)) AS p FROM l)
+SELECT doc_id, regexp_extract(l[p], '^#{1,3} (.+)$', 1) AS heading, CAST(p + 2 AS INT) AS start_line FROM p WHERE regexp_replace(array_to_string(l[p : p + 249], chr(10)), '^\\s+|\\s+$', '', 'g') <> ''
+UNION ALL SELECT doc_id, 'See also', 1 FROM card_rows WHERE path LIKE 'raw/%' AND body IS NOT NULL""")
 def sections_without_boilerplate(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("## See also\nother pages\n## Part "), F.col("doc_id").cast("string"), F.lit("\nbody"))
+    text = F.concat(F.lit("## See also\nother pages\n## Part "), F.col("doc_id").cast("string"), F.lit("\n"), "body")
     return co.drop_boilerplate(co.sections(t.cards.select("doc_id", "collection", text.alias("text")))).select("doc_id", "heading", "start_line")
 
 
@@ -64,9 +67,10 @@ def page_links(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.explode(md.html_links(F.col("html"))).alias("link"))
 
 
-@query("C12", "SELECT doc_id, unnest(['a b ' || source || '.md', 'https://e.org/' || lang]) AS link, unnest(CAST([0, 1] AS INT[])) AS pos FROM documents")
+@query("C12", f"""WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, '') || ' [one](<a b ' || source || '.md>) and [two](https://e.org/' || lang || ')', '{md.MD_LINK}', 1) AS l FROM documents)
+SELECT doc_id, regexp_replace(x, '^<([^>]+)>$', '\\1') AS link, CAST(i - 1 AS INT) AS pos FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM l)""")
 def markdown_links(t: Tables) -> DataFrame:
-    text = F.concat(plain("text", "]("), F.lit(" [one](<a b "), "source", F.lit(".md>) and [two](https://e.org/"), "lang", F.lit(")"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" [one](<a b "), "source", F.lit(".md>) and [two](https://e.org/"), "lang", F.lit(")"))
     return co.markdown_links(t.documents.select("doc_id", text.alias("text"))).select("doc_id", "pos", "link")
 
 
@@ -111,9 +115,10 @@ def structure_map(t: Tables) -> DataFrame:
     return co.structure_map(t.cards.select("path", F.col("body").alias("text"))).select("path", "lines", "sections", "block_math")
 
 
-@query("A6", f"SELECT {COLLECTION} AS collection, count(*) AS files, CAST(count(*) AS INT) * 1 AS wikilinks_rows, count(*) FILTER (sources_csv = '') AS without_sources, 1.0::DOUBLE AS avg_links FROM card_rows GROUP BY 1".replace("CAST(count(*) AS INT) * 1 AS wikilinks_rows", "count(*) AS wikilinks"))
+@query("A6", f"""WITH w AS (SELECT *, len(regexp_extract_all(coalesce(body, '') || '[[' || path || ']]', '{md.WIKILINK}')) AS n FROM card_rows)
+SELECT {COLLECTION} AS collection, count(*) AS files, CAST(sum(n) AS BIGINT) AS wikilinks, count(*) FILTER (sources_csv = '') AS without_sources, round(sum(n) / count(*), 1)::DOUBLE AS avg_links FROM w GROUP BY 1""")
 def collection_summary(t: Tables) -> DataFrame:
-    cards = t.cards.withColumn("body", F.concat(plain("body", "[["), F.lit("[["), "path", F.lit("]]")))
+    cards = t.cards.withColumn("body", F.concat(F.coalesce("body", F.lit("")), F.lit("[["), "path", F.lit("]]")))
     return co.collection_summary(cards).select("collection", "files", "wikilinks", "without_sources", "avg_links")
 
 
@@ -123,10 +128,11 @@ def link_density(t: Tables) -> DataFrame:
     return co.link_density(t.documents.select("doc_id", F.concat(clean, F.lit(" [[a b]] $x y z$ $$q r$$ end")).alias("text"))).select("doc_id", "links", "words")
 
 
-@query("J30", """WITH names AS (SELECT DISTINCT regexp_extract(path, '([^/]*)\\.md$', 1) AS name FROM card_rows WHERE path LIKE 'wiki/concepts/%' OR path LIKE 'wiki/references/%')
-SELECT doc_id, 'C ' || CAST(doc_id AS STRING) AS link, 'c-' || CAST(doc_id AS STRING) IN (SELECT name FROM names) AS valid FROM documents""")
+@query("J30", """WITH names AS (SELECT DISTINCT regexp_extract(path, '([^/]*)\\.md$', 1) AS name FROM card_rows WHERE path LIKE 'wiki/concepts/%' OR path LIKE 'wiki/references/%'),
+l AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, '') || ' see [[C ' || CAST(doc_id AS STRING) || ']]', '%WIKILINK%', 1))) AS link FROM documents)
+SELECT doc_id, link, trim(regexp_replace(lower(link), '[^a-z0-9]+', '-', 'g'), '-') IN (SELECT name FROM names) OR replace(link, ' ', '_') IN (SELECT name FROM names) OR link IN (SELECT name FROM names) AS valid FROM l""".replace("%WIKILINK%", md.WIKILINK))
 def reference_check(t: Tables) -> DataFrame:
-    docs = t.documents.select(F.col("doc_id").alias("path"), F.concat(plain("text", "[["), F.lit(" see [[C "), F.col("doc_id").cast("string"), F.lit("]]")).alias("text"))
+    docs = t.documents.select(F.col("doc_id").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit(" see [[C "), F.col("doc_id").cast("string"), F.lit("]]")).alias("text"))
     return gr.card_reference_check(docs, t.cards).select(F.col("path").alias("doc_id"), "link", "valid")
 
 
@@ -134,7 +140,7 @@ def reference_check(t: Tables) -> DataFrame:
 a AS (SELECT 'alias_' || CAST(doc_id % 97 AS STRING) AS key, max('c-' || CAST(doc_id AS STRING) || '.md') AS name FROM card_rows WHERE path LIKE 'wiki/concepts/%' AND aliases_csv <> '' GROUP BY 1)
 SELECT path, link, CASE WHEN name IS NULL THEN 'missing' ELSE 'alias' END AS problem, name AS suggestion FROM l LEFT JOIN a ON key || '.md' = link""")
 def link_repairs(t: Tables) -> DataFrame:
-    docs = t.card_rows.select("path", F.concat(plain("body", "["), F.lit(" [x](alias_"), (F.col("doc_id") % 97).cast("string"), F.lit(".md) [ok](../"), F.substring_index("path", "/", -2), F.lit(")")).alias("text"))
+    docs = t.card_rows.select("path", F.concat(F.coalesce("body", F.lit("")), F.lit(" [x](alias_"), (F.col("doc_id") % 97).cast("string"), F.lit(".md) [ok](../"), F.substring_index("path", "/", -2), F.lit(")")).alias("text"))
     ok_only = docs.filter(F.col("path").startswith("wiki/")).unionByName(docs.filter(F.col("path").startswith("drafts/")).withColumn("text", F.regexp_replace("text", r" \[ok\].*$", "")))
     return gr.repair_links(ok_only, t.cards, t.card_rows.select("path"))
 
@@ -144,7 +150,7 @@ def link_repairs(t: Tables) -> DataFrame:
 def link_retargets(t: Tables) -> DataFrame:
     up = F.when(F.col("path").startswith("drafts/"), "../").when(F.col("path").startswith("wiki/"), "../../").otherwise("../../raw/")
     target = F.when(F.col("path").startswith("raw/"), F.lit("../papers/p-3.md#top")).otherwise(F.concat(up, F.lit("raw/papers/p-3.md#top")))
-    return co.retarget_links(t.card_rows.select("path", F.concat(plain("body", "]("), F.lit(" [a]("), target, F.lit(") [b](https://e.org/raw/x.md)")).alias("text")), [("raw", "library")])
+    return co.retarget_links(t.card_rows.select("path", F.concat(F.coalesce("body", F.lit("")), F.lit(" [a]("), target, F.lit(") [b](https://e.org/raw/x.md)")).alias("text")), [("raw", "library")])
 
 
 @query("F31", "SELECT DISTINCT props AS line FROM events WHERE event_id % 4 = 1")

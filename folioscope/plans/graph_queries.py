@@ -288,7 +288,7 @@ def resolved_dois(t: Tables) -> DataFrame:
 @query("C28 X7", "SELECT doc_id, CAST(0 AS INT) AS idx, 'd-' || CAST(doc_id AS STRING) AS id, round(doc_id / 1000.0, 3)::DOUBLE AS relevance, 'https://arxiv.org/abs/2401.00001v2' AS url, '2401.00001' AS arxiv_id, md5('About ' || source || ' and ' || lang) AS abstract FROM documents")
 def report_candidates(t: Tables) -> DataFrame:
     d = F.col("doc_id").cast("string")
-    report = F.concat(F.lit("# Digest\n\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^#+ ", ""), F.lit("\n\n## A paper "), d, F.lit("\n- id: `d-"), d, F.lit("` · relevance: "), F.format_string("%.3f", F.col("doc_id") / 1000), F.lit("\n- authors: A, B, et al.\n- abstract: About "), F.col("source"),
+    report = F.concat(F.lit("# Digest\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n## A paper "), d, F.lit("\n- id: `d-"), d, F.lit("` · relevance: "), F.format_string("%.3f", F.col("doc_id") / 1000), F.lit("\n- authors: A, B, et al.\n- abstract: About "), F.col("source"),
                       F.lit(" and "), F.col("lang"), F.lit("\n- https://arxiv.org/abs/2401.00001v2\n"))
     rows = rd.report_candidates(t.documents.select("doc_id", report.alias("text")))
     return rows.select("doc_id", F.col("index").alias("idx"), "id", "relevance", "url", "arxiv_id", F.md5("abstract").alias("abstract"))

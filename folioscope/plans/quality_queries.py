@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import markup as md
 from ..operators import quality as qu
 from .registry import query
-from .tables import Tables, plain
+from .tables import Tables
 
 TODAY = "2024-10-01"
 WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))"
@@ -82,9 +82,11 @@ def image_reference_census(t: Tables) -> DataFrame:
     return qu.image_census(t.documents.select(text.alias("md")))
 
 
-@query("Q5", "SELECT doc_id, 'f' || CAST(doc_id % 10 AS STRING) || '.png' AS name FROM documents WHERE doc_id % 10 > 3")
+@query("Q5", f"""WITH d AS (SELECT doc_id, coalesce(text, '') || ' ![x](images/f' || CAST(doc_id % 10 AS STRING) || '.png)' AS md FROM documents),
+i AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(md, '{md.MD_IMAGE.replace("'", "''")}', 1), regexp_extract_all(md, '{md.HTML_IMAGE.replace("'", "''")}', 1))) AS x FROM d)
+SELECT doc_id, substr(x, 8) AS name FROM i WHERE regexp_matches(x, '^images/[^/]+$') AND NOT (doc_id % 10 <= 3 AND x = 'images/f' || CAST(doc_id % 10 AS STRING) || '.png')""")
 def missing_images(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", F.concat(F.regexp_replace(plain("text", "!["), "<", ""), F.lit(" ![x](images/f"), (F.col("doc_id") % 10).cast("string"), F.lit(".png)")).alias("md"))
+    docs = t.documents.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" ![x](images/f"), (F.col("doc_id") % 10).cast("string"), F.lit(".png)")).alias("md"))
     held = t.documents.filter("doc_id % 10 <= 3").select("doc_id", F.concat(F.lit("f"), (F.col("doc_id") % 10).cast("string"), F.lit(".png")).alias("name"))
     return qu.missing_images(docs, held).select("doc_id", "name")
 
@@ -155,10 +157,11 @@ def near_duplicate_tags(t: Tables) -> DataFrame:
     return qu.tag_group_issues(tags).select("tag_group", "tags")
 
 
-@query("F13", "SELECT path, CASE doc_id % 3 WHEN 0 THEN 'a/b' ELSE '$x^2$' END AS link, CASE doc_id % 3 WHEN 0 THEN 'illegal character' ELSE 'raw maths' END AS issue FROM card_rows WHERE path NOT LIKE 'raw/%' AND doc_id % 3 < 2")
+@query("F13", f"""WITH l AS (SELECT path, unnest(regexp_extract_all(coalesce(body, '') || ' [[' || CASE doc_id % 3 WHEN 0 THEN 'a/b' WHEN 1 THEN '$x^2$' ELSE 'fine page' END || ']]', '{md.WIKILINK}', 1)) AS link FROM card_rows WHERE path NOT LIKE 'raw/%')
+SELECT path, link, CASE WHEN regexp_matches(link, '[\\\\/:*?"<>|]') THEN 'illegal character' ELSE 'raw maths' END AS issue FROM l WHERE regexp_matches(link, '[\\\\/:*?"<>|]|^\\$|\\$$|[{{}}]')""")
 def wikilink_text_issues(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 3
-    return qu.wikilink_text_issues(t.card_rows.select("path", F.concat(plain("body", "[["), F.lit(" [["), F.when(k == 0, "a/b").when(k == 1, "$x^2$").otherwise("fine page"), F.lit("]]")).alias("body")))
+    return qu.wikilink_text_issues(t.card_rows.select("path", F.concat(F.coalesce("body", F.lit("")), F.lit(" [["), F.when(k == 0, "a/b").when(k == 1, "$x^2$").otherwise("fine page"), F.lit("]]")).alias("body")))
 
 
 @query("F15", "SELECT path, 'bet' AS issue FROM card_rows WHERE doc_id % 6 = 0 UNION ALL SELECT path, 'signed posts' FROM card_rows WHERE doc_id % 8 = 0")

@@ -121,7 +121,7 @@ SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'wiki/concepts/c-' WHEN 1 THEN 'wiki/
 SELECT source AS library, doc_id AS id, lang || '/doc-' || CAST(doc_id AS STRING) || '.md' AS path, CASE lang WHEN 'fr' THEN 'threads' ELSE lang END AS collection, text FROM documents""",
     "claim_rows": """
 SELECT doc_id, 'wiki/concepts/c-' || CAST(doc_id % 50 AS STRING) || '.md' AS doc_path, 'claim ' || CAST(doc_id AS STRING) AS claim,
-  CASE doc_id % 4 WHEN 0 THEN substr(text, 11, 60) WHEN 1 THEN replace(replace(substr(text, 11, 60), 'e', 'E'), 'n', 'N') WHEN 2 THEN replace(substr(text, 11, 60), ' ', '  ') ELSE 'made up ' || CAST(doc_id AS STRING) END AS evidence,
+  CASE doc_id % 4 WHEN 0 THEN substr(text, CAST(floor(length(text) * (doc_id % 7) / 9.0) AS INT) + 1, 60) WHEN 1 THEN replace(replace(substr(text, CAST(floor(length(text) * (doc_id % 7) / 9.0) AS INT) + 1, 60), 'e', 'E'), 'n', 'N') WHEN 2 THEN replace(substr(text, CAST(floor(length(text) * (doc_id % 7) / 9.0) AS INT) + 1, 60), ' ', '  ') ELSE 'made up ' || CAST(doc_id AS STRING) END AS evidence,
   CASE WHEN doc_id % 13 = 0 THEN 'web' WHEN doc_id % 17 = 0 THEN 'other' ELSE 'local_wiki' END AS source_type,
   CASE WHEN doc_id % 13 = 0 THEN 'https://example.org/' || CAST(doc_id AS STRING) WHEN doc_id % 11 = 0 THEN '../secret.md' WHEN doc_id % 7 = 0 THEN 'wiki/references/r-' || CAST(doc_id AS STRING) || '.md' ELSE 'raw/doc-' || CAST(doc_id AS STRING) || '.md' END AS source
 FROM documents""",
@@ -179,11 +179,6 @@ def with_derived(sql: str) -> str:
     return f"WITH {head}\n{body}"
 
 
-def plain(column: str, mark: str) -> Column:
-    """The whole text without a mark, so that only the marks added to it are found."""
-    return F.replace(F.coalesce(column, F.lit("")), F.lit(mark), F.lit(""))
-
-
 #: Stored search indexes of this process, by application and data folder.
 _INDEXES: dict = {}
 
