@@ -4,13 +4,10 @@ import random
 import re
 from collections import defaultdict
 
-import pytest
 
 import corpus_pipeline
 from folioscope.llm import decontaminate
 from folioscope.llm.queries import op8_line_dedup
-from folioscope.operators import corpus, graph, quality, radar
-from folioscope.plans.registry import catalog
 
 
 def test_short_lines_that_recur_go_too(spark, tmp_path):
@@ -63,20 +60,6 @@ def test_every_pattern_of_changes_that_the_share_allows_is_found(spark, tmp_path
     assert sorted(r.doc_id for r in left) == [i for i, _ in rows if i not in {d for d, _ in want}]
 
 
-@pytest.mark.parametrize("query, module, operator, column", [
-    ("markdown_links", corpus, "markdown_links", "text"), ("collection_summary", corpus, "collection_summary", "body"), ("reference_check", graph, "card_reference_check", "text"),
-    ("link_repairs", graph, "repair_links", "text"), ("link_retargets", corpus, "retarget_links", "text"), ("report_candidates", radar, "report_candidates", "text"),
-    ("missing_images", quality, "missing_images", "md"), ("wikilink_text_issues", quality, "wikilink_text_issues", "body")])
-def test_operators_are_given_whole_texts(spark, monkeypatch, query, module, operator, column):
-    root, given, own = "/root/testdata/sf0.001", [], getattr(module, operator)
-    monkeypatch.setattr(module, operator, lambda df, *rest: given.append(df) or own(df, *rest))
-    catalog()[query](spark, root)
-    got = [r[0] for r in given[0].select(column).collect()]
-    left_out = {3} if query == "link_repairs" else set()  # raw papers
-    texts = [r.text for r in spark.read.parquet(f"{root}/documents.parquet").collect() if r.doc_id % 5 not in left_out and len(r.text or "") > 300]
-    assert texts and all(any(t in g for g in got) for t in texts)
-
-
 def test_an_id_that_stands_for_two_texts_loses_neither(spark):
     rng = random.Random(3)
     a, b, c, d = (" ".join(f"w{rng.randint(0, 400)}" for _ in range(60)) for _ in range(4))
