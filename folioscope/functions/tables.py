@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession, functions as F
 def register(spark: SparkSession) -> None:
     from ..operators.claims import blocks_sql
     from ..operators.radar import report_rows_sql
-    from ..sources.notes import parse_posts
+    from ..sources.notes import posts_sql
 
     class Sections:
         def eval(self, text: str):
@@ -27,17 +27,10 @@ def register(spark: SparkSession) -> None:
                     if body:
                         yield (head.group(1).strip() if head else "", start + 1, stop, body)
 
-    class Posts:
-        def eval(self, body: str):
-            for p in parse_posts(body):
-                yield (p["seq"], p["stamp"], p["host"], p["line"], p["src"], p["dst"], p["field"], p["value"], p["text"])
-
-    for name, cls, schema in (
-            ("section_rows", Sections, "heading string, start_line int, end_line int, content string"),
-            ("post_rows", Posts, "seq bigint, stamp string, host string, line string, src string, dst string, field string, value string, text string")):
-        spark.udtf.register(name, F.udtf(cls, returnType=schema))
+    spark.udtf.register("section_rows", F.udtf(Sections, returnType="heading string, start_line int, end_line int, content string"))
     for name, rows, schema in (
             ("claim_rows", blocks_sql, "seq int, claim string, evidence string, source_type string, source string, status string"),
+            ("post_rows", posts_sql, "seq bigint, stamp string, host string, line string, via string, src string, dst string, field string, value string, text string"),
             ("report_rows", report_rows_sql, "index int, title string, id string, arxiv_id string, url string, relevance double, authors array<string>, abstract string")):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(report STRING) RETURNS TABLE({schema}) RETURN SELECT r.* FROM (SELECT explode({rows('report')}) AS r)")
 

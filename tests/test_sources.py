@@ -168,6 +168,49 @@ def test_table_functions(spark):
     spark.createDataFrame([("## P\n- id: `p`\nCLAIM: c\nSOURCE: s",)], "text string").createOrReplaceTempView("tf_reports")
     assert [tuple(r) for r in spark.sql("SELECT c.claim, c.source FROM tf_reports, LATERAL claim_rows(text) c").collect()] == [("c", "s")]
     assert [tuple(r) for r in spark.sql("SELECT r.title, r.id FROM tf_reports, LATERAL report_rows(text) r").collect()] == [("P", "p")]
+    spark.createDataFrame([("## Discussion\n### t · h\nhello",)], "text string").createOrReplaceTempView("tf_threads")
+    assert [tuple(r) for r in spark.sql("SELECT p.seq, p.host, p.text FROM tf_threads, LATERAL post_rows(text) p").collect()] == [(0, "h", "hello")]
+
+
+THREAD = """### 2026-01-01T00:00:00Z · early
+~~~
+## Discussion
+~~~~
+## Discussion
+before any signature
+### t1 · codex/qec · via cli
+status: open -> testing
+set: bet = holds now  
+status: testing -> refuted
+````
+### t2 · fake
+```
+status: a -> b
+````
+end
+
+### t3 · human
+first
+set: bet = too late
+status: supported => disputed
+### not a signature
+### t4 · xy
+~~~
+### t5 · in a block that never ends"""
+
+
+def test_posts_by_line_state(spark):
+    want = [(0, "t1", "codex", "qec", "cli", "open", "testing", "bet", "holds now", "status: testing -> refuted\n````\n### t2 · fake\n```\nstatus: a -> b\n````\nend"),
+            (1, "t3", "human", None, None, "supported", "disputed", None, None, "first\nset: bet = too late\n### not a signature"),
+            (2, "t4", "xy", None, None, None, None, None, None, "~~~\n### t5 · in a block that never ends")]
+    bodies = [(THREAD,), (THREAD.replace("\n", "\r\n"),), (None,), ("",), ("## Discussion",), ("### t · h\n",)]
+    df = spark.createDataFrame(bodies, "body string")
+    got = [[tuple(p) for p in r[0] or []] for r in df.select(F.expr(sn.posts_sql("body"))).collect()]
+    assert got == [want, want, [], [], [], []]
+    long = "## Discussion\n### a · b\n```\n" + "### t · h\n" * 200_000 + "```\nstatus: a -> b"
+    row = spark.createDataFrame([(long,)], "body string").select(F.inline(F.expr(sn.posts_sql("body")))).select("src", F.length("text")).collect()
+    assert [tuple(r) for r in row] == [("a", len("```\n" + "### t · h\n" * 200_000 + "```"))]
+    assert "ArrowEval" not in df.select(F.expr(sn.posts_sql("body")))._jdf.queryExecution().toString()
 
 
 def test_places_follow_the_files_whatever_their_size(spark, tmp_path):
