@@ -34,7 +34,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def op1_exact_topk(spark: SparkSession, root: str) -> DataFrame:
-    fine = F.transform("embedding", lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), F.floor(F.lit(64.0) * x.cast("double")).cast("double")))
+    def whole(x):
+        """floor(64 x); from 2^53 on a double is whole, and `floor` would stop at the largest long."""
+        y = F.lit(64.0) * x.cast("double")
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    fine = F.transform("embedding", lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), whole(x)))
     vectors = table(spark, root, "embeddings").select(F.col("vec_id").cast("long").alias("id"), fine.alias("vector"))
     return topk.top_k(vectors, vectors.where("id % 20 = 0"), 20)
 

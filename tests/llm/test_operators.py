@@ -144,6 +144,49 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert sorted(got) == sorted(want)
     assert topk.top_k(df.limit(0), df.limit(0), 7).count() == 0
+    mixed = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [])], "id long, vector array<double>")
+    with pytest.raises(ValueError, match="components"):
+        topk.top_k(mixed, mixed, 7)
+    alike = mixed.where("id <> 2")
+    assert topk.top_k(alike, alike, 7).count() == 0
+
+
+def exact_best(vectors, asked, k):
+    top = 2**63 - 1
+    want = []
+    for q, v in vectors:
+        if asked(q):
+            scores = [(max(-top, min(top, sum(int(x) * int(y) for x, y in zip(v, w)))), i) for i, w in vectors if i != q]
+            want += [(q, n + 1, i, s) for n, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k])]
+    return sorted(want)
+
+
+def test_top_k_of_large_components_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = []
+    for i in range(160):
+        size = (40, 2**27, 2**31, 6.4e10, 1e300)[(i // 20 + i % 20) % 5]
+        vectors.append((i, [float(np.floor(x * size)) for x in rng.uniform(-1, 1, 6)]))
+    vectors += [(1000 + i, [float(2**30 + i % 3)] * 6) for i in range(60)]
+    monkeypatch.setattr(topk, "LEAF", 8)
+    df = spark.createDataFrame(vectors, "id long, vector array<double>")
+    got = topk.top_k(df.selectExpr("*", "1 AS shard", "'x' AS known"), df.where("id % 20 = 0"), 9, shard_rows=20)
+    assert sorted(tuple(r) for r in got.collect()) == exact_best(vectors, lambda q: q % 20 == 0, 9)
+
+
+def test_top_k_leaves_out_shards_that_cannot_help(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = np.floor(rng.normal(0, 300, (24, 16)))
+    vectors = [(i, (centres[i % 24] + np.floor(rng.normal(0, 4, 16))).tolist()) for i in range(2400)]
+    df = spark.createDataFrame(vectors, "id long, vector array<double>")
+    visits, keep = [], topk.searched
+    monkeypatch.setattr(topk, "searched", lambda pairs, *rest: visits.append(pairs.select("block", "shard")) or keep(pairs, *rest))
+    got = topk.top_k(df, df.where("id % 20 = 0"), 10, shard_rows=60)
+    assert sorted(tuple(r) for r in got.collect()) == exact_best(vectors, lambda q: q % 20 == 0, 10)
+    seen = [tuple(r) for v in visits for r in v.collect()]
+    assert len(visits) == 3 and len(seen) == len(set(seen))
+    blocks, shards = len({b for b, _ in seen}), 2400 // 60
+    assert len(seen) < 0.5 * blocks * shards
 
 
 def test_packing_is_whole_and_tight(docs, rows, spark):
