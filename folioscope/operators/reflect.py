@@ -91,29 +91,47 @@ def signals(notes: DataFrame, posts: DataFrame, debts: DataFrame) -> DataFrame:
         .orderBy(F.col("at").asc_nulls_first(), "slug")
 
 
+#: 16^10 seconds are longer than all time that a timestamp can hold.
+LEVELS = 10
+
+
+def time_blocks(lo: Column, hi: Column) -> Column:
+    """The seconds lo to hi as blocks (level, block): seconds block * 16^level to (block + 1) * 16^level - 1, each second in one."""
+    def run(start: Column, stop: Column) -> Column:
+        return F.when(start < stop, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def at_level(n: int, blocks: Column) -> Column:
+        return F.transform(blocks, lambda x: F.struct(F.lit(n).alias("level"), x.alias("block")))
+
+    out = []
+    for n in range(LEVELS):
+        # Whole blocks of this level from a to b, of the next from up to top.
+        a, b = -F.shiftright(-lo, 4 * n), F.shiftright(hi + 1, 4 * n)
+        up, top = -F.shiftright(-lo, 4 * n + 4), F.shiftright(hi + 1, 4 * n + 4)
+        blocks = F.when(up < top, F.concat(run(a, up * 16), run(top * 16, b))).otherwise(run(a, b))
+        out.append(at_level(n, blocks))
+    return F.concat(*out)
+
+
 def nearest_session(events: DataFrame, sessions: DataFrame, near: int = NEAR_SECONDS) -> DataFrame:
     """Each event with the session it happened in: session key columns and gap in seconds.
 
     Gap 0 inside [started, ended], else to the nearer end, at most `near`; the
     session listed first (by ended, host, id) wins ties. Times count in whole
-    seconds, which lets the join run over distinct seconds: sessions are reduced
-    to one best cover per minute or second, and the nearest ends are looked up
-    inside hour ranges of at most 3,600 distinct seconds. No event ever meets
-    more than one row per lookup.
+    seconds, which lets the join run over distinct seconds. A session is cut into
+    blocks of 16^n seconds, fewer than 32 on each of LEVELS levels whatever its
+    length; a block keeps its best session, and a second asks for its own block
+    on every level. The nearest ends are looked up inside hour ranges of at most
+    3,600 distinct seconds. No event ever meets more than one row per lookup.
     """
     second = lambda c: F.floor(F.unix_micros(c) / F.lit(1_000_000))
     a, b = second(F.coalesce("started", "ended")), second(F.coalesce("ended", "started"))
     spans = sessions.filter(F.coalesce("started", "ended").isNotNull()).select(
         F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.struct("ended", "host", "session_id").alias("s"))
     moments = events.select(second(F.col("at")).alias("t")).filter(F.col("t").isNotNull()).distinct()
-    # inside: whole minutes covered, and the seconds of the first and last minute
-    lo_min, hi_min = F.floor(F.col("lo") / 60), F.floor(F.col("hi") / 60)
-    inner = spans.filter(hi_min - lo_min >= 2).select(F.explode(F.sequence(lo_min + 1, hi_min - 1)).alias("m"), "s").groupBy("m").agg(F.min("s").alias("by_minute"))
-    edges = F.when(hi_min == lo_min, F.sequence(F.col("lo"), F.col("hi"))).otherwise(F.concat(
-        F.sequence(F.col("lo"), lo_min * 60 + 59), F.sequence(hi_min * 60, F.col("hi"))))
-    outer = spans.select(F.explode(edges).alias("t"), "s").groupBy("t").agg(F.min("s").alias("by_second"))
-    covered = moments.withColumn("m", F.floor(F.col("t") / 60)).join(inner, "m", "left").join(outer, "t", "left") \
-        .withColumn("inside", F.least("by_minute", "by_second")).select("t", "inside")
+    covers = spans.select(F.inline(time_blocks(F.col("lo"), F.col("hi"))), "s").groupBy("level", "block").agg(F.min("s").alias("cover"))
+    own = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("t", 4 * n).alias("block")) for n in range(LEVELS)])
+    covered = moments.select("t", F.inline(own)).join(covers, ["level", "block"], "left").groupBy("t").agg(F.min("cover").alias("inside"))
     # outside: nearest end before and nearest start after, one best session per second
     ends = spans.groupBy(F.col("hi").alias("t")).agg(F.min("s").alias("mark"))
     starts = spans.groupBy(F.col("lo").alias("t")).agg(F.min("s").alias("mark"))

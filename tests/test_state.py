@@ -110,7 +110,8 @@ def test_nearest_session_equals_brute_force(spark):
     for i in range(40):
         start = rng.randint(0, 90_000)
         ses.append((f"h{i % 3}", f"s{i}", start, start + rng.choice([0, 40, 600, 9000])))
-    events = [(i, rng.randint(0, 120_000)) for i in range(400)]
+    ses += [("h9", "years", 100_000, 100_000 + 3 * 10**8), ("h8", "later", 2 * 10**8, 4 * 10**8)]
+    events = [(i, rng.randint(0, 120_000)) for i in range(400)] + [(400 + i, rng.randint(0, 5 * 10**8)) for i in range(50)]
     at = lambda s: base + dt.timedelta(seconds=s)
     got = rf.nearest_session(spark.createDataFrame([(i, at(t)) for i, t in events], "e int, at timestamp"),
                              spark.createDataFrame([(h, s, at(a), at(b)) for h, s, a, b in ses], "host string, session_id string, started timestamp, ended timestamp"))
@@ -122,6 +123,16 @@ def test_nearest_session_equals_brute_force(spark):
     assert {(r["e"], r["host"], r["session_id"], r["gap"]) for r in got.collect()} == wanted
 
 
+def test_time_blocks_hold_each_second_once(spark):
+    rng = random.Random(12)
+    spans = [(0, 0), (-1, 0), (-300, 5000), (15, 16), (16, 31), (-(10**11), 3 * 10**11)]
+    spans += [(a, a + rng.choice([0, 3, 200, 70_000])) for a in (rng.randint(-10**6, 10**6) for _ in range(60))]
+    for lo, hi, blocks in spark.createDataFrame(spans, "lo bigint, hi bigint").select("lo", "hi", rf.time_blocks(F.col("lo"), F.col("hi"))).collect():
+        held = sorted((b["block"] * 16 ** b["level"], (b["block"] + 1) * 16 ** b["level"]) for b in blocks)
+        assert held[0][0] == lo and held[-1][1] == hi + 1 and all(x[1] == y[0] for x, y in zip(held, held[1:]))
+        assert len(held) < 32 * rf.LEVELS
+
+
 def test_excerpt_is_the_tail(spark):
     rng = random.Random(2)
     turns = [("h", f"s{s}", i, "user", "w" * rng.randint(1, 30)) for s in range(3) for i in range([5, 60, 1][s])]
