@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import identifiers as ids, markup as md, text as tx, vocab
+from ..functions.staging import let
 
 # Navigation and back-matter headings that hold no passage of their own.
 BOILERPLATE = ("see also", "sources", "references", "related", "further reading", "参考文献", "相关条目",
@@ -68,25 +69,41 @@ def drop_boilerplate(chunks: DataFrame) -> DataFrame:
     return chunks.filter((F.col("collection") == "raw") | ~heading.isin(*BOILERPLATE))
 
 
+#: Characters that end a line, CR LF being one end, and the blanks of a line.
+LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+ENDED_LINE = rf"[^{LINE_ENDS}]*(?:\r\n|[{LINE_ENDS}])|[^{LINE_ENDS}]+"
+BLANKS = r"(?U)^[\s\x1c-\x1f]*"
+
+
+def _length_cuts(lines: Column, max_lines: int) -> Column:
+    """(start, stop) of each piece but the last, and where the last one starts: one pass that keeps the open piece and the fence."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(False).alias("fenced"), F.array().cast("array<struct<start:int,stop:int>>").alias("cuts"))
+
+    def step(state: Column, line: Column) -> Column:
+        at = state["at"] + 1
+        fenced = state["fenced"] != line.rlike(BLANKS + "```")
+        ends = (at - state["start"] >= max_lines) & ~fenced & line.rlike(BLANKS + r"\z")
+        return F.struct(at.alias("at"), F.when(ends, at).otherwise(state["start"]).alias("start"), fenced.alias("fenced"),
+                        F.when(ends, F.concat(state["cuts"], F.array(F.struct(state["start"].alias("start"), at.alias("stop"))))).otherwise(state["cuts"]).alias("cuts"))
+
+    return F.aggregate(lines, begin, step)
+
+
 def length_pieces(docs: DataFrame, max_lines: int = 500, text: str = "text") -> DataFrame:
-    """Pieces that end at the first blank line at or after `max_lines`, never inside a fence."""
-    piece = "array<struct<piece:int,start_line:int,content:string>>"
-    cut = F.udf(lambda value: _length_cuts(value, max_lines), piece, useArrow=True)
-    return docs.withColumn("_p", F.explode(cut(F.col(text)))).select(
-        *[c for c in docs.columns if c != text], "_p.piece", "_p.start_line", "_p.content")
-
-
-def _length_cuts(text: str | None, max_lines: int) -> list:
-    out, start, fenced = [], 0, False
-    lines = (text or "").splitlines(keepends=True)
-    for at, line in enumerate(lines):
-        fenced ^= line.strip().startswith("```")
-        if at + 1 - start >= max_lines and not fenced and not line.strip():
-            out.append((len(out) + 1, start + 1, "".join(lines[start:at + 1])))
-            start = at + 1
-    if start < len(lines):
-        out.append((len(out) + 1, start + 1, "".join(lines[start:])))
-    return out
+    """Pieces that end at the first blank line at or after `max_lines`, never inside a fence.
+
+    piece and start_line count from 1; the contents of a text's pieces make up
+    the text. Null and empty texts have no pieces.
+    """
+    def pieces(lines: Column) -> Column:
+        def whole(state: Column) -> Column:
+            last = F.when(state["start"] < state["at"], F.array(F.struct(state["start"].alias("start"), state["at"].alias("stop")))).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+            return F.transform(F.concat(state["cuts"], last), lambda c, i: F.struct(
+                (i + 1).alias("piece"), (c["start"] + 1).alias("start_line"), F.array_join(F.slice(lines, c["start"] + 1, c["stop"] - c["start"]), "").alias("content")))
+        return let(_length_cuts(lines, max_lines), whole)
+
+    rows = let(F.regexp_extract_all(F.col(text), F.lit(ENDED_LINE), F.lit(0)), pieces)
+    return docs.select(*[c for c in docs.columns if c != text], F.inline(rows))
 
 
 def with_slugs(df: DataFrame, column: str, max_length: int = tx.SLUG_MAX) -> DataFrame:
@@ -260,7 +277,3 @@ def collection_summary(cards: DataFrame) -> DataFrame:
         F.count("*").alias("files"), F.sum(F.size(md.wikilinks(F.col("body")))).alias("wikilinks"),
         F.count_if(F.coalesce(F.size("sources"), F.lit(0)) <= 0).alias("without_sources")) \
         .withColumn("avg_links", F.round(F.col("wikilinks") / F.col("files"), 1))
-
-
-SECTION_SCHEMA = T.StructType([T.StructField("heading", T.StringType()), T.StructField("start_line", T.IntegerType()),
-                               T.StructField("end_line", T.IntegerType()), T.StructField("content", T.StringType())])

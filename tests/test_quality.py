@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -78,6 +79,25 @@ def test_length_pieces_keep_fences_whole(spark):
     assert [r["content"] for r in got] == ["a\nb\n\n", "```\nc\n\nd\n```\n\n", "e\n"] and [r["start_line"] for r in got] == [1, 4, 10]
 
 
+def test_length_pieces_equal_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["word", "", " ", "```", "  ``` py", "\t", "a ``` b", "é\x1c", "\u2003"]
+    ends = ["\n", "\n", "\n", "\r\n", "\r", "\x0b", "\u2028", "\n\n", "\x1d"]
+    texts = ["".join(rng.choice(parts) + rng.choice(ends) for _ in range(rng.randint(0, 40))) + rng.choice(["", "tail", "```"]) for _ in range(300)]
+    texts += [None, "", "x\n" * 50_000 + "\n" + "y"]
+    want = set()
+    for i, text in enumerate(texts):
+        lines, piece = (text or "").splitlines(keepends=True), 0
+        while lines:
+            fences = [n % 2 for n in itertools.accumulate(x.strip().startswith("```") for x in lines)]
+            stop = next((n + 1 for n, x in enumerate(lines) if n + 1 >= 4 and not x.strip() and not fences[n]), len(lines))
+            piece += 1
+            want.add((i, piece, 1 + len("".join(texts[i]).splitlines()) - len(lines), "".join(lines[:stop])))
+            lines = lines[stop:]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert {tuple(r) for r in co.length_pieces(df, 4).collect()} == want
+
+
 def test_sections(spark):
     text = "lead\n# One \nx\n#### not a break\n## Two\n" + "\n".join(str(i) for i in range(260)) + "\n# Empty"
     got = [(r["heading"], r["start_line"], r["end_line"]) for r in co.sections(spark.createDataFrame([(text,)], "text string")).collect()]
