@@ -5,6 +5,10 @@ vector can only be close to members of a cell whose radius plus the threshold
 angle reaches it, so it visits just those cells. Large cells are cut into
 blocks, and one task compares one pair of blocks with a matrix product and
 returns only the pairs over the threshold.
+
+Boosts do not widen that search for everyone. A shared name or tag that few
+cards hold meets on its own key; what many hold sets a level for its holders
+alone, and two cards are searched at the angle of the smaller level of both.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ STUBS = ("No explicit definition extracted from literature perspective.",
 EMBED_CHARS, EMBED_BATCH = 8000, 16
 BLOCK_ROWS, CELL_ROWS = 2048, 256
 PIVOTS = 1024
+RARE_KEY = 256  # up to so many holders, a shared name or tag is met on its own key
+KEY_ROWS = 4096  # holders of rare keys that one task compares at once
 
 
 def embedding_text(text: Column, tags: Column, aliases: Column) -> Column:
@@ -106,16 +112,50 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def _pivots(cards: DataFrame, count: int) -> np.ndarray:
-    """A bounded, repeatable choice of vectors: the `count` smallest hashes."""
-    rows = cards.select("embedding").orderBy(F.xxhash64("embedding")).limit(count).collect()
+    """A bounded, repeatable choice of vectors with a direction: the `count` smallest hashes."""
+    some = cards.select("embedding").filter(F.exists("embedding", lambda x: x != 0))
+    rows = some.orderBy(F.xxhash64("embedding")).limit(count).collect()
     return _unit(np.array([r[0] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
 
 
-def _angles(pivots: np.ndarray) -> Callable[[pd.Series], pd.Series]:
-    def run(vectors: pd.Series) -> pd.Series:
-        unit = _unit(np.stack(vectors.to_numpy()).astype(np.float64))
-        return pd.Series(list(np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))))
-    return F.pandas_udf(run, "array<double>")
+def _angles(vectors: pd.Series, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angles to the pivots, and which vectors are zero: those stand at a right angle to everything."""
+    unit = _unit(np.stack(vectors.to_numpy()).astype(np.float64))
+    zero = ~unit.any(axis=1)
+    if not len(pivots):
+        return np.zeros((len(unit), 0)), zero
+    angles = np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+    angles[zero] = math.pi / 2
+    return angles, zero
+
+
+def _placing(pivots: np.ndarray) -> Callable[[pd.Series], pd.DataFrame]:
+    """Cell and distance of each vector; zero vectors have a cell of their own behind the others."""
+    def run(vectors: pd.Series) -> pd.DataFrame:
+        angles, zero = _angles(vectors, pivots)
+        cell, near = np.full(len(angles), len(pivots)), np.zeros(len(angles))
+        if angles.shape[1]:
+            cell[~zero], near[~zero] = angles.argmin(axis=1)[~zero], angles.min(axis=1)[~zero]
+        return pd.DataFrame({"cell": cell.astype(np.int32), "near": near})
+    return F.pandas_udf(run, "cell int, near double")
+
+
+def _visits(pivots: np.ndarray, homes: pd.DataFrame, threshold: float) -> Callable:
+    """Numbers of the homes (cell, level) that a vector has to visit: none behind its own cell."""
+    by_level = {int(level): (part.index.to_numpy(), part["cell"].to_numpy(), part["radius"].to_numpy()) for level, part in homes.groupby("level")}
+
+    def run(vectors: pd.Series, cells: pd.Series, levels: pd.Series) -> pd.Series:
+        angles, zero = _angles(vectors, pivots)
+        angles = np.hstack([angles, np.full((len(angles), 1), math.pi / 2)])
+        own, mine = cells.to_numpy()[:, None], levels.to_numpy()
+        found: list[list[int]] = [[] for _ in range(len(angles))]
+        for level, (numbers, at, radius) in by_level.items():
+            lowest = np.clip(threshold - TAG_BOOST * np.minimum(mine, level), -1.0, 1.0)
+            limit = np.where(zero[:, None], 0.0, radius[None, :]) + np.arccos(lowest)[:, None] + 1e-6
+            for row, home in zip(*np.nonzero((angles[:, at] <= limit) & (at[None, :] <= own))):
+                found[row].append(int(numbers[home]))
+        return pd.Series(found)
+    return F.pandas_udf(run, "array<int>")
 
 
 def _overlap(left: pd.Series, right: pd.Series) -> np.ndarray:
@@ -130,79 +170,120 @@ def _overlap(left: pd.Series, right: pd.Series) -> np.ndarray:
     return a @ b.T
 
 
+def analysed_cards(cards: DataFrame) -> DataFrame:
+    """Cards that the pair search looks at: no stubs (a missing status is one) and no empty embedding text.
+
+    `cards`: status and text beside the columns of `similar_pairs`.
+    """
+    return cards.filter((F.coalesce(F.col("status"), F.lit("stub")) != "stub") & (tx.strip(F.col("text")) != ""))
+
+
+def _passing(left: pd.DataFrame, right: pd.DataFrame, once: np.ndarray, threshold: float, boosts: bool) -> pd.DataFrame:
+    """Pairs of both tables, among those marked in `once`, whose score reaches the threshold."""
+    cosine = _unit(np.stack(left["embedding"].to_numpy()).astype(np.float64)) @ \
+        _unit(np.stack(right["embedding"].to_numpy()).astype(np.float64)).T
+    boost = np.zeros_like(cosine)
+    if boosts:
+        clash = _overlap(left["aliases"], right["aliases"]) + _overlap(left["title"], right["aliases"]) \
+            + _overlap(left["aliases"], right["title"])
+        boost = np.where(clash > 0, ALIAS_BOOST, TAG_BOOST * _overlap(left["tags"], right["tags"]))
+    ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
+    x, y = np.nonzero(once & (np.minimum(1.0, cosine + boost) >= threshold))
+    swap = ids_a[x] > ids_b[y]
+    return pd.DataFrame({"a": np.where(swap, ids_b[y], ids_a[x]), "b": np.where(swap, ids_a[x], ids_b[y]),
+                         "cosine": cosine[x, y], "boost": boost[x, y]})
+
+
+def _boost_keys(base: DataFrame) -> DataFrame:
+    """space, value, id, hot: the names and tags that can lift a pair. A name counts where a card holds it as an alias."""
+    held = lambda column, space, alias: base.select("id", F.lit(space).alias("space"), F.lit(alias).alias("alias"), F.explode(column).alias("value"))
+    keys = held("tags", "tag", True).unionByName(held("aliases", "name", True)).unionByName(held("title", "name", False))
+    shared = keys.groupBy("space", "value").agg(F.count("*").alias("n"), F.max("alias").alias("alias")).filter("n > 1 AND alias")
+    return keys.select("space", "value", "id").distinct().join(shared.select("space", "value", (F.col("n") > RARE_KEY).alias("hot")), ["space", "value"])
+
+
+def _pairs_on_rare_keys(base: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that share a rare name or tag. Keys go by bucket, so that a task compares about KEY_ROWS holders, key by key."""
+    rare = keys.filter("NOT hot")
+    buckets = max(1, -(-rare.count() // KEY_ROWS))
+    rows = rare.withColumn("bucket", F.pmod(F.xxhash64("space", "value"), F.lit(buckets))).join(base, "id")
+
+    def compare(bucket: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"a": [], "b": [], "cosine": [], "boost": []})]
+        for _, holders in bucket.groupby(["space", "value"], sort=False):
+            ids = holders["id"].to_numpy()
+            found.append(_passing(holders, holders, ids[:, None] < ids[None, :], threshold, True))
+        return pd.concat([f for f in found if len(f)] or found[:1])
+
+    kind = dict(base.dtypes)["id"]
+    return rows.groupBy("bucket").applyInPandas(compare, f"a {kind}, b {kind}, cosine double, boost double")
+
+
 def similar_pairs(cards: DataFrame, threshold: float = LINK, boosts: bool = True, pivots: int = PIVOTS,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every pair a<b whose cosine plus boost reaches `threshold`: a, b, cosine, score, boost.
 
     `cards`: id, embedding and, with boosts, name, tags, aliases. An alias
-    collision adds 0.10, otherwise each shared tag 0.05, capped at 1.
+    collision adds 0.10, otherwise each shared tag 0.05, capped at 1. Cards
+    without a vector take no part; a zero vector has cosine 0 with every other;
+    null names, tags and aliases lift nothing; ids are distinct.
+
+    A pair that shares a rare name or tag is found on that key. Any other pair
+    is lifted by common ones alone, by no more than the smaller level of both
+    (tags in common use, or an alias collision's worth), so it is searched at
+    that angle: cards without common keys go at the full threshold.
     """
     base = cards.filter(F.col("embedding").isNotNull())
-    low = threshold
+    none = F.array().cast("array<string>")
     if boosts:
-        lowered = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.lower(x)))
-        title = F.lower(F.regexp_replace(F.col("name"), "[-_]", " "))
-        base = base.select("id", "embedding", lowered("tags").alias("tags"), lowered("aliases").alias("aliases"), F.array(title).alias("title"))
+        lowered = lambda c: F.array_compact(F.array_distinct(F.transform(F.coalesce(F.col(c), none), lambda x: F.lower(x))))
+        title = F.array_compact(F.array(F.lower(F.regexp_replace(F.col("name"), "[-_]", " "))))
+        base = base.select("id", "embedding", lowered("tags").alias("tags"), lowered("aliases").alias("aliases"), title.alias("title"))
+        keys = cut_lineage(_boost_keys(base))
+        worth = F.greatest(F.sum(F.when(F.col("space") == "tag", 1).otherwise(0)),
+                           F.max(F.when(F.col("space") == "name", round(ALIAS_BOOST / TAG_BOOST)).otherwise(0)))
+        # Beyond this level every angle is in reach.
+        most = max(0, math.ceil((threshold + 1) / TAG_BOOST))
+        levels = keys.filter("hot").groupBy("id").agg(F.least(worth, F.lit(most)).cast("int").alias("level"))
+        base = base.join(levels, "id", "left").na.fill(0, ["level"])
     else:
-        empty = F.array().cast("array<string>")
-        base = base.select("id", "embedding", empty.alias("tags"), empty.alias("aliases"), empty.alias("title"))
-    most, rows = base.select(F.coalesce(F.max(F.size("tags")), F.lit(0)), F.count("*")).first()
-    if boosts:
-        low = threshold - max(ALIAS_BOOST, TAG_BOOST * most)
-    pivots = max(1, min(pivots, -(-rows // CELL_ROWS)))
-    # A vector of length zero has cosine 0 with everything, so it stays in the search.
-    centres = _pivots(base, pivots)
-    reach = math.acos(max(-1.0, min(1.0, low))) + 1e-6
-    placed = base.withColumn("_angles", _angles(centres)(F.col("embedding")))
-    nearest = F.array_min("_angles")
-    placed = placed.withColumn("cell", (F.array_position("_angles", nearest) - 1).cast("int")).withColumn("_near", nearest)
-    radii = {r["cell"]: (r["radius"], r["rows"]) for r in
-             placed.groupBy("cell").agg(F.max("_near").alias("radius"), F.count("*").alias("rows")).collect()}
-    zero = any(r[0] > math.pi / 2 - 1e-9 for r in radii.values())
-    limits = F.lit([radii.get(c, (-10.0, 0))[0] + (math.pi if zero else reach) for c in range(len(centres))] or [0.0])
-    visits = F.filter(F.transform("_angles", lambda angle, i: F.when((angle <= F.element_at(limits, i + 1)) & (i >= 0), i)),
-                      lambda i: i.isNotNull())
-    reached = placed.withColumn("at", F.explode(visits)).filter(F.col("at") <= F.col("cell"))
+        base = base.select("id", "embedding", none.alias("tags"), none.alias("aliases"), none.alias("title"), F.lit(0).alias("level"))
+    centres = _pivots(base, max(1, min(pivots, -(-base.count() // CELL_ROWS))))
+    placed = cut_lineage(base.withColumn("_p", _placing(centres)("embedding")).select("*", "_p.cell", "_p.near").drop("_p"))
+    # At most (pivots + 1) * (most + 1) rows, whatever the input.
+    homes = placed.groupBy("cell", "level").agg(F.max("near").alias("radius"), F.count("*").alias("rows")).orderBy("cell", "level").toPandas()
+    reached = placed.withColumn("at", F.explode(_visits(centres, homes, threshold)("embedding", "cell", "level")))
     visitors = {r["at"]: r["n"] for r in reached.groupBy("at").agg(F.count("*").alias("n")).collect()}
-    home_blocks = F.lit([max(1, -(-radii.get(c, (0, 0))[1] // block_rows)) for c in range(len(centres))] or [1])
-    visit_blocks = F.lit([max(1, -(-visitors.get(c, 0) // block_rows)) for c in range(len(centres))] or [1])
+    blocks = [(int(h.Index), int(h.cell), int(h.level), max(1, -(-int(h.rows) // block_rows)), max(1, -(-visitors.get(h.Index, 0) // block_rows)))
+              for h in homes.itertuples()]
+    plan = F.broadcast(cards.sparkSession.createDataFrame(blocks, "at int, cell int, level int, nh int, nv int"))
     spread = F.abs(F.xxhash64("id"))
     row = ["id", "cell", "embedding", "tags", "aliases", "title"]
-    nh, nv = F.element_at(home_blocks, F.col("at") + 1), F.element_at(visit_blocks, F.col("at") + 1)
-    home = placed.withColumn("at", F.col("cell")).withColumn("h", (spread % nh).cast("int")) \
-        .withColumn("v", F.explode(F.sequence(F.lit(0), nv - 1))).select("at", "h", "v", *row)
-    visit = reached.withColumn("v", (spread % nv).cast("int")) \
-        .withColumn("h", F.explode(F.sequence(F.lit(0), nh - 1))).select("at", "h", "v", *row)
+    home = placed.join(plan, ["cell", "level"]).withColumn("h", (spread % F.col("nh")).cast("int")) \
+        .withColumn("v", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))).select("at", "h", "v", *row)
+    visit = reached.join(plan.drop("cell", "level"), "at").withColumn("v", (spread % F.col("nv")).cast("int")) \
+        .withColumn("h", F.explode(F.sequence(F.lit(0), F.col("nh") - 1))).select("at", "h", "v", *row)
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         left, right = block[block["side"] == 0], block[block["side"] == 1]
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": [], "cosine": [], "boost": []})
-        cosine = _unit(np.stack(left["embedding"].to_numpy()).astype(np.float64)) @ \
-            _unit(np.stack(right["embedding"].to_numpy()).astype(np.float64)).T
-        boost = np.zeros_like(cosine)
-        if boosts:
-            clash = _overlap(left["aliases"], right["aliases"]) + _overlap(left["title"], right["aliases"]) \
-                + _overlap(left["aliases"], right["title"])
-            boost = np.where(clash > 0, ALIAS_BOOST, TAG_BOOST * _overlap(left["tags"], right["tags"]))
-        ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
-        cells = right["cell"].to_numpy()[None, :] > left["cell"].to_numpy()[:, None]
-        once = cells | ((right["cell"].to_numpy()[None, :] == left["cell"].to_numpy()[:, None]) & (ids_a[:, None] < ids_b[None, :]))
-        x, y = np.nonzero(once & (np.minimum(1.0, cosine + boost) >= threshold))
-        swap = ids_a[x] > ids_b[y]
-        return pd.DataFrame({"a": np.where(swap, ids_b[y], ids_a[x]), "b": np.where(swap, ids_a[x], ids_b[y]),
-                             "cosine": cosine[x, y], "boost": boost[x, y]})
+        cells_a, cells_b = left["cell"].to_numpy()[:, None], right["cell"].to_numpy()[None, :]
+        once = (cells_b > cells_a) | ((cells_b == cells_a) & (left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :]))
+        return _passing(left, right, once, threshold, boosts)
 
     kind = dict(cards.dtypes)["id"]
     both = home.withColumn("side", F.lit(0)).unionByName(visit.withColumn("side", F.lit(1)))
     pairs = both.groupBy("at", "h", "v").applyInPandas(compare, f"a {kind}, b {kind}, cosine double, boost double")
+    if boosts:
+        pairs = pairs.unionByName(_pairs_on_rare_keys(base.drop("level"), keys, threshold)).dropDuplicates(["a", "b"])
     return pairs.select("a", "b", "cosine", F.least(F.lit(1.0), F.col("cosine") + F.col("boost")).alias("score"), "boost")
 
 
 def similar_groups(cards: DataFrame, threshold: float = LINK, **options) -> DataFrame:
     """Pairs between distinct vectors, each standing for `pairs` card pairs; copies pair with themselves.
 
-    Lossless and not quadratic in the copies; `expand_groups` writes them out.
+    Lossless and not quadratic in the copies; `distinct_cards` names each one's members.
     """
     reps, _ = distinct_cards(cards)
     sizes = reps.select(F.col("rep").alias("id"), "copies")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import similarity as sm
@@ -85,3 +86,61 @@ def test_embedding_batches_fail_as_a_whole(spark):
     df = spark.createDataFrame([(t,) for t in ["a", "b", "bad", "c"]], "t string").coalesce(1)
     got = [r["embedding"] for r in sm.embed_texts(df, "t", calls, batch=2).collect()]
     assert got == [[1.0], [1.0], None, None]
+
+
+def boosted(cards, threshold):
+    """Every pair by plain loops."""
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1.0) for i, v, *_ in cards}
+    fold = lambda values: {v.lower() for v in values or [] if v}
+    out = {}
+    for i, _, name_i, tags_i, aliases_i in cards:
+        for j, _, name_j, tags_j, aliases_j in cards:
+            if i < j:
+                title = lambda n: {n.replace("-", " ").replace("_", " ").lower()} if n else set()
+                clash = fold(aliases_i) & fold(aliases_j) or title(name_i) & fold(aliases_j) or title(name_j) & fold(aliases_i)
+                boost = 0.10 if clash else 0.05 * len(fold(tags_i) & fold(tags_j))
+                if min(1.0, unit[i] @ unit[j] + boost) >= threshold:
+                    out[(i, j)] = round(boost, 2)
+    return out
+
+
+@pytest.mark.parametrize("rare,threshold", [(256, 0.7), (6, 0.7), (1, 0.75), (6, 0.04)])
+def test_boosted_pairs_equal_brute_force_whether_keys_are_rare_or_common(spark, monkeypatch, rare, threshold):
+    rng = random.Random(rare)
+    vectors = clustered(120, seed=rare)
+    rows = []
+    for i, v in enumerate(vectors):
+        tags = ["Hot"] * (i % 3 == 0) + [f"t{rng.randrange(40)}" for _ in range(rng.randrange(4))] + [None] * (i % 11 == 0)
+        tags += [f"many{k}" for k in range(18)] if i in (6, 51) else []  # one pair in reach by tags alone
+        aliases = [f"Card {rng.randrange(120)}"] * (i % 4 == 0) + ["everyone"] * (i % 5 == 0)
+        vector = [0.0] * 8 if i in (51, 70) else [float(x) for x in v]
+        rows.append((i, vector, None if i == 9 else f"card-{i}", None if i == 8 else tags, None if i == 7 else aliases))
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>, name string, tags array<string>, aliases array<string>")
+    monkeypatch.setattr(sm, "RARE_KEY", rare)
+    monkeypatch.setattr(sm, "CELL_ROWS", 12)
+    got = sm.similar_pairs(df, threshold, block_rows=17).collect()
+    wanted = boosted(rows, threshold)
+    assert {(r["a"], r["b"]): round(r["boost"], 2) for r in got} == wanted and len(got) == len(wanted)
+    assert (6, 51) in wanted
+
+
+def test_one_card_with_many_tags_does_not_widen_the_search(spark, monkeypatch):
+    """Its tags are its own: the homes that cards visit are the same with and without them."""
+    vectors, seen = clustered(300), []
+    real = sm._visits
+    monkeypatch.setattr(sm, "_visits", lambda pivots, homes, threshold: seen.append(len(homes)) or real(pivots, homes, threshold))
+    monkeypatch.setattr(sm, "CELL_ROWS", 12)
+    plain = {tuple(r) for r in sm.similar_pairs(cards(spark, vectors), 0.95).select("a", "b").collect()}
+    rich = {tuple(r) for r in sm.similar_pairs(cards(spark, vectors, tags={0: [f"t{k}" for k in range(40)]}), 0.95).select("a", "b").collect()}
+    assert plain == rich and seen[0] == seen[1]
+
+
+def test_pairs_of_no_cards_and_of_zero_vectors(spark):
+    assert sm.similar_pairs(cards(spark, []), 0.5).count() == 0
+    assert sm.similar_pairs(cards(spark, [[0.0, 0.0], [0.0, 0.0]]), 0.5).count() == 0
+    assert sm.similar_pairs(cards(spark, [[0.0, 0.0], [0.0, 0.0]], tags={0: ["a"], 1: ["A"]}), 0.05).count() == 1
+
+
+def test_stubs_and_empty_cards_are_left_out(spark):
+    df = spark.createDataFrame([(1, "draft", "text"), (2, "stub", "text"), (3, None, "text"), (4, "draft", " \n"), (5, "draft", None)], "id int, status string, text string")
+    assert [r["id"] for r in sm.analysed_cards(df).collect()] == [1]
