@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import SparkSession, functions as F
 
+from .text import fold_case_sql
+
 
 def register(spark: SparkSession) -> None:
     from ..operators.claims import blocks_sql
@@ -36,5 +38,5 @@ def register(spark: SparkSession) -> None:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL helpers of the graph browser: case folding as a SQL function of one text argument."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ulower(s STRING) RETURNS STRING RETURN replace(replace(lower(s), 'ß', 'ss'), 'ς', 'σ')")
+    """SQL helpers of the graph browser: full case folding as a SQL function of one text argument."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ulower(s STRING) RETURNS STRING RETURN {fold_case_sql('s')}")

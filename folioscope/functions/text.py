@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# Full case folding beyond `lower`, and the diacritics the search
-# tokenizer folds. The DuckDB oracles repeat the second table.
-FOLD_SPECIAL = (("ß", "ss"), ("ς", "σ"), ("ŉ", "ʼn"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"),
-                ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+# The diacritics the search tokenizer folds. The DuckDB oracles repeat them.
 DIACRITICS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -43,12 +42,30 @@ def word_count(col: Column) -> Column:
     return F.size(words(col))
 
 
+@cache
+def folding() -> dict[str, str]:
+    """Characters whose full case folding is not their lower case, by the Unicode tables at hand."""
+    letters = map(chr, range(sys.maxunicode + 1))
+    return {c: c.casefold() for c in letters if c.casefold() != c.lower()}
+
+
+def _folds_apart() -> str:
+    """Character class of texts that `lower` alone does not fold. A capital sigma may lower to its final form."""
+    return "[Σ" + "".join(folding()) + "]"
+
+
 def fold_case(col: Column) -> Column:
-    """Case folding: `lower` plus the letters where folding differs."""
-    folded = F.lower(col)
-    for letter, replacement in FOLD_SPECIAL:
-        folded = F.replace(folded, F.lit(letter), F.lit(replacement))
-    return folded
+    """Full case folding. Texts without a letter that folds apart from its lower case take the short way."""
+    table = F.create_map(*[F.lit(x) for pair in folding().items() for x in pair])
+    by_letter = F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
+    return F.when(col.rlike(_folds_apart()), F.array_join(by_letter, "")).otherwise(F.lower(col))
+
+
+def fold_case_sql(text: str) -> str:
+    """`fold_case` as an SQL expression."""
+    table = ", ".join(f"'{c}', '{folded}'" for c, folded in folding().items())
+    by_letter = f"transform(split({text}, ''), c -> coalesce(try_element_at(map({table}), c), lower(c)))"
+    return f"if({text} rlike '{_folds_apart()}', array_join({by_letter}, ''), lower({text}))"
 
 
 def slug_uncapped(col: Column) -> Column:

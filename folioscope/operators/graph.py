@@ -8,8 +8,10 @@ claims(id, doc_id, text, status), evidence(claim_id, source_type, source, quote)
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import markup as md, text as tx, vocab
@@ -294,18 +296,38 @@ def subtree(collections: DataFrame, name: str | None = None, root_id: int | None
     return found.withColumn("roots", F.lit(roots))
 
 
-WRITES = re.compile(r"^[\s:+\-!*()\d]*'?\w*(Statement|Command|InsertInto|CreateTable|CreateView|DropTable|DropView|AlterTable|"
-                    r"DeleteFrom|UpdateTable|MergeInto|ReplaceTable|SetCatalog|CacheTable|Truncate)\w*\b", re.M)
+# Classes of parsed statements that are no queries.
+NO_QUERY = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+# Functions that call arbitrary JVM code.
+CALLS_OUT = ("reflect", "java_method", "try_reflect")
 
 
 def read_only_sql(spark: SparkSession, tables: dict[str, DataFrame], query: str) -> DataFrame:
-    """User SQL over the graph tables. Anything but a query is refused before it runs."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query).toString()
-    if WRITES.search(plan):
+    """User SQL over the graph tables. Anything but a query is refused before it runs.
+
+    The text must parse by itself, its root must be no statement, and it runs
+    as a subquery, where the grammar admits queries only. Tables are visible to
+    it alone: they stand under names of their own while it is analysed, so the
+    session's views of the same names stay as they are and do not show through.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except ParseException as error:
+        raise ValueError("no valid SQL") from error
+    kinds = [spark._jvm.java.lang.Class.forName(name) for name in NO_QUERY]
+    if any(kind.isInstance(plan) for kind in kinds) or re.search(rf"'({'|'.join(CALLS_OUT)})\(", plan.toString(), re.I):
         raise ValueError("only queries are allowed here")
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query)
+    names = {name: f"{name}_{uuid.uuid4().hex}" for name in tables}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(names[name])
+        given = ", ".join(f"`{name}` AS (SELECT * FROM `{view}`)" for name, view in names.items())
+        return spark.sql(f"WITH {given} SELECT * FROM (\n{query.strip().rstrip(';')}\n)")
+    except ParseException as error:
+        raise ValueError("only queries are allowed here") from error
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
 
 
 def repair_links(docs: DataFrame, cards: DataFrame, files: DataFrame, text: str = "text") -> DataFrame:

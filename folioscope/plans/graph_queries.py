@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import identifiers as ids, text as tx
 from ..operators import graph as gr, radar as rd
+from ..sources import sinks
+from ..streaming.jobs import new_root
 from .registry import query
 from .tables import Tables
 
@@ -143,6 +146,23 @@ def built_graph(t: Tables) -> DataFrame:
         .unionByName(graph["edges"].groupBy("type").agg(F.count("*").alias("n")).select(F.lit("edges").alias("tab"), "type", "n"))
 
 
+@query("S15", "SELECT id AS source, title AS target, type FROM node_rows UNION ALL SELECT source_id, target_id, type FROM edge_rows")
+def graph_across_failed_rebuild(t: Tables) -> DataFrame:
+    """The newest whole version is read: a rebuild that fails in its last table leaves the one before it."""
+    root = new_root(t.spark, "graph")
+    sinks.publish({"nodes": t.nodes.limit(0), "edges": t.edge_rows.limit(0)}, root)
+    sinks.publish({"nodes": t.nodes, "edges": t.edge_rows}, root)
+    try:  # a column named twice cannot be written
+        sinks.publish({"nodes": t.nodes.withColumn("title", F.lit("half done")), "edges": t.edge_rows.select("*", "type")}, root)
+        raise AssertionError("the third rebuild has to fail")
+    except AnalysisException as error:
+        if error.getCondition() != "COLUMN_ALREADY_EXISTS":
+            raise
+    held = sinks.published(t.spark, root, ["nodes", "edges"])
+    return held["nodes"].select(F.col("id").alias("source"), F.col("title").alias("target"), "type") \
+        .unionByName(held["edges"].select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type"))
+
+
 @query("F29", "SELECT max(us) AS newest_us, CASE WHEN max(us) > 1706400000000000 THEN 'stale' ELSE 'fresh' END AS state FROM ev")
 def graph_staleness(t: Tables) -> DataFrame:
     return gr.stale(t.ev.select(F.timestamp_micros("us").alias("mtime")), "2024-01-28 00:00:00").select(F.unix_micros("newest").alias("newest_us"), "state")

@@ -129,3 +129,17 @@ def test_retarget(spark):
     docs = spark.createDataFrame([("notes/a.md", "[x](../plans/i.md) [y](b.md) [z](https://e.org)"), ("plans/i.md", "[back](../notes/a.md)"), ("notes/b.md", "[s](a.md)")], "path string, text string")
     got = {(r["file"], r["old"], r["new"]) for r in co.retarget_links(docs, [("plans", "drafts/plans"), ("notes/b.md", "drafts/b.md")]).collect()}
     assert got == {("notes/a.md", "../plans/i.md", "../drafts/plans/i.md"), ("notes/a.md", "b.md", "../drafts/b.md"), ("plans/i.md", "../notes/a.md", "../../notes/a.md"), ("notes/b.md", "a.md", "../notes/a.md")}
+
+
+def test_containment_of_names_equals_all_pairs(spark):
+    """Names short and long, inside slugs and around them, repeated, empty, with common openings."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 7)))
+    slugs = {"-".join(word() for _ in range(rng.randrange(2, 6))) for _ in range(60)} | {"abababababab"}
+    slugs = {s for s in slugs if len(s) >= qu.GRAM}
+    names = [("-".join(word() for _ in range(rng.randrange(1, 7))), f"raw/{i}") for i in range(90)]
+    names += [("", "raw/none")] + [(s[2:-1], f"raw/part-{s}") for s in list(sorted(slugs))[:20]] + [("x-" + s + "-y", f"raw/around-{s}") for s in list(sorted(slugs))[::2]]
+    held = spark.createDataFrame(names, "bare string, path string").groupBy("bare").agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    got = {r["slug"]: (r["matches"], r["path"]) for r in qu._contained(spark.createDataFrame([(s,) for s in slugs], "slug string"), held).collect()}
+    hits = {s: [p for n, p in names if n in s or s in n] for s in slugs}
+    assert got == {s: (len(h), min(h)) for s, h in hits.items() if h}

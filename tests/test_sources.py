@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.functions import tables
+from folioscope.functions import tables, text as tx
 from folioscope.operators import graph as gr, retrieval as rt
 from folioscope.sources import notes as sn, readers as rd, search_index as si, sinks as sk
 
@@ -238,3 +238,48 @@ def test_paths_are_relative_to_roots_of_any_store(spark, root, path, want):
 
 def test_corpus_by_uri(spark, root):
     assert sorted(r[0] for r in rd.corpus(spark, f"file://{root}").select("path").collect()) == sorted(r[0] for r in rd.corpus(spark, root).select("path").collect())
+
+
+def test_user_sql_leaves_the_session_alone_and_runs_queries_only(spark):
+    spark.range(7).createOrReplaceTempView("nodes")
+    try:
+        own = {"nodes": spark.createDataFrame([("a",)], "id string"), "tags": spark.createDataFrame([("a", "ΟΔΟΣ"), ("a", "Straße"), ("b", None)], "node_id string, tag string")}
+        tables = lambda: {v.name for v in spark.catalog.listTables()}
+        before = tables()
+        run = lambda q: gr.read_only_sql(spark, own, q)
+        assert run("SELECT count(*) AS n FROM nodes -- all").first()[0] == 1
+        assert [r[0] for r in run("SELECT node_id FROM tags ORDER BY node_id DESC, tag;").collect()] == ["b", "a", "a"]
+        assert run("WITH nodes AS (SELECT 5 AS x) SELECT x FROM nodes").first()[0] == 5
+        assert run("VALUES (1), (2)").count() == 2
+        bad = ("DROP VIEW nodes", "INSERT INTO nodes SELECT * FROM nodes", "WITH t AS (SELECT 1) INSERT INTO nodes SELECT * FROM t", "FROM tags INSERT INTO nodes SELECT node_id",
+               "CREATE TABLE x AS SELECT 1", "SET a = b", "CACHE TABLE nodes", "EXPLAIN SELECT 1", "not sql", "SELECT 1) UNION (SELECT 2", "SELECT 1; SELECT 2", "SELECT java_method('java.lang.System', 'nanoTime')",
+               "SELECT REFLECT('java.lang.System', 'nanoTime')", "")
+        for query in bad:
+            with pytest.raises(ValueError):
+                run(query)
+        assert tables() == before and spark.table("nodes").count() == 7
+        # A name of a statement in a text is no statement.
+        assert run("SELECT 'InsertInto (Command)' AS s").count() == 1
+    finally:
+        spark.catalog.dropTempView("nodes")
+
+
+def test_case_folding_is_that_of_the_unicode_tables(spark):
+    from folioscope.functions.tables import register_functions
+    register_functions(spark)
+    words = ["ΟΔΟΣ", "Straße", "ŉ", "ﬃ", "İI", "Néel", "Ω-Background", "ᏸꭰ", "😀ẞ𐐀", "", "plain", "ϐϑ", "a\nB", None]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(tx.fold_case(F.col("w")).alias("f"), F.expr("ulower(w)").alias("s")).collect()
+    wanted = [w.casefold() if w is not None else None for w in words]
+    assert [r["f"] for r in got] == wanted and [r["s"] for r in got] == wanted
+
+
+def test_versions_are_numbered_and_all_tables_are_of_one(spark, tmp_path):
+    root = str(tmp_path / "graph")
+    with pytest.raises(LookupError):
+        sk.published(spark, root, ["nodes"])
+    for n in (3, 5):
+        sk.publish({"nodes": spark.range(n), "edges": spark.range(n * 2)}, root)
+    held = sk.published(spark, root, ["nodes", "edges"])
+    sk.publish({"nodes": spark.range(1), "edges": spark.range(1)}, root)
+    assert (held["nodes"].count(), held["edges"].count()) == (5, 10)
+    assert sk.published(spark, root, ["edges"])["edges"].count() == 1
