@@ -190,8 +190,12 @@ def _passing(left: pd.DataFrame, right: pd.DataFrame, once: np.ndarray, threshol
     ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
     x, y = np.nonzero(once & (np.minimum(1.0, cosine + boost) >= threshold))
     swap = ids_a[x] > ids_b[y]
-    return pd.DataFrame({"a": np.where(swap, ids_b[y], ids_a[x]), "b": np.where(swap, ids_a[x], ids_b[y]),
-                         "cosine": cosine[x, y], "boost": boost[x, y]})
+    return pd.DataFrame({"a": np.where(swap, ids_b[y], ids_a[x]), "b": np.where(swap, ids_a[x], ids_b[y]), "cosine": cosine[x, y], "boost": boost[x, y],
+                         "pairs": left["copies"].to_numpy()[x] * right["copies"].to_numpy()[y]})
+
+
+def _no_pairs() -> pd.DataFrame:
+    return pd.DataFrame({"a": [], "b": [], "cosine": [], "boost": [], "pairs": []})
 
 
 def _boost_keys(base: DataFrame) -> DataFrame:
@@ -209,14 +213,14 @@ def _pairs_on_rare_keys(base: DataFrame, keys: DataFrame, threshold: float) -> D
     rows = rare.withColumn("bucket", F.pmod(F.xxhash64("space", "value"), F.lit(buckets))).join(base, "id")
 
     def compare(bucket: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"a": [], "b": [], "cosine": [], "boost": []})]
+        found = [_no_pairs()]
         for _, holders in bucket.groupby(["space", "value"], sort=False):
             ids = holders["id"].to_numpy()
             found.append(_passing(holders, holders, ids[:, None] < ids[None, :], threshold, True))
         return pd.concat([f for f in found if len(f)] or found[:1])
 
     kind = dict(base.dtypes)["id"]
-    return rows.groupBy("bucket").applyInPandas(compare, f"a {kind}, b {kind}, cosine double, boost double")
+    return rows.groupBy("bucket").applyInPandas(compare, f"a {kind}, b {kind}, cosine double, boost double, pairs long")
 
 
 def similar_pairs(cards: DataFrame, threshold: float = LINK, boosts: bool = True, pivots: int = PIVOTS,
@@ -233,12 +237,18 @@ def similar_pairs(cards: DataFrame, threshold: float = LINK, boosts: bool = True
     (tags in common use, or an alias collision's worth), so it is searched at
     that angle: cards without common keys go at the full threshold.
     """
+    pairs = _search(cards.withColumn("copies", F.lit(1).cast("long")), threshold, boosts, pivots, block_rows)
+    return pairs.select("a", "b", "cosine", F.least(F.lit(1.0), F.col("cosine") + F.col("boost")).alias("score"), "boost")
+
+
+def _search(cards: DataFrame, threshold: float, boosts: bool, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a, b, cosine, boost and the product of both cards' `copies`."""
     base = cards.filter(F.col("embedding").isNotNull())
     none = F.array().cast("array<string>")
     if boosts:
         lowered = lambda c: F.array_compact(F.array_distinct(F.transform(F.coalesce(F.col(c), none), lambda x: F.lower(x))))
         title = F.array_compact(F.array(F.lower(F.regexp_replace(F.col("name"), "[-_]", " "))))
-        base = base.select("id", "embedding", lowered("tags").alias("tags"), lowered("aliases").alias("aliases"), title.alias("title"))
+        base = base.select("id", "copies", "embedding", lowered("tags").alias("tags"), lowered("aliases").alias("aliases"), title.alias("title"))
         keys = cut_lineage(_boost_keys(base))
         worth = F.greatest(F.sum(F.when(F.col("space") == "tag", 1).otherwise(0)),
                            F.max(F.when(F.col("space") == "name", round(ALIAS_BOOST / TAG_BOOST)).otherwise(0)))
@@ -247,7 +257,7 @@ def similar_pairs(cards: DataFrame, threshold: float = LINK, boosts: bool = True
         levels = keys.filter("hot").groupBy("id").agg(F.least(worth, F.lit(most)).cast("int").alias("level"))
         base = base.join(levels, "id", "left").na.fill(0, ["level"])
     else:
-        base = base.select("id", "embedding", none.alias("tags"), none.alias("aliases"), none.alias("title"), F.lit(0).alias("level"))
+        base = base.select("id", "copies", "embedding", none.alias("tags"), none.alias("aliases"), none.alias("title"), F.lit(0).alias("level"))
     centres = _pivots(base, max(1, min(pivots, -(-base.count() // CELL_ROWS))))
     placed = cut_lineage(base.withColumn("_p", _placing(centres)("embedding")).select("*", "_p.cell", "_p.near").drop("_p"))
     # At most (pivots + 1) * (most + 1) rows, whatever the input.
@@ -258,7 +268,7 @@ def similar_pairs(cards: DataFrame, threshold: float = LINK, boosts: bool = True
               for h in homes.itertuples()]
     plan = F.broadcast(cards.sparkSession.createDataFrame(blocks, "at int, cell int, level int, nh int, nv int"))
     spread = F.abs(F.xxhash64("id"))
-    row = ["id", "cell", "embedding", "tags", "aliases", "title"]
+    row = ["id", "copies", "cell", "embedding", "tags", "aliases", "title"]
     home = placed.join(plan, ["cell", "level"]).withColumn("h", (spread % F.col("nh")).cast("int")) \
         .withColumn("v", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))).select("at", "h", "v", *row)
     visit = reached.join(plan.drop("cell", "level"), "at").withColumn("v", (spread % F.col("nv")).cast("int")) \
@@ -267,17 +277,17 @@ def similar_pairs(cards: DataFrame, threshold: float = LINK, boosts: bool = True
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         left, right = block[block["side"] == 0], block[block["side"] == 1]
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "cosine": [], "boost": []})
+            return _no_pairs()
         cells_a, cells_b = left["cell"].to_numpy()[:, None], right["cell"].to_numpy()[None, :]
         once = (cells_b > cells_a) | ((cells_b == cells_a) & (left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :]))
         return _passing(left, right, once, threshold, boosts)
 
     kind = dict(cards.dtypes)["id"]
     both = home.withColumn("side", F.lit(0)).unionByName(visit.withColumn("side", F.lit(1)))
-    pairs = both.groupBy("at", "h", "v").applyInPandas(compare, f"a {kind}, b {kind}, cosine double, boost double")
+    pairs = both.groupBy("at", "h", "v").applyInPandas(compare, f"a {kind}, b {kind}, cosine double, boost double, pairs long")
     if boosts:
         pairs = pairs.unionByName(_pairs_on_rare_keys(base.drop("level"), keys, threshold)).dropDuplicates(["a", "b"])
-    return pairs.select("a", "b", "cosine", F.least(F.lit(1.0), F.col("cosine") + F.col("boost")).alias("score"), "boost")
+    return pairs
 
 
 def similar_groups(cards: DataFrame, threshold: float = LINK, **options) -> DataFrame:
@@ -286,12 +296,7 @@ def similar_groups(cards: DataFrame, threshold: float = LINK, **options) -> Data
     Lossless and not quadratic in the copies; `distinct_cards` names each one's members.
     """
     reps, _ = distinct_cards(cards)
-    sizes = reps.select(F.col("rep").alias("id"), "copies")
-    between = similar_pairs(reps.select(F.col("rep").alias("id"), "embedding"), threshold, boosts=False, **options)
-    pairs = between.select("a", "b", "cosine") \
-        .join(sizes.select(F.col("id").alias("a"), F.col("copies").alias("_ca")), "a") \
-        .join(sizes.select(F.col("id").alias("b"), F.col("copies").alias("_cb")), "b") \
-        .select("a", "b", "cosine", (F.col("_ca") * F.col("_cb")).alias("pairs"))
+    pairs = _search(reps.select(F.col("rep").alias("id"), "copies", "embedding"), threshold, False, **options).select("a", "b", "cosine", "pairs")
     nonzero = F.exists(F.col("embedding"), lambda x: x != 0)
     own = reps.filter((F.col("copies") > 1) & nonzero).select(
         F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine"),

@@ -246,6 +246,26 @@ def synthesis_issues(t: Tables) -> DataFrame:
     return qu.synthesis_issues(docs, _files(t)).select("path", F.concat_ws("|", "issue", F.col("n").cast("string")).alias("issue"))
 
 
+# Lines of whole texts stand as paragraphs; a hidden copy follows, and every second text cites a page that is none.
+SYNTHESIS = r"""c AS (SELECT path, title, sources_csv, doc_id % 2 = 0 AS cites, replace(d.text, chr(10), chr(10) || chr(10)) AS text FROM card_rows c JOIN documents d USING (doc_id) WHERE path LIKE 'wiki/%' AND d.text IS NOT NULL),
+para AS (SELECT path, regexp_replace(unnest(regexp_split_to_array(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '\n\n+')), '^\s+|\s+$', '', 'g') AS p FROM c),
+bare AS (SELECT path, count(*) AS n FROM para WHERE length(p) >= 50 AND NOT regexp_matches(p, '^(#|\||>|- |\* )') AND NOT (contains(p, '$$') OR contains(p, '\begin{') OR contains(p, '\int') OR contains(p, '\sum')) AND NOT contains(p, '[[') AND NOT contains(p, '](')
+  AND regexp_replace(lower(regexp_extract(p, '^\S*')), '^[.,:;()]+|[.,:;()]+$', '', 'g') NOT IN (DERIVATION) GROUP BY path),
+lost AS (SELECT path, count(*) AS n FROM (SELECT path, unnest(string_split(sources_csv, ';')) AS s FROM c) WHERE s <> '' AND s NOT LIKE 'http%' AND s NOT IN (SELECT path FROM card_rows) GROUP BY path)
+SELECT path, 'missing title|1' AS issue FROM c WHERE title = '' UNION ALL SELECT path, 'no heading|1' FROM c WHERE NOT regexp_matches(text, '(^|\n)# ') UNION ALL SELECT path, CASE WHEN cites THEN 'dangling links|1' ELSE 'no citations|1' END FROM c
+UNION ALL SELECT path, 'missing sources|' || CAST(n AS STRING) FROM lost UNION ALL SELECT path, 'uncited paragraphs|' || CAST(n AS STRING) FROM bare"""
+
+
+@query("Q16", "WITH " + SYNTHESIS.replace("DERIVATION", ", ".join(f"'{w}'" for w in qu.DERIVATION_WORDS)))
+def synthesis_of_texts(t: Tables) -> DataFrame:
+    """Whole texts as syntheses; what a comment hides counts for nothing."""
+    paragraphs = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    cited = F.when(F.col("doc_id") % 2 == 0, "\n\nSee [[no such page]].").otherwise("")
+    text = t.documents.filter("text IS NOT NULL").select("doc_id", F.concat(paragraphs, cited, F.lit("\n\n<!-- "), F.replace(paragraphs, F.lit("--"), F.lit("")), F.lit(" -->")).alias("body"))
+    docs = t.cards.filter(F.col("path").startswith("wiki/")).drop("body").join(text, "doc_id").withColumn("type", F.lit(""))
+    return qu.synthesis_issues(docs, _files(t)).select("path", F.concat_ws("|", "issue", F.col("n").cast("string")).alias("issue"))
+
+
 @query("J26", """WITH p AS (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS para FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)),
 h AS (SELECT doc_id, count(*) AS n FROM p WHERE regexp_matches(para, '(?i)(^|[^A-Za-z0-9_])(nicht|elle)($|[^A-Za-z0-9_])') GROUP BY doc_id) SELECT doc_id FROM h""")
 def concept_context(t: Tables) -> DataFrame:
