@@ -143,3 +143,15 @@ def test_containment_of_names_equals_all_pairs(spark):
     got = {r["slug"]: (r["matches"], r["path"]) for r in qu._contained(spark.createDataFrame([(s,) for s in slugs], "slug string"), held).collect()}
     hits = {s: [p for n, p in names if n in s or s in n] for s in slugs}
     assert got == {s: (len(h), min(h)) for s, h in hits.items() if h}
+
+
+def test_gaps_of_many_neighbours_broadcast_nothing(spark):
+    """Neighbours from lists are many more than Spark takes them for."""
+    own = spark.range(40).select(F.col("id").alias("paper_id"))
+    near = own.select("paper_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("candidate_id")).select("*", F.col("candidate_id").alias("pos"), F.lit(2020).alias("year"))
+    citations = near.filter("pos % 5 = 0").select("paper_id", F.col("candidate_id").alias("citing_id"))
+    references = own.select("paper_id", F.explode(F.array(F.col("paper_id") % 3, F.col("paper_id") % 4 + 10)).alias("cited_id")).withColumn("cited_title", F.lit(" t "))
+    gaps = rd.citation_gaps(own, near.filter("paper_id <> candidate_id"), citations, references, 2018, min_shared=2)
+    assert "Broadcast" not in gaps._jdf.queryExecution().executedPlan().toString()
+    wanted = {(a, b, 2) for a in range(40) for b in range(40) if a != b and b % 5 and a % 3 == b % 3 and a % 4 == b % 4}
+    assert {(r.paper_id, r.candidate_id, r.shared) for r in gaps.collect()} == wanted
