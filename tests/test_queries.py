@@ -59,3 +59,18 @@ def test_operators_are_given_whole_texts(spark, monkeypatch, query, module, oper
     left_out = {3} if query == "link_repairs" else set()  # raw papers
     texts = [r.text for r in spark.read.parquet(f"{root}/documents.parquet").collect() if r.doc_id % 5 not in left_out and len(r.text or "") > 300]
     assert texts and all(any(t in g for g in got) for t in texts)
+
+
+@pytest.mark.parametrize("name", ["gap_groups", "kept_citation_gaps", "shared_references"])
+def test_papers_have_works_in_common(spark, tmp_path, name):
+    """Papers that cite different parts of one kind share them, as the SQL says."""
+    spark.createDataFrame([(k,) for k in (1, 2, 1328)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(1, 7), (1, 508), (2, 507), (2, 8), (114, 7), (114, 8), (13 + 2 * 101, 1007), (13 + 2 * 101, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = catalog()[name](spark, str(tmp_path))
+    rel = con.execute(catalog()[name].oracle)
+    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    assert got == rows_of([d[0] for d in rel.description], rel.fetchall()) and got[1]
