@@ -90,10 +90,13 @@ def library_stats(chunks: DataFrame) -> DataFrame:
 
 
 def postings_scores(index: DataFrame, stats: DataFrame, query: str) -> DataFrame:
-    """The same scores from the postings table; the term filter reaches its scan."""
+    """The same scores from the postings table, of which the query's terms are read once."""
     spark = index.sparkSession
-    found = []
-    for number, phrase in enumerate(query_phrases(spark, query)):
+    phrases, found = query_phrases(spark, query), []
+    if phrases:
+        # Every phrase and the statistics read these rows; postings made on the fly would be made again for each.
+        index = cut_lineage(index.filter(F.col("term").isin(sorted({t for p in phrases for t in p}))))
+    for number, phrase in enumerate(phrases):
         first = index.filter(F.col("term") == phrase[0]).select("library", "id", "dl", "positions")
         for offset, term in enumerate(phrase[1:], 1):
             nxt = index.filter(F.col("term") == term).select(

@@ -86,6 +86,20 @@ def test_empty_result_keeps_the_last(spark, tmp_path):
     assert spark.read.json(path).count() == 2
 
 
+def test_postings_are_made_once_for_a_query(spark):
+    seen = spark.sparkContext.accumulator(0)
+    chunks = spark.createDataFrame([(i, "lib", "the red ring it's" if i % 2 else "it's a bolt") for i in range(6)], "id bigint, library string, content string")
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    index = rt.postings(chunks.select("id", "library", read("content").alias("content")))
+    got = {r.id for r in rt.postings_scores(index, rt.library_stats(chunks), "it's red ring none").collect()}
+    assert got == set(range(6)) and seen.value == 6
+
+
 INDEXED = "id bigint, library string, collection string, path string, heading string, start_line int, end_line int, content string"
 
 
