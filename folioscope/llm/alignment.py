@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: groups and links between two tokenizers' ids of one text.
 
-Both tokenizers read a text; ids become bytes, and each id list has a dictionary
-from the byte offset where a token ends to its index. Offsets that are keys of
-both dictionaries, sorted, slice the two id lists into groups; within a slice
+Both tokenizers read a text; ids become bytes, and each id list has the sorted
+byte offsets where its tokens end. Offsets that both have slice the two id lists
+into groups; within a slice
 every two tokens whose byte ranges overlap are linked. A pair of linked ids is
 counted in the documents that hold it, over the whole corpus.
 
@@ -25,7 +25,6 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -76,16 +75,17 @@ class Aligner:
 
     def __init__(self, spelled_a: list[bytes], spelled_b: list[bytes]) -> None:
         self.long_a, self.long_b = list(map(len, spelled_a)), list(map(len, spelled_b))
+        self.size_a, self.size_b = np.array(self.long_a, np.int64), np.array(self.long_b, np.int64)
         self.said_a, self.said_b = [str(i) for i in range(len(spelled_a))], [str(i) for i in range(len(spelled_b))]
         self.bar_b = [f"|{i}" for i in range(len(spelled_b))]
 
-    def slices(self, a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
+    def slices(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of both lists up to each offset where tokens of both end."""
-        at_a = dict(zip(accumulate(map(self.long_a.__getitem__, a)), range(1, len(a) + 1)))
-        at_b = dict(zip(accumulate(map(self.long_b.__getitem__, b)), range(1, len(b) + 1)))
-        # Ends were put in as they grow, so what the dictionaries share comes out sorted.
-        common = list(filter(at_b.__contains__, at_a))
-        return zip(map(at_a.__getitem__, common), map(at_b.__getitem__, common))
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        # Both lists spell the same bytes, so an end of the first has one of the second at or after it.
+        at = np.searchsorted(ends_b, ends_a)
+        common = np.flatnonzero(ends_b[at] == ends_a)
+        return common + 1, at[common] + 1
 
     def overlaps(self, a: list[int], b: list[int]) -> Iterator[int]:
         """Keys of a slice's tokens whose byte ranges overlap, in text order."""
@@ -102,31 +102,34 @@ class Aligner:
                 j += 1
                 end_b += self.long_b[b[j]]
 
-    def read(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
+    def read(self, a: list[int], b: list[int]) -> tuple[list[str], np.ndarray]:
         """Each group as text, and the keys of all links."""
-        said, keys, i, j = [], [], 0, 0
-        say, link, said_a, said_b, bar_b = said.append, keys.append, self.said_a, self.said_b, self.bar_b
-        for p, q in self.slices(a, b):
-            x, y = a[i], b[j]
-            if p - i == 1 == q - j:  # one token each
-                link(x * SECOND + y)
-                say(said_a[x] + bar_b[y])
+        if not a:
+            return [], np.zeros(0, np.int64)
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        p, q = self.slices(ids_a, ids_b)
+        i, j = np.concatenate([[0], p[:-1]]), np.concatenate([[0], q[:-1]])
+        x, y = ids_a[i], ids_b[j]
+        several = (p - i > 1) | (q - j > 1)
+        said_a, said_b = self.said_a, self.said_b
+        # Most groups are one token each; the others are said and linked over.
+        said = [said_a[m] + n for m, n in zip(x.tolist(), map(self.bar_b.__getitem__, y.tolist()))]
+        keys: list[int] = []
+        for g, f, t, u, v in zip(*(c[several].tolist() for c in (np.arange(len(p)), i, p, j, q))):
+            own_a, own_b = a[f:t], b[u:v]
+            if t - f == 1:  # a single token overlaps all of the other side
+                keys += [own_a[0] * SECOND + z for z in own_b]
+            elif v - u == 1:
+                keys += [z * SECOND + own_b[0] for z in own_a]
             else:
-                own_a, own_b = a[i:p], b[j:q]
-                if p - i == 1:  # a single token overlaps all of the other side
-                    keys += [x * SECOND + z for z in own_b]
-                elif q - j == 1:
-                    keys += [z * SECOND + y for z in own_a]
-                else:
-                    keys += self.overlaps(own_a, own_b)
-                say(",".join([said_a[z] for z in own_a]) + "|" + ",".join([said_b[z] for z in own_b]))
-            i, j = p, q
-        return said, keys
-
-
-def packed(keys: list[int]) -> bytes:
+                keys += self.overlaps(own_a, own_b)
+            said[g] = ",".join([said_a[z] for z in own_a]) + "|" + ",".join([said_b[z] for z in own_b])
+        return said, np.concatenate([(x * SECOND + y)[~several], np.array(keys, np.int64)])
+
+
+def packed(keys: np.ndarray) -> bytes:
     """Distinct keys as differences, then their multiplicities."""
-    own, times = np.unique(np.array(keys, np.int64), return_counts=True)
+    own, times = np.unique(keys, return_counts=True)
     return zlib.compress(np.diff(own, prepend=0).astype("<u8").tobytes() + times.astype("<u4").tobytes(), 1)
 
 

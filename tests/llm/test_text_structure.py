@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +224,15 @@ def test_conversations_without_rows_are_reported(spark):
     df = spark.createDataFrame([(1, 0, "user", "a."), (2, 0, "user", "b.")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: tuple(r)[1:] for r in repair.repair_figures(df, df.where("conv_id = 1")).collect()}
     assert got[2] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()) and got[1][5:7] == (2, "KI")
+
+
+def test_slices_of_id_lists_are_arrays():
+    """Groups of one token each come out of array work; the others are said and linked one by one."""
+    aligner = alignment.Aligner([b"", b"a", b"bc", b"def"], [b"", b"ab", b"c", b"de", b"f"])
+    p, q = aligner.slices(np.array([1, 2, 3, 1, 2]), np.array([1, 2, 3, 4, 1, 2]))
+    assert (p.tolist(), q.tolist()) == ([2, 3, 5], [2, 4, 6])
+    said, keys = aligner.read([1, 2, 3, 1, 2], [1, 2, 3, 4, 1, 2])
+    links = [(1, 1), (2, 1), (2, 2), (3, 3), (3, 4), (1, 1), (2, 1), (2, 2)]
+    assert said == ["1,2|1,2", "3|3,4", "1,2|1,2"] and sorted(keys.tolist()) == sorted(a * alignment.SECOND + b for a, b in links)
+    said, keys = aligner.read([], [])
+    assert said == [] and keys.tolist() == []
