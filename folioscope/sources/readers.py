@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 from collections.abc import Iterator
 
@@ -31,11 +32,25 @@ CARD_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField
                               T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("body", T.StringType())])
 
 
-def corpus(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """Markdown files below `root`: path (relative), text, mtime, hash, collection."""
-    raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root.rstrip("/"))
-    rel = relative_to(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), root)
-    files = raw.select(rel.alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
+#: Characters of a JSON string; the parser's own limit is 20 million.
+LONGEST_TEXT = (1 << 31) - 1
+
+
+def corpus(spark: SparkSession, root: str, pattern: str = "*.md", bundled: bool = False) -> DataFrame:
+    """Markdown files below `root`: path (relative), text, mtime, hash, collection.
+
+    Stored one by one, or `bundled` as `sinks.write_corpus` does: every file
+    passes as a row and none as a status through the driver, so that a corpus of
+    millions can be read. `pattern` is matched with the names inside the bundles.
+    """
+    mtime = F.col("_metadata.file_modification_time").alias("mtime")
+    if bundled:
+        raw = spark.read.schema("path string, text string").option("recursiveFileLookup", True).option("maxStringLen", LONGEST_TEXT).json(root.rstrip("/"))
+        files = raw.select("path", "text", mtime).filter(md.basename(F.col("path")).rlike("^" + fnmatch.translate(pattern)))
+    else:
+        raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root.rstrip("/"))
+        rel = relative_to(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), root)
+        files = raw.select(rel.alias("path"), F.col("value").alias("text"), mtime)
     kept = (md.basename(F.col("path")) != "_index.md") & ~F.array_contains(F.split("path", "/"), ".backup")
     return files.filter(kept).withColumn("hash", tx.content_hash(F.col("text"))).withColumn("collection", collection_of(F.col("path")))
 

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import os
 import random
 
 import pytest
@@ -6,6 +8,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import tables, text as tx
 from folioscope.operators import graph as gr, retrieval as rt
+from folioscope.plans.registry import catalog
+from folioscope.session import work_dir
 from folioscope.sources import notes as sn, readers as rd, search_index as si, sinks as sk
 
 CONCEPT = "---\ntitle: Toric Code\ntags: [topology, codes]\naliases: [TC]\nskeleton: true\n---\n# Toric Code\nsee [[Anyons]] and [[toric_code]] and [[Missing Page]]\n"
@@ -33,6 +37,35 @@ def test_corpus_and_cards(spark, root):
     assert rd.file_listing(spark, root).count() == 5
 
 
+def test_bundled_corpus_is_the_corpus(spark, root, tmp_path_factory):
+    """The same files, stored one by one and as bundles, in any number of tasks."""
+    loose = rd.corpus(spark, root)
+    names = ["wiki/concepts/_index.md", "wiki/.backup/old.md", "wiki/other.txt"]
+    extra = spark.createDataFrame([(n, "x") for n in names], "path string, text string")
+    at = str(tmp_path_factory.mktemp("bundles") / "corpus")
+    sk.write_corpus(loose.select("path", F.regexp_replace("text", r"\n\z", "").alias("text")).unionByName(extra).repartition(3), at)
+    bundled = rd.corpus(spark, at, bundled=True)
+    ended = lambda df: sorted((r["path"], r["text"].rstrip("\n"), r["collection"]) for r in df.collect())
+    assert bundled.columns == loose.columns and ended(bundled) == ended(loose)
+    front = lambda df: sorted((r["path"], r["title"], tuple(r["tags"] or ()), r["pinned"]) for r in rd.cards(df).collect())
+    assert front(bundled) == front(loose)
+    assert [r["path"] for r in rd.corpus(spark, at, "*.txt", bundled=True).collect()] == ["wiki/other.txt"]
+
+
+def test_card_scan_stores_bundles(spark, tmp_path):
+    """Odd texts come back as they were, and far fewer files than documents are stored."""
+    odd = ["", "---\n", "a\r\nb\u2028c\x00\x1f", "\u00e4 \U0001f600 \\ \" {}", "x" * 70000, None]
+    rows = [(i, odd[i % len(odd)], "de", "web") for i in range(300)] + [(7, "again", "en", "web"), (-3, "minus", "en", "web")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(os.listdir(work_dir(spark)))
+    got = catalog()["card_scan"](spark, str(tmp_path)).collect()
+    digest = lambda text: hashlib.md5(((text or "") + "\n").encode()).hexdigest()
+    assert sorted((r["doc_id"], r["title"], r["tags"], r["body"]) for r in got if r["title"]) == sorted((i, f"Doc {i}", f"{lang},{source}", digest(t)) for i, t, lang, source in rows if t is not None)
+    assert sum(r["title"] is None for r in got) == 50
+    made = [d for d in set(os.listdir(work_dir(spark))) - before if d.startswith("corpus-")]
+    assert sum(len(files) for _, _, files in os.walk(os.path.join(work_dir(spark), made[0]))) < 100
+
+
 def test_posts_and_notes(spark, root):
     cards = rd.cards(rd.corpus(spark, root))
     got = [(r["seq"], r["host"], r["line"], r["via"], r["src"], r["dst"], r["field"], r["value"]) for r in sn.posts(cards).orderBy("seq").collect()]
