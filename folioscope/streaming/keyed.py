@@ -19,29 +19,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def reduced(stream: DataFrame, keys: list[str], newest: bool) -> DataFrame:
-    """The row with the smallest (or largest) seq of each key, within batches of a partition."""
+def reduced(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The row with the largest seq of each key, within batches of a partition."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ordered = part.sort_values("seq", kind="stable", ascending=not newest)
+            ordered = part.sort_values("seq", kind="stable", ascending=False)
             yield ordered[~ordered.duplicated(keys)]
 
     return stream.mapInPandas(run, stream.schema)
 
 
-class FirstSeen(StatefulProcessor):
-    """Emits a key with its smallest seq when it is new, and again if a smaller seq comes late."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seq bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        least = min(int(part["seq"].min()) for part in rows)
-        if not self.seen.exists() or least < self.seen.get()[0]:
-            self.seen.update((least,))
-            yield pd.DataFrame({"id": [key[0]], "seq": [least]})
-
-
 class Changed(StatefulProcessor):
     """Holds a key's newest seq and hash; emits the newest row when its hash is another: new, changed or deleted.
 
@@ -70,9 +57,17 @@ class Changed(StatefulProcessor):
 
 
 def first_seen(stream: DataFrame) -> DataFrame:
-    """(id, seq) of ids never met before, or met with a larger seq only."""
-    rows = reduced(stream.select("id", F.col("seq").cast("long").alias("seq")), ["id"], newest=False)
-    return _kept(rows, ["id"], FirstSeen(), "id string, seq bigint")
+    """(id, seq) of ids never met before, or met with a larger seq only; for update mode.
+
+    A streaming aggregate keeps the smallest seq of an id and the time of the
+    batch that brought it. Ids whose smallest seq is of the present batch are new,
+    or lower than before; all other ids of the batch are dropped. A replayed batch has the time it had.
+    """
+    now = F.current_timestamp()
+    rows = stream.select("id", F.col("seq").cast("long").alias("seq"), now.alias("at")).where("seq is not null")
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    least = rows.groupBy("id").agg(F.min(F.struct("seq", "at")).alias("least"))
+    return least.where(F.col("least.at") == now).select("id", "least.seq")
 
 
 def changed(stream: DataFrame, keys: list[str], digest: Column, payload: str) -> DataFrame:

@@ -1,10 +1,14 @@
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
 from folioscope.operators import radar as rd
 from folioscope.operators.similarity import hashed_embedding
-from folioscope.streaming import jobs
+from folioscope.plans.stream_queries import landed
+from folioscope.plans.tables import Tables
+from folioscope.session import work_dir
+from folioscope.streaming import jobs, keyed
 
 
 def parts(spark, tmp_path, df, n=3, order="seq"):
@@ -41,6 +45,31 @@ def test_seen_ids_stay_seen(spark, tmp_path):
     assert sorted((r["id"], r["seq"]) for r in out.read(spark).collect()) == [(f"x{i}", i) for i in range(4)]
 
 
+def test_seen_ids_need_no_python_and_a_smaller_seq_comes_again(spark, tmp_path):
+    log = spark.createDataFrame([(5, "a"), (3, "b"), (7, "a"), (2, "b"), (3, None), (5, "a"), (1, "a"), (2, "b")], "seq bigint, id string")
+    rows, at = log.collect(), str(tmp_path / "in")
+    stream = lambda: spark.readStream.schema(log.schema).parquet(at)
+    assert "Python" not in keyed.first_seen(log)._jdf.queryExecution().toString()
+    for low in (0, 2, 4, 6):
+        spark.createDataFrame(rows[low:low + 2], log.schema).coalesce(1).write.mode("append").parquet(at)
+        out = jobs.first_seen(stream(), str(tmp_path / "job"))
+    got = [(r["batch"], r["id"], r["seq"]) for r in out.read(spark).collect()]
+    assert sorted(got, key=str) == sorted([(0, "a", 5), (0, "b", 3), (1, "b", 2), (2, None, 3), (3, "a", 1)], key=str)
+
+
+def test_landed_files_follow_the_splits(spark, tmp_path):
+    """A range of rows is several files, so that no task writes a quarter of all of them."""
+    spark.range(4000).selectExpr("id as doc_id", "cast(id as string) as text").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = spark.range(0, 4000, 1, 32).select(F.col("id").alias("seq"))
+    before = set(os.listdir(work_dir(spark)))
+    stream = landed(Tables(spark, str(tmp_path)), rows, "seq")
+    made = [d for d in set(os.listdir(work_dir(spark))) - before if d.startswith("landed-")]
+    files = [f for f in os.listdir(os.path.join(work_dir(spark), made[0])) if f.endswith(".parquet")]
+    seen = []
+    jobs.run(stream, str(tmp_path / "job"), lambda df, i: seen.append(df.count()))
+    assert len(files) >= 30 and 4 <= len(seen) <= 5 and sum(seen) == 4000
+
+
 def test_spawn_alert_on_the_25th(spark, tmp_path):
     day = dt.datetime(2026, 1, 1)
     log = spark.createDataFrame([(i, "s", day) for i in range(60)], "seq bigint, session string, at timestamp")
