@@ -144,3 +144,22 @@ def test_pairs_of_no_cards_and_of_zero_vectors(spark):
 def test_stubs_and_empty_cards_are_left_out(spark):
     df = spark.createDataFrame([(1, "draft", "text"), (2, "stub", "text"), (3, None, "text"), (4, "draft", " \n"), (5, "draft", None)], "id int, status string, text string")
     assert [r["id"] for r in sm.analysed_cards(df).collect()] == [1]
+
+
+def test_small_homes_share_a_block_and_tiles_lose_no_pair(spark, monkeypatch):
+    import pandas as pd
+    assert sm._blocks(pd.DataFrame({"rows": [3, 4, 9, 1, 1, 20, 2]}), 8).tolist() == [0, 0, 1, 2, 2, 3, 4]
+    vectors = [*clustered(90), [0.0] * 8, [float("nan")] + [1.0] * 7]
+    tags = {i: [f"t{i % 4}"] * (i % 3 > 0) + ["all"] for i in range(92)}
+    aliases = {i: ["card 5"] for i in range(0, 92, 9)}
+    wide = {tuple(r) for r in sm.similar_pairs(cards(spark, vectors, tags=tags, aliases=aliases), 0.8).collect()}
+    monkeypatch.setattr(sm, "CELL_ROWS", 12)
+    monkeypatch.setattr(sm, "_passing", lambda *given, real=sm._passing: narrow(real, *given))
+
+    def narrow(real, left, right, once, threshold, boosts):
+        real.__globals__.update(TILE=100, CONFIRMED=7)
+        return real(left, right, once, threshold, boosts)
+
+    cut = {tuple(r) for r in sm.similar_pairs(cards(spark, vectors, tags=tags, aliases=aliases), 0.8, block_rows=40).collect()}
+    rounded = lambda rows: {(a, b, *(round(x, 9) for x in rest)) for a, b, *rest in rows}
+    assert rounded(cut) == rounded(wide) and len(wide) > 50
