@@ -370,6 +370,8 @@ def sections_by_matches(sections: DataFrame, query: str, limit: int = 8, samples
     lines = F.split("content", "\n")
     hits = F.filter(F.transform(lines, lambda l, i: F.struct((i + F.col("start_line")).alias("line"), tx.strip(l).alias("text"))),
                     lambda s: F.contains(tx.fold_case(s["text"]), wanted))
-    return sections.withColumn("_h", hits).withColumn("match_count", F.size("_h")).filter(F.col("match_count") > 0) \
+    # Only sections that hold the text at all are read line by line, and once. A match stands inside one line.
+    likely = computed_once(sections, _folded=tx.fold_case(F.col("content"))).filter(F.contains("_folded", wanted)).drop("_folded")
+    return computed_once(likely, _h=hits).withColumn("match_count", F.size("_h")).filter(F.col("match_count") > 0) \
         .withColumn("matches", F.slice("_h", 1, samples)).drop("_h", "content") \
         .orderBy(F.col("match_count").desc(), "path", "start_line").limit(limit)

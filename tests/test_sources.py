@@ -346,3 +346,17 @@ def test_a_term_of_a_chunk_is_one_row_before_any_shuffle(spark, tmp_path):
     got = {(r.term, r.library, r.id): (r.tf, r.positions, r.max_tf, r.n) for r in docs.collect()}
     assert got == {("a", "lib", 1): (2, [0, 2], 2, 1), ("b", "lib", 1): (3, sorted([1, 0, 1]), 3, 2), ("b", "lib", 4): (1, [0], 3, 2), ("c", "lib", 4): (1, [1], 1, 1),
                    ("c", None, None): (3, [0, 0, 2], 3, 1), ("a", None, None): (1, [1], 1, 1)}
+
+
+def test_sections_by_matches_fold_case_line_by_line(spark):
+    from folioscope.functions import text as tx
+    from folioscope.operators import retrieval as rt
+    rows = [("a", 1, "Straße nicht er\nNICHT ERST\nΟΔΟΣ nicht er"), ("b", 4, "nicht\ner"), ("c", 9, "x nıcht er"), ("d", 1, "ſtrasse STRASSE"), ("e", 2, None)]
+    sections = spark.createDataFrame(rows, "path string, start_line int, content string")
+    got = rt.sections_by_matches(sections, " NICHT er ")
+    assert [(r["path"], r["match_count"], [tuple(m) for m in r["matches"]]) for r in got.collect()] == [
+        ("a", 3, [(1, "Straße nicht er"), (2, "NICHT ERST"), (3, "ΟΔΟΣ nicht er")])]
+    assert [(r["path"], r["match_count"]) for r in rt.sections_by_matches(sections, "STRASSE").collect()] == [("a", 1), ("d", 1)]
+    # ASCII texts are not searched for letters that fold apart, and those are ranges.
+    assert "octet_length" in sections.select(tx.fold_case(F.col("path")))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(tx._folds_apart()) < len(tx.folding())
