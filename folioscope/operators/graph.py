@@ -34,7 +34,7 @@ def key_table(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     named = nodes.select("id", "path", area.alias("area"), F.explode(F.array(
         F.struct(F.lit(0).alias("o"), F.col("title").alias("name")),
         F.struct(F.lit(1).alias("o"), md.stem(F.col("path")).alias("name")))).alias("c")).select("id", "path", "area", "c.o", "c.name")
-    aka = aliases.join(nodes.select(F.col("id").alias("node_id"), "path", area.alias("area")), "node_id") \
+    aka = aliases.join(nodes.select(F.col("id").alias("node_id"), "path", area.alias("area")).hint("merge"), "node_id") \
         .select(F.col("node_id").alias("id"), "path", "area", F.lit(2).alias("o"), F.col("alias").alias("name"))
     return named.unionByName(aka).withColumn("key", tx.link_key(F.col("name"))).filter(F.col("key") != "") \
         .groupBy("key").agg(F.min(F.struct("area", "path", "o", "id"))["id"].alias("id"))
@@ -43,7 +43,7 @@ def key_table(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
 def resolve_links(links: DataFrame, keys: DataFrame) -> DataFrame:
     """Wikilink edges; an unresolved target keeps its raw text. `links`: source_id, link."""
     keyed = links.withColumn("key", tx.link_key(F.col("link")))
-    return keyed.join(keys, "key", "left").select(
+    return keyed.join(keys.hint("merge"), "key", "left").select(
         "source_id", F.coalesce("id", "link").alias("target_id"), F.lit("wikilink").alias("type")).distinct()
 
 
@@ -241,10 +241,11 @@ def graph_map(nodes: DataFrame, edges: DataFrame, tags: DataFrame, include_tags:
     real = nodes.select("id", "title", "type", "category")
     shown = real if kinds is None else real.filter(F.col("type").isin(*kinds) | (F.col("type") == "tag"))
     shown = shown if include_tags else shown.filter(F.col("type") != "tag")
-    ids = shown.select("id")
+    # Ids are as many as nodes: files of a few MB would pass as small, and every task would hold them all.
+    ids = shown.select("id").hint("merge")
     live = edges.filter(F.col("type").isin(*LINK_TYPES)).join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
     hit = live.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    lost = live.filter(F.col("type").isin(*BROKEN_TYPES)).join(real.select(F.col("id").alias("target_id")), "target_id", "left_anti")
+    lost = live.filter(F.col("type").isin(*BROKEN_TYPES)).join(real.select(F.col("id").alias("target_id")).hint("merge"), "target_id", "left_anti")
     points, lines = shown, hit.select("source_id", "target_id", "type")
     if not skeleton:
         ghosts = lost.select(F.col("target_id").alias("id")).distinct().select(
@@ -262,7 +263,7 @@ def graph_map(nodes: DataFrame, edges: DataFrame, tags: DataFrame, include_tags:
     else:
         degree = degree.withColumn("dt", F.lit(None).cast("bigint"))
     is_tag = F.col("type") == "tag"
-    ranked = points.join(degree, "id", "left").withColumn("degree", F.coalesce(F.when(is_tag, F.col("dt")).otherwise(F.col("d")), F.lit(0))).drop("d", "dt")
+    ranked = points.join(degree.hint("merge"), "id", "left").withColumn("degree", F.coalesce(F.when(is_tag, F.col("dt")).otherwise(F.col("d")), F.lit(0))).drop("d", "dt")
     pins = tags.filter(F.col("tag") == PIN).select(F.col("node_id").alias("id")).distinct().withColumn("pinned", F.lit(True))
     ranked = ranked.join(pins, "id", "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
     top = ranked.orderBy(F.col("pinned").desc(), F.col("degree").desc(), (F.col("type") == "ghost"), "id").limit(limit)

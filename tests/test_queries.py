@@ -74,3 +74,50 @@ def test_papers_have_works_in_common(spark, tmp_path, name):
     rel = con.execute(catalog()[name].oracle)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     assert got == rows_of([d[0] for d in rel.description], rel.fetchall()) and got[1]
+
+
+def graph_folder(spark, root):
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{root}/{name}.parquet")
+
+    put("region", [(0, "ASIA")], "r_regionkey int, r_name string")
+    put("nation", [(0, "INDIA", 0), (1, None, 0)], "n_nationkey int, n_name string, n_regionkey int")
+    put("customer", [(1, "c one", 0, "AUTO"), (2, None, 1, None)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string")
+    put("supplier", [(1, "s one", 0, 5.0), (2, "s two", 1, -5.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    put("part", [(7, "p seven", "T", 1, "B"), (11, "p eleven", "U", 2, "B"), (8, "p eight", "T", 1, None)], "p_partkey long, p_name string, p_type string, p_size int, p_brand string")
+    put("lineitem", [(1, 7, 1, 1), (1, 7, 1, 2), (2, 7, 2, 3), (3, 11, None, 1), (3, 11, None, 2), (4, None, 1, 1), (4, None, None, 1), (5, None, None, 2)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    return str(root)
+
+
+def test_edge_rows_are_those_of_their_sql(spark, tmp_path):
+    from folioscope.plans.tables import DERIVED, Tables
+    t = Tables(spark, graph_folder(spark, tmp_path))
+    plain = t._derived(DERIVED["edge_rows"], "edge_rows")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(t.edge_rows) == rows(plain) and plain.count() == 2 + 2 + 2 + 5 + 1
+    dealt = t.edge_rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source_id" not in dealt and "hashpartitioning(l_partkey" in dealt
+
+
+def test_no_task_holds_all_nodes_or_parts(spark, tmp_path):
+    """Tables as long as the graph meet by sort-merge joins, however small their files are."""
+    from folioscope.operators import graph as gr
+    from folioscope.plans import graph_queries as gq
+    from folioscope.plans.tables import Tables
+    t = Tables(spark, graph_folder(spark, tmp_path))
+    kept = gr.graph_map(t.nodes, t.edge_rows, t.tag_rows, limit=300)
+    for df in (kept["summary"], gr.resolve_links(spark.createDataFrame([("a", "B")], "source_id string, link string"), gr.key_table(t.nodes, t.alias_rows))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin [id" not in plan and "BroadcastHashJoin [key" not in plan
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m" and spark.conf.get("spark.sql.files.maxPartitionBytes") == "32m"
+
+
+def test_postings_of_a_chunk_are_counted_where_it_is(spark, tmp_path):
+    from folioscope.plans.registry import catalog
+    rows = [(1, "x", "en", "one two two"), (2, "x", "en", "two"), (2, "x", "en", "two three"), (3, None, "de", "one"), (None, "y", "de", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spread = catalog()["term_spread"](spark, str(tmp_path))
+    assert {(r["library"], r["term"], r["chunks"], r["occurrences"]) for r in spread.collect()} == {
+        ("x", "one", 1, 1), ("x", "two", 2, 4), ("x", "three", 1, 1), (None, "one", 1, 1)}
+    assert "hashpartitioning(term" not in spread._jdf.queryExecution().executedPlan().toString()
