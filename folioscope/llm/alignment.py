@@ -2,9 +2,9 @@
 
 Both tokenizers read a text; ids become bytes, and each id list has the sorted
 byte offsets where its tokens end. Offsets that both have slice the two id lists
-into groups; within a slice
-every two tokens whose byte ranges overlap are linked. A pair of linked ids is
-counted in the documents that hold it, over the whole corpus.
+into groups; every two tokens whose byte ranges overlap are linked, once for
+each end of either. A pair of linked ids is counted in the documents that hold
+it, over the whole corpus.
 
 Texts are tokenised once: each row's distinct pairs with their multiplicity are
 stored, packed. Tasks sum their pairs before the shuffle. The HEAD most frequent
@@ -74,57 +74,50 @@ class Aligner:
     """Groups and links of two id lists, given how long each id's bytes are."""
 
     def __init__(self, spelled_a: list[bytes], spelled_b: list[bytes]) -> None:
-        self.long_a, self.long_b = list(map(len, spelled_a)), list(map(len, spelled_b))
-        self.size_a, self.size_b = np.array(self.long_a, np.int64), np.array(self.long_b, np.int64)
-        self.said_a, self.said_b = [str(i) for i in range(len(spelled_a))], [str(i) for i in range(len(spelled_b))]
-        self.bar_b = [f"|{i}" for i in range(len(spelled_b))]
+        self.size_a, self.size_b = (np.array(list(map(len, spelled)), np.int64) for spelled in (spelled_a, spelled_b))
+        # Each id as text, followed by what stands after it inside and at the end of its side of a group.
+        self.said = [f"{i}{mark}" for spelled, last in ((spelled_a, "|"), (spelled_b, ";")) for i in range(len(spelled)) for mark in (",", last)]
+        self.said_b = 2 * len(spelled_a)
+
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte offsets where the tokens of both lists end."""
+        return np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
 
     def slices(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of both lists up to each offset where tokens of both end."""
-        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        return self.common(*self.ends(a, b))
+
+    def common(self, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # Both lists spell the same bytes, so an end of the first has one of the second at or after it.
         at = np.searchsorted(ends_b, ends_a)
         common = np.flatnonzero(ends_b[at] == ends_a)
         return common + 1, at[common] + 1
 
-    def overlaps(self, a: list[int], b: list[int]) -> Iterator[int]:
-        """Keys of a slice's tokens whose byte ranges overlap, in text order."""
-        i = j = 0
-        end_a, end_b = self.long_a[a[0]], self.long_b[b[0]]
-        while True:
-            yield a[i] * SECOND + b[j]
-            if end_a == end_b:
-                return
-            if end_a < end_b:
-                i += 1
-                end_a += self.long_a[a[i]]
-            else:
-                j += 1
-                end_b += self.long_b[b[j]]
+    def joined(self, a: list[int], b: list[int]) -> tuple[str, int, np.ndarray]:
+        """All groups as one text, how many they are, and the keys of all links, in text order."""
+        if not a:
+            return "", 0, np.zeros(0, np.int64)
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = self.ends(ids_a, ids_b)
+        p, q = self.common(ends_a, ends_b)
+        # Two tokens overlap in one run of bytes, and it ends where either does: one link for each end.
+        ends = np.zeros(ends_a[-1] + 1, bool)
+        ends[ends_a] = ends[ends_b] = True
+        ends = np.flatnonzero(ends)
+        keys = ids_a[np.searchsorted(ends_a, ends)] * SECOND + ids_b[np.searchsorted(ends_b, ends)]
+        # A group's ids of the first list stand after those of the second in the groups before it.
+        said = np.empty(len(a) + len(b), np.int64)
+        own_a, own_b = 2 * ids_a, 2 * ids_b + self.said_b
+        own_a[p - 1] += 1
+        own_b[q - 1] += 1
+        said[np.arange(len(a)) + np.repeat(q - np.diff(q, prepend=0), np.diff(p, prepend=0))] = own_a
+        said[np.arange(len(b)) + np.repeat(p, np.diff(q, prepend=0))] = own_b
+        return "".join(map(self.said.__getitem__, said.tolist()))[:-1], len(p), keys
 
     def read(self, a: list[int], b: list[int]) -> tuple[list[str], np.ndarray]:
         """Each group as text, and the keys of all links."""
-        if not a:
-            return [], np.zeros(0, np.int64)
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-        p, q = self.slices(ids_a, ids_b)
-        i, j = np.concatenate([[0], p[:-1]]), np.concatenate([[0], q[:-1]])
-        x, y = ids_a[i], ids_b[j]
-        several = (p - i > 1) | (q - j > 1)
-        said_a, said_b = self.said_a, self.said_b
-        # Most groups are one token each; the others are said and linked over.
-        said = [said_a[m] + n for m, n in zip(x.tolist(), map(self.bar_b.__getitem__, y.tolist()))]
-        keys: list[int] = []
-        for g, f, t, u, v in zip(*(c[several].tolist() for c in (np.arange(len(p)), i, p, j, q))):
-            own_a, own_b = a[f:t], b[u:v]
-            if t - f == 1:  # a single token overlaps all of the other side
-                keys += [own_a[0] * SECOND + z for z in own_b]
-            elif v - u == 1:
-                keys += [z * SECOND + own_b[0] for z in own_a]
-            else:
-                keys += self.overlaps(own_a, own_b)
-            said[g] = ",".join([said_a[z] for z in own_a]) + "|" + ",".join([said_b[z] for z in own_b])
-        return said, np.concatenate([(x * SECOND + y)[~several], np.array(keys, np.int64)])
+        text, groups, keys = self.joined(a, b)
+        return text.split(";") if groups else [], keys
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -150,9 +143,9 @@ def aligned(docs: DataFrame, ranks_path: str, pieces_path: str) -> DataFrame:
             for batch in parts:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     a, b = own.ids(text.as_py() or "")
-                    said, keys = aligner.read(a, b)
-                    digest = hashlib.sha256(";".join(said).encode()).hexdigest() if said else ""
-                    yield doc_id, len(a), len(b), len(said), len(keys), digest, packed(keys)
+                    said, groups, keys = aligner.joined(a, b)
+                    digest = hashlib.sha256(said.encode()).hexdigest() if groups else ""
+                    yield doc_id, len(a), len(b), groups, len(keys), digest, packed(keys)
 
         yield from batches(ALIGNED, rows(), 256)
 

@@ -236,3 +236,12 @@ def test_slices_of_id_lists_are_arrays():
     assert said == ["1,2|1,2", "3|3,4", "1,2|1,2"] and sorted(keys.tolist()) == sorted(a * alignment.SECOND + b for a, b in links)
     said, keys = aligner.read([], [])
     assert said == [] and keys.tolist() == []
+
+
+def test_groups_and_links_are_written_by_arrays():
+    """All groups as one text, and a link for each place where a token of either list ends."""
+    aligner = alignment.Aligner([b"", b"a", b"bc", b"def"], [b"", b"ab", b"c", b"de", b"f"])
+    text, groups, keys = aligner.joined([1, 2, 3, 1, 2], [1, 2, 3, 4, 1, 2])
+    assert (text, groups) == ("1,2|1,2;3|3,4;1,2|1,2", 3)
+    assert [divmod(k, alignment.SECOND) for k in keys.tolist()] == [(1, 1), (2, 1), (2, 2), (3, 3), (3, 4), (1, 1), (2, 1), (2, 2)]
+    assert aligner.joined([], [])[:2] == ("", 0)
