@@ -128,27 +128,40 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def dealt(rows: DataFrame, on: str, *needed: str) -> DataFrame:
+    """Rows dealt out by `on`, none null in it or in `needed`: with no filter
+    left to push below, the sums by `on` and their join share one exchange."""
+    return rows.where(" and ".join(f"{c} is not null" for c in (on, *needed))).repartition(on)
+
+
+def starred(edges: DataFrame) -> bool:
+    """Whether every vertex of the edges (a, b), b < a, is a centre or has one edge, to a centre."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+    degrees = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return degrees.where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) for undirected edges (a, b): smallest reachable vertex,
     for every vertex that is not its own component's smallest.
 
     Alternating large-star and small-star: each vertex hands its larger, then
-    its smaller neighbours on to the smallest of them, until nothing changes.
+    its smaller neighbours on to the smallest of them, until all edges are stars.
+    Each half is dealt out by vertex once, for the minima and for their join;
+    every exchange leaves the driver a thread for a minute, whatever its size.
     """
     edges = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     while True:
-        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        both = dealt(edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))), "a", "b")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # m <= a, so this is b > a; naming m keeps the filter above the exchange, which both sides then share.
+        large = dealt(both.join(low.hint("merge"), "a").where("b > greatest(a, m)").select(F.col("b").alias("a"), F.col("m").alias("b")), "a", "b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         # The smallest neighbour's own edge becomes the vertex's edge to it; every other neighbour is handed on.
-        small = large.join(least, "a").select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(least.hint("merge"), "a").select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
         edges = cut_lineage(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "vertex")
-        before = now
+        if starred(edges):
+            return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
 
 
 def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -162,16 +175,16 @@ def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def shingle_rows(rows: DataFrame) -> DataFrame:
-    """(vertex, shingle) of every distinct shingle of (vertex, text)."""
+    """(vertex, component, shingle) of every distinct shingle of (vertex, component, text)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in parts:
             own = [shingles(t, hashes) for t in texts(b)]
-            whose = np.repeat(np.asarray(b.column("vertex").to_pylist(), np.int64), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(whose), pa.array(np.concatenate(own).view(np.int64))], ["vertex", "shingle"])
+            whose = [np.repeat(np.asarray(b.column(c).to_pylist(), np.int64), [len(x) for x in own]) for c in ("vertex", "component")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, whose), pa.array(np.concatenate(own).view(np.int64))], ["vertex", "component", "shingle"])
 
-    return rows.select("vertex", "text").mapInArrow(run, "vertex bigint, shingle bigint")
+    return rows.select("vertex", "component", "text").mapInArrow(run, "vertex bigint, component bigint, shingle bigint")
 
 
 def linkable(open_: DataFrame, involved: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -179,12 +192,12 @@ def linkable(open_: DataFrame, involved: DataFrame, sketch: DataFrame) -> tuple[
     component, and per vertex its size `n` and the `items` of its set that occur there."""
     members = open_.select("key", "vertex", "component")
     own = members.select("vertex", "component").distinct()
-    rows = shingle_rows(involved.join(own, "vertex")).join(own, "vertex")
+    rows = shingle_rows(involved.join(own, "vertex"))
     common = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("shingle")
     items = rows.join(common, "shingle").groupBy("vertex").agg(F.collect_set("shingle").alias("items"))
     fit = sketch.groupBy("vertex").agg(F.max("n").alias("n")).join(items, "vertex").where(100 * F.size("items") >= SIMILAR * F.col("n"))
     fit = stored(fit.select("vertex", "n", F.transform("items", lambda x: F.hash(x)).alias("items")), "minhash-items")
-    rest = members.join(fit.select("vertex"), "vertex", "left_semi")
+    rest = dealt(members.join(fit.select("vertex"), "vertex", "left_semi"), "key")
     still = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     return stored(rest.join(still, "key"), "minhash-linkable"), fit
 
@@ -265,7 +278,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("vertex"), F.first("n_shingles").alias("n"), F.first("minima").alias("minima"), F.first("keys").alias("keys"))
     classes = stored(classes, "minhash-classes")
-    banded = classes.select("vertex", F.explode("keys").alias("key")).distinct()
+    banded = dealt(classes.select("vertex", F.explode("keys").alias("key")), "key").distinct()
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     open_ = stored(banded.join(shared, "key"), "minhash-buckets")
     sketch = classes.select("vertex", "n", "minima")
@@ -278,22 +291,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         right = sketch.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("minima").alias("mb"))
         agreeing = likely(pairs.join(left, "a").join(right, "b"))
         with_texts = agreeing.join(involved.select(F.col("vertex").alias("b"), F.col("text").alias("text_b")), "b").join(involved.select(F.col("vertex").alias("a"), F.col("text").alias("text_a")), "a")
-        return stored(verified(with_texts).distinct(), "minhash-links")
+        return stored(verified(with_texts), "minhash-links")
 
     found = None
     for turn in range(ROUNDS_OF_HEADS):
         rank = F.col("vertex") if turn == 0 else F.xxhash64("vertex", F.lit(turn))
-        heads = open_.groupBy("key").agg(F.min_by("vertex", rank).alias("a"))
+        own = dealt(open_, "key", "vertex", *["component"] * bool(turn))
         if turn:
-            own = open_.groupBy("key").agg(F.min_by(F.struct("vertex", "component"), rank).alias("h")).select("key", "h.*").toDF("key", "a", "head_component")
-            pairs = open_.join(own, "key").where("component != head_component").select("a", F.col("vertex").alias("b"))
+            heads = own.groupBy("key").agg(F.min_by(F.struct("vertex", "component"), rank).alias("h")).select("key", "h.*").toDF("key", "a", "head_component")
+            pairs = own.join(heads, "key").where("component != head_component").select("a", F.col("vertex").alias("b"))
         else:
-            pairs = open_.join(heads, "key").where("a != vertex").select("a", F.col("vertex").alias("b"))
+            heads = own.groupBy("key").agg(F.min_by("vertex", rank).alias("a"))
+            pairs = own.join(heads, "key").where("a != vertex").select("a", F.col("vertex").alias("b"))
         new = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if found is not None and new.isEmpty():
             continue
         found = joined(found, new)
-        marked = labelled(open_.select("key", "vertex"), found)
+        marked = dealt(labelled(open_.select("key", "vertex"), found), "key")
         unsettled = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
         open_ = stored(marked.join(unsettled, "key"), "minhash-open")
         if open_.isEmpty():

@@ -101,6 +101,16 @@ def trainer(sent, turn: int):
     return train
 
 
+def averaged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the mean of all shards' parameters, none without rows."""
+    total, bias, n = 0.0, 0.0, 0
+    for b in parts:
+        for p, own in zip(b.column("p").to_pylist(), b.column("bias").to_pylist()):
+            total, bias, n = total + np.frombuffer(p, np.float32).astype(np.float64), bias + own, n + 1
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([bias / n])], ["p", "bias"])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     """The averaged machine of all shards."""
     sample = training_sample(docs, labels, "quality")
@@ -122,10 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     for turn in range(ROUNDS):
         sent = context.broadcast((machine.p.astype(np.float32), machine.bias, mean, deviation))
 
-        parts = sample.groupBy("shard").applyInArrow(trainer(sent, turn), "p binary, bias double").collect()
-        if not parts:
+        # The shards' mean is taken in a task: the driver gets one machine, not one of each shard.
+        shards = sample.groupBy("shard").applyInArrow(trainer(sent, turn), "p binary, bias double")
+        mean_of_all = shards.repartition(1).mapInArrow(averaged, "p binary, bias double").first()
+        if not mean_of_all:
             break
-        machine = Machine(np.mean([np.frombuffer(r.p, np.float32).reshape(machine.p.shape) for r in parts], axis=0, dtype=np.float64), float(np.mean([r.bias for r in parts])), mean, deviation)
+        machine = Machine(np.frombuffer(mean_of_all.p, np.float32).reshape(machine.p.shape), mean_of_all.bias, mean, deviation)
         sent.unpersist()
     return machine
 

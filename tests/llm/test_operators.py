@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import chat, decontaminate, lines, minhash, packing, quality_fm, sharding, substrings, topk, toxicity
@@ -345,3 +346,28 @@ def test_classifiers_are_accurate_on_held_out_rows(spark):
 
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] and set(ORACLES) <= set(QUERIES)
+
+
+def test_components_of_long_chains_and_stars_end_with_the_first_star_forest(spark, monkeypatch):
+    chain = list(range(-20, 40))
+    random.Random(5).shuffle(chain)
+    rounds, real = [], minhash.starred
+    monkeypatch.setattr(minhash, "starred", lambda edges: rounds.append(real(edges)) or rounds[-1])
+    for edges in ([], list(zip(chain, chain[1:])), [(5, i) for i in range(30)] + [(i, 100 - i) for i in range(9)], [(60, i) for i in range(50, 60)]):
+        least = {v: v for e in edges for v in e}
+        for _ in edges:
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        rounds.clear()
+        got = minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r.vertex: r.component for r in got} == {v: m for v, m in least.items() if v != m} and len(got) == len({r.vertex for r in got})
+        assert rounds == [False] * (len(rounds) - 1) + [True]
+
+
+def test_a_turn_of_the_machine_sends_one_set_of_parameters_to_the_driver():
+    p = np.arange(6, dtype=np.float32).reshape(3, 2)
+    parts = [pa.RecordBatch.from_pydict({"p": [p.tobytes(), (p + 1).tobytes()], "bias": [1.0, 2.0]}), pa.RecordBatch.from_pydict({"p": [(p + 5).tobytes()], "bias": [6.0]})]
+    [out] = quality_fm.averaged(iter(parts))
+    assert out.num_rows == 1 and out.column("bias").to_pylist() == [3.0]
+    assert np.array_equal(np.frombuffer(out.column("p")[0].as_py(), np.float32).reshape(3, 2), p + 2)
+    assert not list(quality_fm.averaged(iter([])))
