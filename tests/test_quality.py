@@ -157,6 +157,39 @@ def test_gaps_of_many_neighbours_broadcast_nothing(spark):
     assert {(r.paper_id, r.candidate_id, r.shared) for r in gaps.collect()} == wanted
 
 
+def test_gaps_shuffle_pairs_once_and_count_as_before(spark):
+    """Pairs whose marks rule them out end before their references; repeated neighbours, nulls and titles count as in a plain join."""
+    rng = random.Random(4)
+    ids = [*range(30), None]
+    own = [(rng.choice(ids),) for _ in range(40)]
+    near = [(rng.choice(ids), rng.choice(ids), i, rng.choice([2016, 2018, 2020, None]), "t") for i in range(900)]
+    cites = [(rng.choice(ids), rng.choice(ids)) for _ in range(60)]
+    refs = [(rng.choice(ids), rng.choice([*range(p), None]), rng.choice([None, " ", " a ", "b"])) for p in (4, 40, 200) for _ in range(260)]
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in (
+        (own, "paper_id long"), (near, "paper_id long, candidate_id long, pos int, year int, title string"), (cites, "paper_id long, citing_id long"), (refs, "paper_id long, cited_id long, cited_title string"))]
+    best = {}
+    for p, w, title in refs:
+        if p is not None and w is not None:
+            best[p, w] = max(best.get((p, w)) or "", title or "")
+    for budget, least in ((None, 3), (5, 1), (None, 0)):
+        left = [n for n in near if (n[0],) in own and n[0] is not None and n[3] is not None and n[3] >= 2018 and (n[1] is None or (n[0], n[1]) not in cites)]
+        if budget:
+            left = [n for n in left if sum(m[0] == n[0] and m[2] < n[2] for m in left) < budget]
+        wanted = {}
+        for p, c, _, year, _ in left:
+            for w in {w for q, w in best if q == p} & {w for q, w in best if q == c}:
+                old = wanted.setdefault((p, c), [0, 0, []])
+                old[0] += 1
+                old[1] = max(old[1], year)
+                old[2] += [t for t in [best[p, w].strip(" ")] if t]
+        gaps = rd.citation_gaps(*frames, 2018, min_shared=least, budget=budget)
+        got = {(r.paper_id, r.candidate_id): (r.shared, r.year, list(r.shared_titles)) for r in gaps.collect()}
+        assert got == {k: (n, year, sorted(ts)) for k, (n, year, ts) in wanted.items() if n >= least} and got
+    dealt = [frames[0].repartition("paper_id"), frames[1].repartition("paper_id"), *frames[2:]]
+    plan = rd.citation_gaps(*dealt, 2018)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "bit_count" in plan and "Broadcast" not in plan
+
+
 def test_containment_broadcasts_no_names(spark):
     """Pieces of names are many more than the planner takes them for."""
     names = spark.range(60).select(F.format_string("name-of-%03d", "id").alias("s"))
