@@ -348,6 +348,42 @@ def test_a_term_of_a_chunk_is_one_row_before_any_shuffle(spark, tmp_path):
                    ("c", None, None): (3, [0, 0, 2], 3, 1), ("a", None, None): (1, [1], 1, 1)}
 
 
+def test_an_index_is_shuffled_as_blocks_that_do_not_stay(spark, tmp_path, monkeypatch):
+    """Blocks hold the postings of whole zones, their hashes are Spark's, and the writer leaves no shuffle files."""
+    import random
+    import time
+
+    import pyarrow as pa
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abé注") for _ in range(n)) for n in [*range(1, 70), 3, 4, 5, 9, 17]]
+    hashed = spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()
+    assert list(si._hashes(pa.array(["", *words]).slice(1))) == [r[0] for r in hashed]
+    plain = [w for w in words if not any(c in "é注" for c in w)] + ["red", "ring", "bolt", "nut"]
+    rows = [(i, rng.choice(["x", "y", None]), "c", "p", "", 1, 1, " ".join(rng.choice(plain) for _ in range(rng.randrange(9)))) for i in range(1500)]
+    monkeypatch.setattr(si, "BLOCK_ROWS", 700)
+    batches = [pa.RecordBatch.from_pydict({"library": ["x"] * 900, "zone": [i // 256 for i in range(n, n + 900)], "id": [*range(n, n + 900)], "dl": [3] * 900, "tokens": [["a", "b", "a"]] * 900}) for n in (0, 900)]
+    seen = [r for b in si._posting_rows(si._term_blocks(4)(iter(batches))) for r in b.to_pylist()]
+    assert sorted((r["term"], r["zone"], r["n"], len(r["docs"]), r["max_tf"]) for r in seen) == sorted((t, z, n, n, k) for z in range(8) for n in [256 if z < 7 else 8] for t, k in (("a", 2), ("b", 1)))
+    chunks = spark.createDataFrame(rows, INDEXED)
+    kept = lambda: sum("shuffle_" in str(f) for f in spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").split())
+    before = kept()
+    index = si.write_index(chunks, str(tmp_path / "ix"), buckets=3)
+    for _ in range(40):
+        if kept() <= before:
+            break
+        time.sleep(0.25)
+    assert kept() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    got = {(r.term, r.library, r.id): (r.dl, r.tf, r.positions) for r in index.table("postings").selectExpr("term", "library", "inline(docs)").collect()}
+    wanted = {}
+    for i, library, *_, text in rows:
+        tokens = text.split()
+        for at, w in enumerate(tokens):
+            wanted.setdefault((w, library, i), (len(tokens), tokens.count(w), []))[2].append(at)
+    assert got == wanted
+    blocks = index.table("postings").groupBy("bucket", "term", "library", "zone").count().where("count > 1")
+    assert blocks.isEmpty() and index.postings(["red"]).select(F.sum("n")).first()[0] == sum(k[0] == "red" for k in wanted)
+
+
 def test_sections_by_matches_fold_case_line_by_line(spark):
     from folioscope.functions import text as tx
     from folioscope.operators import retrieval as rt
