@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -121,3 +122,26 @@ def test_state_by_key_takes_rows_in_any_order(spark, tmp_path):
         seen = jobs.first_seen(stream.select(F.col("path").alias("id"), "seq"), str(tmp_path / "seen"))
     assert [(r["path"], r["change"]) for r in files.read(spark).orderBy("batch", "path").collect()] == [("a", "new"), ("b", "new"), ("hot", "new"), ("b", "deleted"), ("hot", "changed")]
     assert sorted((r["batch"], r["id"], r["seq"]) for r in seen.read(spark).collect()) == [(0, "a", 5), (0, "b", 6), (0, "hot", 7), (1, "a", 2)]
+
+
+def test_files_share_the_calls_of_a_bucket(spark, tmp_path):
+    """Changes are those of each file alone, nulls and late rows too, with far fewer calls than files."""
+    rng, held, wanted, steps = random.Random(2), {}, [], []
+    for batch in range(3):
+        rows = [(rng.choice([1, 2]) * 10_000 * (batch + 1) + i, rng.choice(["l", None]), f"p{rng.randrange(150)}", rng.choice(["a", "b", None])) for i in range(400)]
+        steps.append(rows)
+        for key in sorted({r[1:3] for r in rows}, key=str):
+            seq, *_, text = max((r for r in rows if r[1:3] == key), key=lambda r: r[0])
+            last, old = held.get(key, (-1, None))
+            if seq > last:
+                held[key] = seq, text
+                wanted += [(batch, *key, "new" if old is None else "deleted" if text is None else "changed", text)] * (text != old)
+    folder, schema, log = str(tmp_path / "in"), "seq bigint, library string, path string, text string", str(tmp_path / "out")
+    for rows in steps:
+        spark.createDataFrame(rows, schema).coalesce(2).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        changes = keyed.changed(stream, ["library", "path"], F.md5("text"), "text", buckets=8)
+        jobs.run(changes, str(tmp_path / "job"), lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{log}/b{i}"))
+    got = [r for i in range(3) for r in spark.read.parquet(f"{log}/b{i}").collect()]
+    assert sorted([(r.batch, r.library, r.path, r.change, r.text) for r in got], key=str) == sorted(wanted, key=str)
+    assert "_bucket" in changes._jdf.queryExecution().analyzed().toString()
